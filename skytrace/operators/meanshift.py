@@ -36,9 +36,11 @@ def shift_vectors(
     columns = ["c_" + d for d in grid.dims] + names
     other = search if search is not None else points
     neighbour_cols = ["scan", *grid.dims, *columns, *([weight] if weight else [])]
-    pairs = ellipsoid_pairs(
-        points, other.select(*neighbour_cols), grid.reach(tuple(ranges[: len(grid.dims)])), columns, list(ranges)
-    )
+    reach = grid.reach(tuple(ranges[: len(grid.dims)]))
+    if search is not None:
+        # positions between grid lines sit up to half a cell from their index
+        reach = {d: n + 1 for d, n in reach.items()}
+    pairs = ellipsoid_pairs(points, other.select(*neighbour_cols), reach, columns, list(ranges))
     mass = _mass(F.col("d2"), kernel, size, F.col("n_" + weight) if weight else None)
     own = [c for c in points.columns if c not in keys(grid.dims)]
     sums = pairs.withColumn("_m", mass).groupBy(*keys(grid.dims), *own).agg(
