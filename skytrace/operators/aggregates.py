@@ -154,3 +154,22 @@ def modal_weight(clusters: DataFrame, weighted: DataFrame, grid: Grid) -> DataFr
 
 def count_value(df: DataFrame, column: str, value: float, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count_if(F.col(column) == F.lit(value)).alias("n"))
+
+
+def rank_within(df: DataFrame, group: str, value: str, tie: str, out: str, buckets: int = 64) -> DataFrame:
+    """Position by falling value within each group, ties by ``tie``.
+
+    A group is cut into value ranges between its extremes, so a hot group is sorted in many pieces.
+    """
+    from pyspark.sql import Window
+
+    span = df.groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    share = F.try_divide((F.col("_hi") - F.col(value)) * buckets, F.col("_hi") - F.col("_lo"))
+    ranged = attach(df, span, [group], tie).withColumn(
+        "_b", F.least(F.coalesce(F.floor(share), F.lit(0)), F.lit(buckets - 1)).cast("int"))
+    counts = ranged.groupBy(group, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(group, "_b").orderBy(F.desc(value), tie))
+    ranked = ranged.withColumn("_rn", inside).join(offsets, [group, "_b"])
+    return ranked.select(group, tie, (F.col("_before") + F.col("_rn")).cast("bigint").alias(out))

@@ -232,3 +232,14 @@ def add_strongest_neighbour(labels: DataFrame, points: DataFrame, grid: Grid) ->
     )
     taken = best.join(own, "cluster").where("b.n_w > own AND b.n_cluster IS NULL").select(F.col("b.n_gid").alias("gid"), "cluster")
     return labels.unionByName(taken.groupBy("gid").agg(F.min("cluster").alias("cluster")))
+
+
+def erase_ids(clusters: DataFrame) -> DataFrame:
+    """Clusters without identity."""
+    none = F.lit(None).cast("bigint")
+    return clusters.withColumns({"id": none, "uuid": none})
+
+
+def reset_membership(members: DataFrame) -> DataFrame:
+    """Points that belong to no cluster."""
+    return members.withColumn("cluster", F.lit(None).cast("bigint"))

@@ -7,25 +7,24 @@ from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 200_000
 MAX_BUCKETS = 512
+SAMPLES_PER_BUCKET = 20
 
 
 def number_rows(df: DataFrame, key: str, out: str) -> DataFrame:
-    """1..N over a unique key in key order.
+    """1..N over a unique key (number or text) in key order.
 
-    Rows are split into key ranges at quantiles (a bounded list of literals, so every recomputation sees
+    Rows are split into key ranges at sampled keys (a bounded list of literals, so every recomputation sees
     the same ranges); each range is numbered on its own and offset by the counts of the ranges before it.
     """
     n = df.count()
     buckets = min(MAX_BUCKETS, max(1, n // ROWS_PER_BUCKET))
-    splits: list[float] = []
+    bucket = F.lit(0)
     if buckets > 1:
-        probabilities = [i / buckets for i in range(1, buckets)]
-        splits = sorted(set(df.approxQuantile(key, probabilities, 0.25 / buckets)))
-    if splits:
-        limits = F.lit([float(s) for s in splits])
-        bucket = F.size(F.filter(limits, lambda s: s < F.col(key))).cast("int")
-    else:
-        bucket = F.lit(0)
+        sample = df.select(key).sample(min(1.0, SAMPLES_PER_BUCKET * buckets / n), seed=1)
+        seen = sorted(r[0] for r in sample.collect())
+        splits = sorted({seen[i * len(seen) // buckets] for i in range(1, buckets)}) if seen else []
+        if splits:
+            bucket = F.size(F.filter(F.lit(splits), lambda s: s < F.col(key))).cast("int")
     ranged = df.withColumn("_bucket", bucket)
     counts = ranged.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

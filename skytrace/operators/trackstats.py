@@ -203,10 +203,27 @@ def linked_nodes(link_table: DataFrame, roots: DataFrame, max_level: int = 1) ->
     return best
 
 
+def previous_in_time(df: DataFrame, key: str, order: str, columns: list[str], width: int = 86_400) -> DataFrame:
+    """LAG of ``columns`` along ``order`` per key, as ``prev_<column>``, without one task per key.
+
+    Rows are cut into time buckets; only the first row of a bucket asks for the last row of the bucket before,
+    and that table has one row per key and bucket.
+    """
+    ranked = df.withColumn("_bucket", F.floor(F.col(order) / width))
+    inside = Window.partitionBy(key, "_bucket").orderBy(order, *columns)
+    ranked = ranked.withColumn("_prev", F.lag(F.struct(*columns)).over(inside))
+    last = ranked.groupBy(key, "_bucket").agg(F.max_by(F.struct(*columns), F.struct(order, *columns)).alias("_last"))
+    across = Window.partitionBy(key).orderBy("_bucket")
+    carried = last.select(key, "_bucket", F.lag("_last").over(across).alias("_carried"))
+    joined = ranked.join(carried, [key, "_bucket"])
+    value = F.coalesce("_prev", "_carried")
+    return joined.select(*df.columns, *[value[c].alias("prev_" + c) for c in columns])
+
+
 def konrad_speeds(records: DataFrame) -> DataFrame:
-    """Speed between successive records of a foreign track. ``records``: id, ts, x_km, y_km."""
-    w = Window.partitionBy("id").orderBy("ts", "x_km", "y_km")
-    step = records.withColumn("dt", F.col("ts") - F.lag("ts").over(w))
-    dx, dy = F.col("x_km") - F.lag("x_km").over(w), F.col("y_km") - F.lag("y_km").over(w)
+    """Speed in m/s between successive records of a foreign track. ``records``: id, ts, x_km, y_km."""
+    step = previous_in_time(records, "id", "ts", ["ts", "x_km", "y_km"])
+    dx, dy = F.col("x_km") - F.col("prev_x_km"), F.col("y_km") - F.col("prev_y_km")
     distance = F.sqrt(dx * dx + dy * dy) * 1000.0
-    return step.withColumn("speed", F.try_divide(distance, F.col("dt").cast("double"))).where("speed IS NOT NULL")
+    dt = (F.col("ts") - F.col("prev_ts")).cast("double")
+    return step.withColumn("speed", F.try_divide(distance, dt)).where("speed IS NOT NULL")
