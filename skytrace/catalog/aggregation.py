@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skytrace.catalog.base import CTES, query
-from skytrace.catalog.scans import r
+from skytrace.catalog.scans import r, up
 from skytrace.operators import aggregates, clustering
 from skytrace.sources import tables as tb
 
@@ -112,7 +112,7 @@ def agg_spearman(w):
     return _hist_pairs(w).select("n", "m", r(aggregates.spearman(F.col("a"), F.col("b")), "rho"))
 
 
-_WEIGHTS = "SELECT cluster, round(min(w), 6) AS w_min, round(max(w), 6) AS w_max, round(sum(w), 6) AS w_sum, round(avg(w), 6) AS w_mean FROM members GROUP BY cluster"
+_WEIGHTS = "SELECT cluster, round(min(w), 6) AS w_min, round(max(w), 6) AS w_max, round(sum(w) + 1e-9, 6) AS w_sum, round(avg(w) + 1e-9, 6) AS w_mean FROM members GROUP BY cluster"
 
 
 @query("agg_dynamic_range", f"SELECT cluster, w_min, w_max FROM ({_WEIGHTS})")
@@ -122,7 +122,7 @@ def agg_dynamic_range(w):
 
 @query("agg_avg_weight", f"SELECT cluster, w_sum, w_mean FROM ({_WEIGHTS})")
 def agg_avg_weight(w):
-    return aggregates.weight_statistics(w.detection.members).select("cluster", r("w_sum", "w_sum"), r("w_mean", "w_mean"))
+    return aggregates.weight_statistics(w.detection.members).select("cluster", up("w_sum", "w_sum"), up("w_mean", "w_mean"))
 
 
 CTES["modal"] = """

@@ -17,6 +17,11 @@ def r(c, name: str, digits: int = 6):
     return F.round(F.col(c) if isinstance(c, str) else c, digits).alias(name)
 
 
+def up(c, name: str, digits: int = 6):
+    """Rounded after a nudge of 1e-9, for values that often sit exactly on a half step."""
+    return r((F.col(c) if isinstance(c, str) else c) + 1e-9, name, digits)
+
+
 def scratch(w: World, name: str) -> str:
     """A new folder below the shared checkpoint folder."""
     ensure_checkpoint_dir(w.spark)
@@ -170,7 +175,7 @@ def src_common_prefix(w):
 
 def _konrad_lines(w):
     part = lambda p: F.date_format("ts", p)
-    q = lambda c: F.format_string("%.2f", c)
+    q = lambda c: F.format_string("%.4f", c)
     value = F.col("value")
     return w.table("events").select(F.concat_ws(
         "  ", part("yy"), part("MM"), part("dd"), part("HH"), part("mm"), F.col("user_id").cast("string"),
@@ -201,7 +206,7 @@ def src_radolan(w):
 
 
 @query("src_topography", """
-SELECT scan, z, count(*) AS cells, sum(u_raw * 20) AS height_sum
+SELECT scan, z, count(*) AS cells, CAST(sum(u_raw * 20) AS BIGINT) AS height_sum
 FROM (SELECT scan, u_raw, unnest(range(0, CAST(greatest(least(ceil(u_raw * 20 / 1000e0 / 25e-2), 59), 0) AS BIGINT) + 1)) AS z FROM cells) GROUP BY ALL""")
 def src_topography(w):
     heights = w.cells.select("scan", "y", "x", (F.col("u_raw") * 20).alias("height_m"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skytrace.catalog.base import CTES, query
 from skytrace.catalog.neighbourhoods import _D2, _ellipsoid
-from skytrace.catalog.scans import r
+from skytrace.catalog.scans import r, up
 from skytrace.functions import kernels
 from skytrace.operators import meanshift
 from skytrace.sources import tables as tb
@@ -34,15 +34,15 @@ ON a.scan = b.scan AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 WHERE {_D2} <
 
 def _shift_sql(mass: str) -> str:
     return f"""
-SELECT scan, pid, round(coalesce(sum(k * n_y) / nullif(sum(k), 0) - c_y, 0), 6) AS s_y, round(coalesce(sum(k * n_x) / nullif(sum(k), 0) - c_x, 0), 6) AS s_x,
-       round(coalesce(sum(k * n_v) / nullif(sum(k), 0) - v, 0), 6) AS s_v, round(coalesce(sum(k * n_u) / nullif(sum(k), 0) - u, 0), 6) AS s_u
+SELECT scan, pid, round(coalesce(sum(k * n_y) / nullif(sum(k), 0) - c_y, 0) + 1e-9, 6) AS s_y, round(coalesce(sum(k * n_x) / nullif(sum(k), 0) - c_x, 0) + 1e-9, 6) AS s_x,
+       round(coalesce(sum(k * n_v) / nullif(sum(k), 0) - v, 0) + 1e-9, 6) AS s_v, round(coalesce(sum(k * n_u) / nullif(sum(k), 0) - u, 0) + 1e-9, 6) AS s_u
 FROM (SELECT *, {mass} AS k FROM raw_near) GROUP BY scan, pid, c_y, c_x, v, u"""
 
 
 def _shift(w, kernel, size, weight, points=None):
     out = meanshift.shift_vectors(
         w.weighted if points is None else points, tb.GRID, ["v", "u"], tb.DETECTION.ranges, kernel, size, weight, normalise=False)
-    return out.select("scan", "pid", r("s_y", "s_y"), r("s_x", "s_x"), r("s_v", "s_v"), r("s_u", "s_u"))
+    return out.select("scan", "pid", up("s_y", "s_y"), up("s_x", "s_x"), up("s_v", "s_v"), up("s_u", "s_u"))
 
 
 @query("ms_vector", _shift_sql("exp(-5e-1 * d2) * 5e-1 * n_w"))
@@ -72,7 +72,7 @@ def ms_gridded_shift(w):
 
 @query("ms_vector_3d", """
 SELECT scan, pid, round(sum(k * n_z) / sum(k) - z, 6) AS s_z, round(sum(k * n_y) / sum(k) - y, 6) AS s_y, round(sum(k * n_x) / sum(k) - x, 6) AS s_x
-FROM (SELECT a.scan, a.z, a.y, a.x, a.z * 675 + a.y * 27 + a.x AS pid, b.z AS n_z, b.y AS n_y, b.x AS n_x,
+FROM (SELECT a.scan, a.z, a.y, a.x, CAST(a.z * 675 + a.y * 27 + a.x AS BIGINT) AS pid, b.z AS n_z, b.y AS n_y, b.x AS n_x,
              exp(-5e-1 * (((a.z-b.z)/2e0)*((a.z-b.z)/2e0) + ((a.y-b.y)/2e0)*((a.y-b.y)/2e0) + ((a.x-b.x)/2e0)*((a.x-b.x)/2e0))) * 5e-1 AS k,
              ((a.z-b.z)/2e0)*((a.z-b.z)/2e0) + ((a.y-b.y)/2e0)*((a.y-b.y)/2e0) + ((a.x-b.x)/2e0)*((a.x-b.x)/2e0) AS d2
       FROM cells_3d a JOIN cells_3d b ON b.scan = a.scan AND abs(a.z-b.z) <= 2 AND abs(a.y-b.y) <= 2 AND abs(a.x-b.x) <= 2) WHERE d2 <= 1

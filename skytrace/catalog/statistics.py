@@ -173,7 +173,7 @@ def _records(w):
 
 
 CTES["foreign_records"] = """
-SELECT id, ts, num_core_pixels, CAST(printf('%.2f', (id % 32) * 10 + value / 100) AS DOUBLE) AS x_km, CAST(printf('%.2f', h * 10 + value / 100) AS DOUBLE) AS y_km
+SELECT id, ts, num_core_pixels, CAST(printf('%.4f', (id % 32) * 10 + value / 100) AS DOUBLE) AS x_km, CAST(printf('%.4f', h * 10 + value / 100) AS DOUBLE) AS y_km
 FROM (SELECT user_id AS id, CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS ts, value, hour(ts) AS h, CAST(floor(value) AS BIGINT) % 50 AS num_core_pixels FROM events)"""
 CTES["foreign_speed"] = """
 SELECT id, ts, sqrt((x_km - px)*(x_km - px) + (y_km - py)*(y_km - py)) * 1e3 / (ts - pts) AS speed FROM (

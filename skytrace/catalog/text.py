@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skytrace.catalog.base import erfc_sql, query
-from skytrace.catalog.scans import r
+from skytrace.catalog.scans import r, up
 from skytrace.functions import special, vectors
 from skytrace.sources import tables as tb
 
@@ -24,13 +24,13 @@ _DOT, _NA, _NB = "(a1*b1 + a2*b2 + a3*b3)", "sqrt(a1*a1 + a2*a2 + a3*a3)", "sqrt
 
 
 @query("fn_vector_math", f"""
-SELECT {', '.join(_KEY)}, round(a2 + b2, 6) AS added, round(a3 - b3, 6) AS subtracted, round(a1 * 15e-1, 6) AS scaled, round(a2 / 4e0, 6) AS divided,
+SELECT {', '.join(_KEY)}, round(a2 + b2, 6) AS added, round(a3 - b3, 6) AS subtracted, round(a1 * 15e-1, 6) AS scaled, round(a2 / 4e0 + 1e-9, 6) AS divided,
        round(a2 * b2, 6) AS product, round({_DOT}, 6) AS dot, round({_NA}, 6) AS norm {_V}""")
 def fn_vector_math(w):
     p, a, b = _pairs(w), F.col("a"), F.col("b")
     return p.select(
         *_KEY, r(vectors.add(a, b)[1], "added"), r(vectors.subtract(a, b)[2], "subtracted"), r(vectors.scale(a, 1.5)[0], "scaled"),
-        r(vectors.divide(a, 4.0)[1], "divided"), r(vectors.diagonal_product(a, b)[1], "product"), r(vectors.dot(a, b), "dot"), r(vectors.norm(a), "norm"))
+        up(vectors.divide(a, 4.0)[1], "divided"), r(vectors.diagonal_product(a, b)[1], "product"), r(vectors.dot(a, b), "dot"), r(vectors.norm(a), "norm"))
 
 
 @query("fn_vector_tests", f"""

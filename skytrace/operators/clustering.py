@@ -6,6 +6,8 @@ cluster order within and across scans is the order of this label.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,16 +17,24 @@ from skytrace.operators.ordering import number_rows
 from skytrace.params import Grid
 from skytrace.session import attach, cut
 
-TILE = 64
+TILE_CELLS = 16_384
+
+
+def _fits_one_tile(grid: Grid) -> bool:
+    side = int(TILE_CELLS ** (1.0 / len(grid.dims)))
+    return all(n <= side for n in grid.sizes)
 
 
 def _tile(grid: Grid, columns: dict[str, F.Column]) -> F.Column:
-    """Number of the spatial tile of a grid point, unique across scans."""
-    per_dim = [-(-n // TILE) for n in grid.sizes]
+    """Number of the spatial tile of a grid point, unique across scans. A tile holds at most ``TILE_CELLS`` cells;
+    where a whole scan is smaller than that, neighbouring scans share a tile to keep the groups worthwhile."""
+    side = int(TILE_CELLS ** (1.0 / len(grid.dims)))
+    per_dim = [-(-n // side) for n in grid.sizes]
+    bundle = max(1, TILE_CELLS // math.prod(min(n, side) for n in grid.sizes))
     tile = F.col("scan")
     for d, n in zip(grid.dims, per_dim):
-        tile = tile * F.lit(n) + F.floor(columns[d] / F.lit(TILE))
-    return tile.cast("bigint")
+        tile = tile * F.lit(n) + F.floor(columns[d] / F.lit(side))
+    return F.floor(tile / F.lit(bundle)).cast("bigint")
 
 
 def zero_shift_edges(shifts: DataFrame, grid: Grid) -> DataFrame:
@@ -73,7 +83,7 @@ def boundary_flags(shifts: DataFrame, grid: Grid) -> DataFrame:
 def components(shifts: DataFrame, grid: Grid) -> DataFrame:
     """(gid, cluster) for every point with at least one edge; isolated points belong to no cluster."""
     edges = zero_shift_edges(shifts, grid).unionByName(shift_edges(shifts, grid)).drop("scan")
-    return connected_components(edges).select(F.col("node").alias("gid"), F.col("label").alias("cluster"))
+    return connected_components(edges, _fits_one_tile(grid)).select(F.col("node").alias("gid"), F.col("label").alias("cluster"))
 
 
 def finalise(labels: DataFrame, shifts: DataFrame) -> DataFrame:
@@ -107,8 +117,11 @@ def at_least(members: DataFrame, minimum: int) -> DataFrame:
 
 
 def number_clusters(clusters: DataFrame, first_uuid: int = 0) -> DataFrame:
-    """Consecutive uuid over all scans and consecutive id per scan, both in cluster order, starting at 1."""
-    numbered = cut(number_rows(clusters, "cluster", "uuid"))
+    """Consecutive uuid over all scans and consecutive id per scan, both in cluster order, starting at 1.
+
+    ``clusters`` is read several times: pass a stored table.
+    """
+    numbered = number_rows(clusters, "cluster", "uuid")
     first = numbered.groupBy("scan").agg(F.min("uuid").alias("_first"))
     out = attach(numbered, first, ["scan"], "cluster")
     return out.withColumn("detection_id", F.col("uuid") - F.col("_first") + 1).withColumn(

@@ -91,10 +91,17 @@ def _jump(parent: DataFrame) -> DataFrame:
     return _follow(parent, parent)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Components of ``edges(src, dst, src_tile, dst_tile)`` as (node, label), label = smallest node id."""
+def connected_components(edges: DataFrame, one_tile: bool = False) -> DataFrame:
+    """Components of ``edges(src, dst, src_tile, dst_tile)`` as (node, label), label = smallest node id.
+
+    ``one_tile`` promises that no edge crosses tiles (every scan fits into one).
+    """
+    if not one_tile:
+        edges = cut(edges)
     local_edges = edges.where("src_tile = dst_tile AND src <> dst").select(F.col("src_tile").alias("tile"), "src", "dst")
     local = cut(local_edges.groupBy("tile").applyInPandas(_tile_labels, "node bigint, label bigint"))
+    if one_tile:
+        return local
     # a node lies in one tile, so it has at most one local label
     across = edges.where("src_tile <> dst_tile").select("src", "dst")
     for end in ("src", "dst"):

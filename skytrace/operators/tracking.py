@@ -268,12 +268,12 @@ def _events(candidates: DataFrame, hub: str, leaf: str, params: TrackingParams)
 
 def merges(scored: DataFrame, matches: DataFrame, params: TrackingParams) -> tuple[DataFrame, DataFrame]:
     """(events: pair, n, parts = previous clusters), (re-tags: pair, n, m)."""
-    return _events(merge_candidates(scored, matches, params), "n", "m", params)
+    return _events(cut(merge_candidates(scored, matches, params)), "n", "m", params)
 
 
 def splits(scored: DataFrame, links: DataFrame, params: TrackingParams) -> tuple[DataFrame, DataFrame]:
     """(events: pair, m, parts = current clusters), (re-tags: pair, m, n)."""
-    return _events(split_candidates(scored, links, params), "m", "n", params)
+    return _events(cut(split_candidates(scored, links, params)), "m", "n", params)
 
 
 def resolve_ids(clusters: DataFrame, links: DataFrame, fresh: DataFrame) -> DataFrame:

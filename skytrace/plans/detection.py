@@ -12,7 +12,7 @@ from skytrace.functions.weights import WeightFunction, weigh
 from skytrace.operators import aggregates, clustering, featurespace, filters, meanshift
 from skytrace.operators.featurespace import Variable
 from skytrace.params import DetectionParams, Grid
-from skytrace.session import cut
+from skytrace.session import cut, store
 
 
 @dataclass
@@ -71,7 +71,9 @@ def detect(
     members = members.withColumns({"mode_src_" + n: F.col(n) for n in names})
     if smoothed:
         members = clustering.raw_values(members, stored, names)
-    members = cut(clustering.at_least(cut(members), params.min_cluster_size))
+    members = cut(members)
+    if params.min_cluster_size > 1:
+        members = cut(clustering.at_least(members, params.min_cluster_size))
     if blocked is None:
         blocked = cells.where(featurespace.off_limits(variables)).select("scan", *grid.dims)
     return Detection(stored, weighted, shifts, members, describe(members, grid, names, blocked))
@@ -84,4 +86,4 @@ def describe(members: DataFrame, grid: Grid, names: list[str], blocked: DataFram
     margin = clustering.margin_flags(members, blocked, grid).select("cluster", F.lit(True).alias("_m"))
     table = summary.join(radius, "cluster").join(margin, "cluster", "left")
     table = table.withColumn("has_margin", F.coalesce("_m", F.lit(False))).drop("_m")
-    return cut(clustering.number_clusters(table, first_uuid))
+    return store(clustering.number_clusters(cut(table), first_uuid))

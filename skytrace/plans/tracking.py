@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skytrace.operators import aggregates, tracking, trackstats
 from skytrace.params import Grid, TrackingParams
-from skytrace.session import attach, cut
+from skytrace.session import attach, cut, store
 
 
 @dataclass
@@ -45,7 +45,7 @@ def track(
 
     ``known(cluster, id)`` gives ids from an earlier run to the clusters of the first scan, for incremental runs.
     """
-    pairs = cut(tracking.scan_pairs(scans, params))
+    pairs = store(tracking.scan_pairs(scans, params))
     base = clusters
     if params.correlation_weight != 0.0 and params.tracking_variable:
         lo, hi = limits[params.tracking_variable]
@@ -53,16 +53,16 @@ def track(
         base = cut(clusters.join(hist.select("cluster", "hist"), "cluster"))
     candidates = cut(tracking.candidate_pairs(base, members, pairs, grid, params))
     maxima = cut(tracking.pair_maxima(candidates, base, pairs, grid, params))
-    scored = cut(tracking.score(candidates, maxima, params))
-    matches = cut(tracking.match(scored))
+    scored = store(tracking.score(candidates, maxima, params))
+    matches = store(tracking.match(scored))
     merge_events, merge_tags = tracking.merges(scored, matches, params)
-    merge_events, merge_tags = cut(merge_events), cut(merge_tags)
+    merge_events, merge_tags = store(merge_events), store(merge_tags)
     links = matches.select("pair", "n", "m").unionByName(merge_tags.select("pair", "n", "m"))
-    links = cut(links)
+    links = store(links)
     split_events, split_tags = tracking.splits(scored, links, params)
-    split_events, split_tags = cut(split_events), cut(split_tags)
+    split_events, split_tags = store(split_events), store(split_tags)
     retagged = merge_tags.select("pair", "n", "m").unionByName(split_tags.select("pair", "n", "m"))
-    links = cut(links.unionByName(split_tags.select("pair", "n", "m")))
+    links = store(links.unionByName(split_tags.select("pair", "n", "m")))
     if known is None:
         fresh = tracking.fresh_ids(clusters, matches, highest_id)
     else:
@@ -70,10 +70,10 @@ def track(
         fresh = tracking.fresh_ids(rest, matches, highest_id).select("cluster", "new_id").unionByName(
             known.select("cluster", F.col("id").alias("new_id"))
         )
-    fresh = cut(fresh)
-    ids = cut(tracking.resolve_ids(clusters, links, fresh))
-    tracked = cut(_tracked(clusters, ids, matches, pairs, grid))
-    events = cut(_events(clusters, ids, pairs, matches, retagged, merge_events, split_events))
+    fresh = store(fresh)
+    ids = store(tracking.resolve_ids(clusters, links, fresh))
+    tracked = store(_tracked(clusters, ids, matches, pairs, grid))
+    events = store(_events(clusters, ids, pairs, matches, retagged, merge_events, split_events))
     return Tracks(pairs, scored, matches, merge_events, split_events, retagged, fresh, ids, tracked, events)
 
 
