@@ -31,7 +31,7 @@ def agg_center(w):
 
 def _weighed_sql(mass: str) -> str:
     return f"""
-SELECT cluster, round(sum(c_y * q) / sum(q), 6) AS center_y, round(sum(c_x * q) / sum(q), 6) AS center_x FROM (
+SELECT cluster, round(sum(c_y * q) / sum(q) + 1e-9, 6) AS center_y, round(sum(c_x * q) / sum(q) + 1e-9, 6) AS center_x FROM (
   SELECT m.cluster, c_y, c_x, CASE WHEN c.max_v = c.min_v THEN 1e0 ELSE {mass} / (c.max_v - c.min_v) END AS q
   FROM members m JOIN clusters c ON c.cluster = m.cluster) GROUP BY cluster"""
 
@@ -39,13 +39,13 @@ SELECT cluster, round(sum(c_y * q) / sum(q), 6) AS center_y, round(sum(c_x * q)
 @query("agg_weighed_center", _weighed_sql("(v - c.min_v)"))
 def agg_weighed_center(w):
     out = aggregates.weighed_center(w.detection.members, tb.GRID, "v")
-    return out.select("cluster", r("center_y", "center_y"), r("center_x", "center_x"))
+    return out.select("cluster", up("center_y", "center_y"), up("center_x", "center_x"))
 
 
 @query("agg_weighed_center_inverted", _weighed_sql("(c.max_v - v)"))
 def agg_weighed_center_inverted(w):
     out = aggregates.weighed_center(w.detection.members, tb.GRID, "v", inverted=True)
-    return out.select("cluster", r("center_y", "center_y"), r("center_x", "center_x"))
+    return out.select("cluster", up("center_y", "center_y"), up("center_x", "center_x"))
 
 
 @query("agg_bbox", "SELECT cluster, bbox_min_y, bbox_max_y, bbox_min_x, bbox_max_x FROM clusters")
