@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,7 +117,7 @@ def _decode_composites(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         for name, content in zip(batch["name"], batch["content"]):
             head, _, body = content.partition(b"\x03")
             text = head.decode("latin-1")
-            rows, cols = (int(v) for v in text.split("GP")[1][:9].split("x"))
+            rows, cols = (int(v) for v in re.search(r"GP\s*(\d+)\s*x\s*(\d+)", text).groups())
             raw = np.frombuffer(body, dtype=np.uint8, count=rows * cols)
             y, x = np.divmod(np.arange(rows * cols, dtype=np.int32), cols)
             yield pd.DataFrame({

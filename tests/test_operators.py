@@ -500,13 +500,14 @@ def test_split_without_match_continues_in_the_largest_part(spark):
 
 def test_overlap_constraint(spark):
     """A cluster too wide to move off its own area must be overlapped to continue."""
-    far = {0: [(0, 40, 0, 18)], 1: [(0, 40, 20, 38)]}
-    # at 100 m/s and 300 s a jump of 20 km is fast enough, but the radius (10 km) calls for overlap at lower limits
-    loose = TrackingParams(max_velocity=70.0, use_overlap_constraint=False)
-    tight = TrackingParams(max_velocity=70.0)
-    assert _track(spark, far, loose)[0][1, 20] == 1
-    ids, _, t = _track(spark, far, tight)
-    assert ids[1, 20] == (1 if t.tracked.agg(F.max("radius_m")).first()[0] < 0.5 * 70 * 300 else 2)
+    far = {0: [(0, 40, 0, 10)], 1: [(0, 40, 11, 21)]}
+    # radius about 10.6 km; 11 km in 300 s is within the speed limit, but half the reach is only 6 km
+    loose = TrackingParams(max_velocity=40.0, use_overlap_constraint=False)
+    tight = TrackingParams(max_velocity=40.0)
+    assert _track(spark, far, loose)[0][1, 11] == 1
+    assert _track(spark, far, tight)[0][1, 11] == 2
+    # with a larger reach no overlap is asked for
+    assert _track(spark, far, TrackingParams(max_velocity=80.0))[0][1, 11] == 1
 
 
 def test_long_chains_resolve(spark):
