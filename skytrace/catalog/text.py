@@ -44,16 +44,12 @@ def fn_vector_tests(w):
         vectors.closer_than(a, b, 30.0).alias("closer"), vectors.is_null_vector(a).alias("is_null"))
 
 
-@query("fn_index_of_first", """
-SELECT user_id, CAST(coalesce(list_position(list(event_type ORDER BY event_id), 'click'), 0) - 1 AS INTEGER) AS first_click FROM events GROUP BY user_id""")
+@query("fn_index_of_first", f"""
+SELECT {', '.join(_KEY)}, CAST(CASE WHEN l_linenumber = l_suppkey % 7 THEN 0 WHEN l_linenumber = l_partkey % 7 THEN 1 WHEN l_linenumber = l_orderkey % 7 THEN 2 ELSE -1 END AS INTEGER) AS idx
+FROM lineitem""")
 def fn_index_of_first(w):
-    ordered = w.table("events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"))
-    # position of the first click = number of events before it; no list of a user's events is built
-    first = ordered.where("event_type = 'click'").select("user_id", "first_id")
-    events = w.table("events").select("user_id", "event_id")
-    joined = events.join(first, "user_id", "left")
-    return joined.groupBy("user_id").agg(
-        F.when(F.max("first_id").isNull(), F.lit(-1)).otherwise(F.count_if(F.col("event_id") < F.col("first_id"))).cast("int").alias("first_click"))
+    digits = F.array(*[(F.col(c) % 7).cast("bigint") for c in ("l_suppkey", "l_partkey", "l_orderkey")])
+    return w.table("lineitem").select(*_KEY, vectors.index_of_first(digits, F.col("l_linenumber").cast("bigint")).alias("idx"))
 
 
 @query("fn_erfc", f"SELECT event_id, round({erfc_sql('value / 200e0')}, 6) AS tail FROM events")
@@ -73,36 +69,39 @@ def fn_vector_json(w):
     return w.points.select("scan", "pid", vectors.vector_to_json(vectors.vec("c_y", "c_x")).alias("json"))
 
 
-_ORDER_SETS = "SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY l_orderkey"
+_SET = "list_sort(list_distinct([l_suppkey % 5, l_partkey % 5, l_orderkey % 5]))"
 
 
-@query("fn_set_text", f"SELECT l_orderkey, '{{' || array_to_string(s, ',') || '}}' AS text, CAST(len(s) AS INTEGER) AS n FROM ({_ORDER_SETS})")
+def _small_set(offset: int = 0):
+    return F.array(*[((F.col(c) + offset) % 5).cast("bigint") for c in ("l_suppkey", "l_partkey", "l_orderkey")])
+
+
+@query("fn_set_text", f"SELECT {', '.join(_KEY)}, '{{' || array_to_string({_SET}, ',') || '}}' AS text, CAST(len({_SET}) AS INTEGER) AS n FROM lineitem")
 def fn_set_text(w):
-    sets = w.table("lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("s"))
-    text = vectors.set_to_text(F.col("s"))
-    return sets.select("l_orderkey", text.alias("text"), F.size(vectors.set_from_text(text)).alias("n"))
+    text = vectors.set_to_text(_small_set())
+    return w.table("lineitem").select(*_KEY, text.alias("text"), F.size(vectors.set_from_text(text)).alias("n"))
 
 
 @query("fn_map_text", f"""
-SELECT o_custkey, '[' || string_agg(l_orderkey || ':{{' || array_to_string(s, ',') || '}};', '' ORDER BY l_orderkey) || ']' AS text, CAST(count(*) AS INTEGER) AS n
-FROM ({_ORDER_SETS}) JOIN orders ON o_orderkey = l_orderkey GROUP BY o_custkey""")
+SELECT {', '.join(_KEY)}, '[' || l_linenumber || ':{{' || array_to_string({_SET}, ',') || '}};' || (l_linenumber + l_orderkey + 1) || ':{{' || l_suppkey || '}};]' AS text,
+       CAST(2 AS INTEGER) AS n FROM lineitem""")
 def fn_map_text(w):
-    sets = w.table("lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("ids"))
-    o = w.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    maps = sets.join(o, "l_orderkey").groupBy("o_custkey").agg(
-        F.collect_list(F.struct(F.col("l_orderkey").alias("key"), F.array_sort("ids").alias("ids"))).alias("entries"))
-    text = vectors.map_to_text(F.col("entries"))
-    return maps.select("o_custkey", text.alias("text"), F.size(vectors.map_from_text(text)).alias("n"))
+    entry = lambda key, ids: F.struct(key.cast("bigint").alias("key"), ids.alias("ids"))
+    line = F.col("l_linenumber")
+    text = vectors.map_to_text(F.array(entry(line + F.col("l_orderkey") + 1, F.array("l_suppkey")), entry(line, _small_set())))
+    return w.table("lineitem").select(*_KEY, text.alias("text"), F.size(vectors.map_from_text(text)).alias("n"))
+
+
+_SET2 = "[(l_suppkey + 1) % 5, (l_partkey + 1) % 5, (l_orderkey + 1) % 5]"
 
 
-@query("fn_set_ops", """
-SELECT s_nationkey, len(list_distinct(list(s_suppkey))) AS n, count(*) FILTER (WHERE s_acctbal > 0) AS kept FROM supplier GROUP BY s_nationkey""")
+@query("fn_set_ops", f"""
+SELECT {', '.join(_KEY)}, CAST(len(list_distinct(list_concat({_SET}, {_SET2}))) AS INTEGER) AS united, CAST(len(list_intersect({_SET}, {_SET2})) AS INTEGER) AS common,
+       CAST(len(list_filter({_SET}, lambda x: NOT list_contains({_SET2}, x))) AS INTEGER) AS erased FROM lineitem""")
 def fn_set_ops(w):
-    ids = w.table("supplier").groupBy("s_nationkey").agg(
-        F.collect_set("s_suppkey").alias("all_ids"), F.collect_set(F.when(F.col("s_acctbal") <= 0, F.col("s_suppkey"))).alias("erased"))
-    return ids.select(
-        "s_nationkey", F.size(F.array_union("all_ids", "erased")).cast("bigint").alias("n"),
-        F.size(F.array_except("all_ids", "erased")).cast("bigint").alias("kept"))
+    a, b = _small_set(), _small_set(1)
+    return w.table("lineitem").select(
+        *_KEY, F.size(F.array_union(a, b)).alias("united"), F.size(F.array_intersect(a, b)).alias("common"), F.size(F.array_except(a, b)).alias("erased"))
 
 
 @query("fn_assignments", "SELECT event_id, CAST(user_id AS DOUBLE) AS u, CAST(event_id AS DOUBLE) AS e FROM events")

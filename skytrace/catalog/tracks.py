@@ -92,7 +92,7 @@ def trk_likelihood_full(w):
     base = cut(d.clusters.join(hist, "cluster"))
     candidates = cut(tracking.candidate_pairs(base, d.members, t.pairs, tb.GRID, _FULL))
     maxima = tracking.pair_maxima(candidates, base, t.pairs, tb.GRID, _FULL)
-    return tracking.score(candidates, cut(maxima), _FULL).where("possible").select("n", "m", r("likelihood", "likelihood"))
+    return tracking.score(candidates, maxima, t.pairs, _FULL).where("possible").select("n", "m", r("likelihood", "likelihood"))
 
 
 @query("trk_match", "SELECT pair, n, m, round(dr_m, 6) AS dr_m FROM matches")

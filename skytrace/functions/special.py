@@ -12,18 +12,20 @@ ERFC_FIT = (
 )
 
 
-def erfc(z: Column) -> Column:
+def erfc(z: Column, non_negative: bool = False) -> Column:
     """Complementary error function as one codegen-friendly expression."""
-    a = F.abs(z)
+    a = z if non_negative else F.abs(z)
     t = F.lit(1.0) / (F.lit(1.0) + a * 0.5)
     poly = F.lit(ERFC_FIT[-1])
     for c in reversed(ERFC_FIT[:-1]):
         poly = F.lit(c) + t * poly
     tail = t * F.exp(poly - a * a)
+    if non_negative:
+        return tail
     return F.when(z >= 0, tail).otherwise(F.lit(2.0) - tail)
 
 
 def relative_erfc(value: Column, maximum: Column) -> Column:
     """erfc(value / maximum) with an empty or zero maximum read as 'smallest possible scale'."""
     scale = F.greatest(F.coalesce(maximum, F.lit(0.0)), F.lit(1e-300))
-    return erfc(F.least(value / scale, F.lit(30.0)))
+    return erfc(F.least(value / scale, F.lit(30.0)), non_negative=True)

@@ -40,7 +40,7 @@ def _squared_distance(columns: list[str], centres: list[str], factors: tuple[flo
 def radius(members: DataFrame, clusters: DataFrame, grid: Grid) -> DataFrame:
     """Mean distance in metres of the members to the spatial part of the mode."""
     centres = clusters.select("cluster", *["center_" + d for d in grid.dims])
-    joined = attach(members.select("scan", "cluster", "gid", *["c_" + d for d in grid.dims]), centres, ["cluster"], "gid")
+    joined = attach(members.select("scan", "cluster", "gid", *["c_" + d for d in grid.dims]), centres, ["cluster"], "gid", part_of=clusters)
     d2 = _squared_distance(["c_" + d for d in grid.dims], ["center_" + d for d in grid.dims], grid.meters)
     return joined.groupBy("scan", "cluster").agg(F.avg(F.sqrt(d2)).alias("radius_m"))
 

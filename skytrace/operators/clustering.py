@@ -113,7 +113,7 @@ def at_least(members: DataFrame, minimum: int) -> DataFrame:
     if minimum <= 1:
         return members
     big = cut(sizes(members).where(F.col("size") >= minimum).select("cluster"))
-    return attach(members, big, ["cluster"], "gid").select(*members.columns)
+    return attach(members, big, ["cluster"], "gid", part_of=big).select(*members.columns)
 
 
 def number_clusters(clusters: DataFrame, first_uuid: int = 0) -> DataFrame:
@@ -123,7 +123,7 @@ def number_clusters(clusters: DataFrame, first_uuid: int = 0) -> DataFrame:
     """
     numbered = number_rows(clusters, "cluster", "uuid")
     first = numbered.groupBy("scan").agg(F.min("uuid").alias("_first"))
-    out = attach(numbered, first, ["scan"], "cluster")
+    out = attach(numbered, first, ["scan"], "cluster", part_of=clusters)
     return out.withColumn("detection_id", F.col("uuid") - F.col("_first") + 1).withColumn(
         "uuid", F.col("uuid") + F.lit(first_uuid)
     ).drop("_first")

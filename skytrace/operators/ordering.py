@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skytrace.session import attach, row_count
+
 ROWS_PER_BUCKET = 200_000
 MAX_BUCKETS = 512
 SAMPLES_PER_BUCKET = 20
@@ -16,7 +18,7 @@ def number_rows(df: DataFrame, key: str, out: str) -> DataFrame:
     Rows are split into key ranges at sampled keys (a bounded list of literals, so every recomputation sees
     the same ranges); each range is numbered on its own and offset by the counts of the ranges before it.
     """
-    n = df.count()
+    n = row_count(df)
     buckets = min(MAX_BUCKETS, max(1, n // ROWS_PER_BUCKET))
     bucket = F.lit(0)
     if buckets > 1:
@@ -62,8 +64,6 @@ def _binned_median(df: DataFrame, group: str, bins: int = MEDIAN_BINS) -> DataFr
     counted = df.groupBy(group, "_v").agg(F.count("*").alias("_n"))
     span = counted.groupBy(group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
     # the span table has one row per group, a group's rows are spread by the value hash
-    from skytrace.session import attach
-
     position = F.try_divide((F.col("_v") - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo"))
     binned = attach(counted, span, [group], "_v").withColumn(
         "_bin", F.least(F.coalesce(F.floor(position), F.lit(0)), F.lit(bins - 1)).cast("int")

@@ -16,7 +16,7 @@ from skytrace.operators.clustering import cell_cover
 from skytrace.operators.neighbours import near_pairs
 from skytrace.operators.ordering import number_rows
 from skytrace.params import Grid, TrackingParams
-from skytrace.session import attach, cut
+from skytrace.session import attach, cut, store
 
 # Scores are compared after rounding to this many digits.
 DIGITS = 9
@@ -51,9 +51,9 @@ def advect(members: DataFrame, clusters: DataFrame, grid: Grid) -> DataFrame:
 def covers(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Cells shared by clusters of linked scans: (pair, n, m, shared)."""
     linked = pairs.where("linked").select("scan", "prev_scan")
-    as_current = attach(members.select("scan", "pid", "cluster"), linked.select("scan"), ["scan"], "pid")
+    as_current = attach(members.select("scan", "pid", "cluster"), linked.select("scan"), ["scan"], "pid", part_of=pairs)
     as_previous = attach(
-        members.select(F.col("scan").alias("prev_scan"), "pid", "cluster"), linked, ["prev_scan"], "pid"
+        members.select(F.col("scan").alias("prev_scan"), "pid", "cluster"), linked, ["prev_scan"], "pid", part_of=pairs
     )
     return cell_cover(
         as_current.select(F.col("scan").alias("pair"), "pid", F.col("cluster").alias("n")),
@@ -66,8 +66,8 @@ def _sides(clusters: DataFrame, pairs: DataFrame, grid: Grid, extra: list[str])
     metres = [(F.col("center_" + d) * F.lit(f)).alias("m_" + d) for d, f in zip(grid.dims, grid.meters)]
     slim = clusters.select("scan", "cluster", "size", "radius_m", *metres, *extra)
     linked = pairs.where("linked").select("scan", "prev_scan", "dt")
-    current = attach(slim, linked.select("scan", "dt"), ["scan"], "cluster").withColumnRenamed("scan", "pair")
-    previous = attach(slim.withColumnRenamed("scan", "prev_scan"), linked, ["prev_scan"], "cluster")
+    current = attach(slim, linked.select("scan", "dt"), ["scan"], "cluster", part_of=pairs).withColumnRenamed("scan", "pair")
+    previous = attach(slim.withColumnRenamed("scan", "prev_scan"), linked, ["prev_scan"], "cluster", part_of=pairs)
     previous = previous.withColumnRenamed("scan", "pair").drop("prev_scan")
     return current.withColumnRenamed("cluster", "n"), previous.withColumnRenamed("cluster", "m")
 
@@ -96,7 +96,7 @@ def candidate_pairs(
     """
     use_hist = params.correlation_weight != 0.0 and "hist" in clusters.columns
     extra = ["hist"] if use_hist else []
-    current, previous = (cut(s) for s in _sides(clusters, pairs, grid, extra))
+    current, previous = _sides(clusters, pairs, grid, extra)
     shared = covers(members, pairs)
     near = _reachable(current, previous, grid, params).withColumn("shared", F.lit(0).cast("bigint"))
     both = near.unionByName(shared).groupBy("pair", "n", "m").agg(F.sum("shared").alias("shared"))
@@ -161,9 +161,9 @@ def pair_maxima(candidates: DataFrame, clusters: DataFrame, pairs: DataFrame, gr
     return out.select("pair", "max_dr", max_dh.alias("max_dh"))
 
 
-def score(candidates: DataFrame, maxima: DataFrame, params: TrackingParams) -> DataFrame:
-    """Add ``likelihood`` and the merge and split criteria."""
-    df = attach(candidates, maxima, ["pair"], "n")
+def score(candidates: DataFrame, maxima: DataFrame, pairs: DataFrame, params: TrackingParams) -> DataFrame:
+    """Add ``likelihood`` and the merge and split criteria. ``maxima`` has at most one row per scan pair."""
+    df = attach(candidates, maxima, ["pair"], "n", part_of=pairs)
     near = relative_erfc(F.col("dr_m"), F.col("max_dr"))
     alike = relative_erfc(F.col("size_diff"), F.col("max_dh")) if params.size_weight != 0 else F.lit(1.0)
     likelihood = F.lit(float(params.range_weight)) * near
@@ -184,26 +184,28 @@ def match(scored: DataFrame) -> DataFrame:
     """Greedy one-to-one assignment by falling likelihood (ties: smaller n, then m), computed in rounds.
 
     A pair that is best for both its clusters among the pairs left is one the sequential pass would take, so each
-    round accepts all such pairs and drops the pairs of the clusters taken. Both steps are windows over
-    the few candidates of one cluster.
+    round accepts all such pairs and drops the other pairs of their clusters. An accepted pair is alone in its windows
+    afterwards and stays accepted, so rounds repeat until only accepted pairs are left.
     """
-    left = cut(scored.where("possible").select("pair", "n", "m", "likelihood", "dr_m", "dt"))
-    of_n, of_m = Window.partitionBy("n"), Window.partitionBy("m")
-    accepted = None
+    state = scored.where("possible").select("pair", "n", "m", "likelihood", "dr_m", "dt")
     while True:
-        ranked = (
-            left.withColumn("_rn", F.row_number().over(of_n.orderBy(F.desc("likelihood"), "m")))
-            .withColumn("_rm", F.row_number().over(of_m.orderBy(F.desc("likelihood"), "n")))
-            .withColumn("_hit", (F.col("_rn") == 1) & (F.col("_rm") == 1))
-            .withColumn("_m_taken", F.bool_or("_hit").over(of_m))
-            .withColumn("_n_taken", F.bool_or("_hit").over(of_n))
-        )
-        ranked = cut(ranked.where("_hit OR NOT (_m_taken OR _n_taken)"))
-        hits = ranked.where("_hit").select(*left.columns)
-        accepted = hits if accepted is None else accepted.unionByName(hits)
-        left = ranked.where("NOT _hit").select(*left.columns)
-        if left.isEmpty():
-            return accepted
+        state = store(_match_round(_match_round(state.drop("hit"))))
+        if state.where("NOT hit").isEmpty():
+            return state.drop("hit")
+
+
+def _match_round(df: DataFrame) -> DataFrame:
+    """Windows over the few candidates of one cluster; a round keeps accepted pairs and pairs still open."""
+    of_n, of_m = Window.partitionBy("n"), Window.partitionBy("m")
+    return (
+        df.drop("hit").withColumn("_rn", F.row_number().over(of_n.orderBy(F.desc("likelihood"), "m")))
+        .withColumn("_rm", F.row_number().over(of_m.orderBy(F.desc("likelihood"), "n")))
+        .withColumn("hit", (F.col("_rn") == 1) & (F.col("_rm") == 1))
+        .withColumn("_m_taken", F.bool_or("hit").over(of_m))
+        .withColumn("_n_taken", F.bool_or("hit").over(of_n))
+        .where("hit OR NOT (_m_taken OR _n_taken)")
+        .drop("_rn", "_rm", "_m_taken", "_n_taken")
+    )
 
 
 def fresh_ids(clusters: DataFrame, matches: DataFrame, highest: int = 0) -> DataFrame:
@@ -215,7 +217,7 @@ def fresh_ids(clusters: DataFrame, matches: DataFrame, highest: int = 0) -> Data
 def dropped(clusters: DataFrame, matches: DataFrame, pairs: DataFrame) -> DataFrame:
     """Previous clusters of linked pairs that found no successor in matchmaking: (pair, m)."""
     linked = pairs.where("linked").select(F.col("prev_scan").alias("scan"), F.col("scan").alias("pair"))
-    before = attach(clusters.select("scan", "cluster"), linked, ["scan"], "cluster")
+    before = attach(clusters.select("scan", "cluster"), linked, ["scan"], "cluster", part_of=pairs)
     return before.select("pair", F.col("cluster").alias("m")).join(matches.select("m"), "m", "left_anti")
 
 
@@ -268,12 +270,19 @@ def _events(candidates: DataFrame, hub: str, leaf: str, params: TrackingParams)
 
 def merges(scored: DataFrame, matches: DataFrame, params: TrackingParams) -> tuple[DataFrame, DataFrame]:
     """(events: pair, n, parts = previous clusters), (re-tags: pair, n, m)."""
-    return _events(cut(merge_candidates(scored, matches, params)), "n", "m", params)
+    return _events(store(merge_candidates(scored, matches, params)), "n", "m", params)
 
 
 def splits(scored: DataFrame, links: DataFrame, params: TrackingParams) -> tuple[DataFrame, DataFrame]:
     """(events: pair, m, parts = current clusters), (re-tags: pair, m, n)."""
-    return _events(cut(split_candidates(scored, links, params)), "m", "n", params)
+    return _events(store(split_candidates(scored, links, params)), "m", "n", params)
+
+
+def _double(state: DataFrame) -> DataFrame:
+    """Replace every unfinished ancestor by that ancestor's own."""
+    table = state.select(F.col("cluster").alias("_at"), F.col("anc").alias("_anc"), F.col("fin").alias("_fin"))
+    moved = state.where("NOT fin").join(table, F.col("anc") == F.col("_at"))
+    return state.where("fin").unionByName(moved.select("cluster", F.col("_anc").alias("anc"), F.col("_fin").alias("fin")))
 
 
 def resolve_ids(clusters: DataFrame, links: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -288,13 +297,9 @@ def resolve_ids(clusters: DataFrame, links: DataFrame, fresh: DataFrame) -> Data
     state = roots.select("cluster", F.col("cluster").alias("anc"), F.lit(True).alias("fin")).unionByName(
         up.join(started, "anc", "left").select("cluster", "anc", F.coalesce("fin", F.lit(True)).alias("fin"))
     )
-    state = cut(state)
+    state = store(_double(state))
     while not state.where("NOT fin").isEmpty():
-        table = state.select(F.col("cluster").alias("_at"), F.col("anc").alias("_anc"), F.col("fin").alias("_fin"))
-        moved = state.where("NOT fin").join(table, F.col("anc") == F.col("_at"))
-        state = cut(
-            state.where("fin").unionByName(moved.select("cluster", F.col("_anc").alias("anc"), F.col("_fin").alias("fin")))
-        )
+        state = store(_double(_double(state)))
     # all clusters of a long track share one root: a size-checked lookup
-    numbers = cut(fresh.select(F.col("cluster").alias("anc"), F.col("new_id").alias("id")))
-    return attach(state.drop("fin"), numbers, ["anc"], "cluster").select("cluster", "id")
+    numbers = fresh.select(F.col("cluster").alias("anc"), F.col("new_id").alias("id"))
+    return attach(state.drop("fin"), numbers, ["anc"], "cluster", part_of=fresh).select("cluster", "id")

@@ -52,17 +52,16 @@ def track(
         hist = aggregates.histogram_arrays(members, params.tracking_variable, lo, hi)
         base = cut(clusters.join(hist.select("cluster", "hist"), "cluster"))
     candidates = cut(tracking.candidate_pairs(base, members, pairs, grid, params))
-    maxima = cut(tracking.pair_maxima(candidates, base, pairs, grid, params))
-    scored = store(tracking.score(candidates, maxima, params))
-    matches = store(tracking.match(scored))
+    maxima = tracking.pair_maxima(candidates, base, pairs, grid, params)
+    scored = store(tracking.score(candidates, maxima, pairs, params))
+    matches = tracking.match(scored)
+    via = lambda df, how: df.select("pair", "n", "m", F.lit(how).alias("via"))
     merge_events, merge_tags = tracking.merges(scored, matches, params)
-    merge_events, merge_tags = store(merge_events), store(merge_tags)
-    links = matches.select("pair", "n", "m").unionByName(merge_tags.select("pair", "n", "m"))
-    links = store(links)
+    links = store(via(matches, "match").unionByName(via(merge_tags, "merge")))
     split_events, split_tags = tracking.splits(scored, links, params)
-    split_events, split_tags = store(split_events), store(split_tags)
-    retagged = merge_tags.select("pair", "n", "m").unionByName(split_tags.select("pair", "n", "m"))
-    links = store(links.unionByName(split_tags.select("pair", "n", "m")))
+    links = store(links.unionByName(via(split_tags, "split")))
+    merge_events, split_events = store(merge_events), store(split_events)
+    retagged = links.where("via <> 'match'").drop("via")
     if known is None:
         fresh = tracking.fresh_ids(clusters, matches, highest_id)
     else:
@@ -73,7 +72,7 @@ def track(
     fresh = store(fresh)
     ids = store(tracking.resolve_ids(clusters, links, fresh))
     tracked = store(_tracked(clusters, ids, matches, pairs, grid))
-    events = store(_events(clusters, ids, pairs, matches, retagged, merge_events, split_events))
+    events = store(_events(clusters, ids, pairs, matches, links, merge_events, split_events))
     return Tracks(pairs, scored, matches, merge_events, split_events, retagged, fresh, ids, tracked, events)
 
 
@@ -85,10 +84,10 @@ def _tracked(clusters: DataFrame, ids: DataFrame, matches: DataFrame, pairs: Dat
     table = clusters.join(ids, "cluster").join(moved, "cluster", "left")
     for d in grid.dims:
         table = table.withColumn("d_" + d, F.col("center_" + d) - F.col("_p_center_" + d))
-    return attach(table.drop(*["_p_" + c for c in centres]), pairs.select("scan", "step", "dt"), ["scan"], "cluster")
+    return attach(table.drop(*["_p_" + c for c in centres]), pairs.select("scan", "step", "dt"), ["scan"], "cluster", part_of=pairs)
 
 
-def _events(clusters, ids, pairs, matches, retagged, merge_events, split_events) -> DataFrame:
+def _events(clusters, ids, pairs, matches, links, merge_events, split_events) -> DataFrame:
     """tracked, new, dropped, merge and split events per scan, in track ids."""
     empty = F.array().cast("array<bigint>")
     of_n = ids.select(F.col("cluster").alias("n"), F.col("id").alias("n_id"))
@@ -96,7 +95,7 @@ def _events(clusters, ids, pairs, matches, retagged, merge_events, split_events)
     simple = lambda df, kind, id_col: df.select(
         F.col("pair").alias("scan"), F.lit(kind).alias("kind"), F.col(id_col).alias("id"), empty.alias("related")
     )
-    kept = matches.select("pair", "n", "m").unionByName(retagged.select("pair", "n", "m"))
+    kept = links.select("pair", "n", "m")
     tracked = simple(kept.join(of_m, "m"), "tracked", "m_id")
     started = clusters.select(F.col("scan").alias("pair"), F.col("cluster").alias("n")).join(kept.select("n"), "n", "left_anti")
     new = simple(started.join(of_n, "n"), "new", "n_id")
@@ -112,7 +111,7 @@ def _events(clusters, ids, pairs, matches, retagged, merge_events, split_events)
     merged = compound(merge_events, "n", of_n, "m", of_m, "merge")
     divided = compound(split_events, "m", of_m, "n", of_n, "split")
     union = tracked.unionByName(new).unionByName(gone).unionByName(merged).unionByName(divided)
-    return attach(union, pairs.select("scan", "step"), ["scan"], "id")
+    return attach(union, pairs.select("scan", "step"), ["scan"], "id", part_of=pairs)
 
 
 def graph(tracks: Tracks) -> tuple[DataFrame, DataFrame]:

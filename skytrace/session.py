@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,14 +45,27 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def attach(big: DataFrame, small: DataFrame, on: list[str], salt_by: str, how: str = "inner") -> DataFrame:
+_COUNTS: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def row_count(df: DataFrame) -> int:
+    """Rows of a stored table, counted once."""
+    if df not in _COUNTS:
+        _COUNTS[df] = df.count()
+    return _COUNTS[df]
+
+
+def attach(
+    big: DataFrame, small: DataFrame, on: list[str], salt_by: str, how: str = "inner", part_of: DataFrame | None = None
+) -> DataFrame:
     """Join a per-key lookup onto rows whose keys may be hot (a scan may hold a third of all rows).
 
-    The lookup is counted first. Within the bound it is broadcast; beyond it every lookup row is
-    copied per salt and the big side is spread by a hash of ``salt_by``, so one hot key reaches
-    many tasks.
+    The lookup is counted first; ``part_of`` names a stored table it is a subset of, whose count then serves as
+    the bound. Within the limit it is broadcast; beyond it every lookup row is copied per salt and the big
+    side is spread by a hash of ``salt_by``, so one hot key reaches many tasks.
     """
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    rows = row_count(part_of) if part_of is not None else small.limit(BROADCAST_ROWS + 1).count()
+    if rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))

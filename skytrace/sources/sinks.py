@@ -48,26 +48,37 @@ def replace_axes(members: DataFrame, axis: DataFrame, dims: tuple[str, ...]) ->
     return members
 
 
-def dictionary_rows(dict_clusters: DataFrame, exclude_degenerates: bool = True) -> DataFrame:
-    """One JSON document per track: id, length, clusters in step order, min and max. One row never holds more than
-    one track."""
+DOCUMENT_STEPS = 10_000
+
+
+def dictionary_rows(dict_clusters: DataFrame, exclude_degenerates: bool = True, steps: int = DOCUMENT_STEPS) -> DataFrame:
+    """One JSON document per track: id, length, part, clusters in step order, min and max.
+
+    A track has one cluster per step. One that spans more than ``steps`` steps is continued in further documents
+    (``part`` 1, 2, ...), so a document stays bounded; length, min and max always describe the whole track.
+    """
     fields = [c for c in dict_clusters.columns if c != "id"]
-    per_track = dict_clusters.groupBy("id").agg(
-        F.count("*").alias("length"),
-        F.array_sort(F.collect_list(F.struct("step", "uuid", F.struct(*fields).alias("c")))).alias("_cs"),
+    width = {c: _width(dict_clusters, c) for c in ("min", "max")}
+    whole = dict_clusters.groupBy("id").agg(
+        F.count("*").alias("length"), F.min("step").alias("_first"),
+        F.array(*[F.min(F.get("min", F.lit(k))) for k in range(width["min"])]).alias("min"),
+        F.array(*[F.max(F.get("max", F.lit(k))) for k in range(width["max"])]).alias("max"),
     )
     if exclude_degenerates:
-        per_track = per_track.where("length > 1")
-    ordered = F.transform("_cs", lambda s: s["c"])
-    limit = lambda name, pick: F.transform(
-        F.sequence(F.lit(0), F.size(F.col("_cs")[0]["c"][name]) - 1),
-        lambda k: pick(F.transform("_cs", lambda s: F.get(s["c"][name], k))),
-    )
-    doc = F.struct(
-        "id", "length", ordered.alias("clusters"),
-        limit("min", F.array_min).alias("min"), limit("max", F.array_max).alias("max"),
-    )
-    return per_track.select("id", F.to_json(doc).alias("json"))
+        whole = whole.where("length > 1")
+    # a long track's clusters meet one row here; they are combined per part, not per track
+    parts = dict_clusters.select("id", F.struct(*fields).alias("c")).join(whole.select("id", "_first"), "id")
+    parts = parts.withColumn("part", F.floor((F.col("c.step") - F.col("_first")) / steps))
+    lists = parts.groupBy("id", "part").agg(F.array_sort(F.collect_list(F.struct("c.step", "c.uuid", "c"))).alias("_cs"))
+    joined = lists.join(whole.drop("_first"), "id")
+    doc = F.struct("id", "length", "part", F.transform("_cs", lambda s: s["c"]).alias("clusters"), "min", "max")
+    return joined.select("id", "part", F.to_json(doc).alias("json"))
+
+
+def _width(df: DataFrame, column: str) -> int:
+    """Number of values in an array column; the same in every row."""
+    row = df.select(F.size(column)).first()
+    return 0 if row is None else row[0]
 
 
 def write_dictionary(
