@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from functools import cached_property
@@ -227,6 +228,52 @@ JOIN (SELECT m.cluster, avg(sqrt(((m.c_y - q.center_y)*1e3)*((m.c_y - q.center_y
 LEFT JOIN margins g ON g.cluster = p.cluster
 """
 
+
+
+def smooth_pass(source: str, names: list[str], moving: str, fixed: str, size: int, taps: list[float], symmetric: bool = True) -> str:
+    """One smoothing pass in SQL: every target i of a line collects the sources in its window."""
+    reach = len(taps) - 1
+    high, last = (reach, size - 1) if symmetric else (reach - 1, size - 2)
+    k = f"CASE abs(s.{moving} - t.i) " + " ".join(f"WHEN {i} THEN {t!r}" for i, t in enumerate(taps)) + " END"
+    sums = ", ".join(f"sum({k} * s.{n}) AS {n}" for n in names)
+    return f"""
+SELECT scan, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, {', '.join(names)}, coalesce(original, false) AS original FROM (
+SELECT s.scan, t.i AS {moving}, s.{fixed}, {sums}, bool_or(o.original) AS original
+FROM {source} s JOIN range(0, {size}) t(i) ON s.{moving} - t.i BETWEEN {-reach} AND {high} AND s.{moving} <= {last}
+LEFT JOIN {source} o ON o.scan = s.scan AND o.{fixed} = s.{fixed} AND o.{moving} = t.i GROUP BY s.scan, t.i, s.{fixed})"""
+
+
+def detection_chain(tag: str, base: str, names: list[str], taps: list[float], weight: str, ranges: tuple[float, ...], kernel: str, minimum: int) -> None:
+    """Smoothing to clusters as table expressions ``<tag>_...``. ``weight`` and ``kernel`` are SQL over the values, the scan's
+    limits lo_/hi_ and the squared distance d2."""
+    vals = ", ".join(names)
+    CTES[f"{tag}_0"] = f"SELECT scan, y, x, {vals}, true AS original FROM {base}"
+    CTES[f"{tag}_1"] = smooth_pass(f"{tag}_0", names, "y", "x", 25, taps)
+    CTES[f"{tag}_2"] = smooth_pass(f"{tag}_1", names, "x", "y", 27, taps)
+    limits = ", ".join(f"min({n}) OVER (PARTITION BY scan) AS lo_{n}, max({n}) OVER (PARTITION BY scan) AS hi_{n}" for n in names)
+    CTES[f"{tag}_w"] = f"SELECT *, CAST(scan * 675 + y * 27 + x AS BIGINT) AS gid, {weight} AS w FROM (SELECT *, {limits} FROM {tag}_2)"
+    square = lambda c, h: f"(CAST(a.{c}-b.{c} AS DOUBLE)/{float(h)!r}e0)*(CAST(a.{c}-b.{c} AS DOUBLE)/{float(h)!r}e0)"
+    d2 = " + ".join(square(c, h) for c, h in zip(["y", "x", *names], ranges))
+    ry, rx = (math.ceil(h) for h in ranges[:2])
+    CTES[f"{tag}_g"] = f"""
+SELECT scan, gid, y, x, original, CAST(round(round(coalesce(sum(k*ny)/nullif(sum(k), 0) - y, 0), 6)) AS INTEGER) AS g_y,
+       CAST(round(round(coalesce(sum(k*nx)/nullif(sum(k), 0) - x, 0), 6)) AS INTEGER) AS g_x
+FROM (SELECT *, {kernel} * nw AS k FROM (SELECT a.scan, a.gid, a.y, a.x, a.original, b.y AS ny, b.x AS nx, b.w AS nw, {d2} AS d2 FROM {tag}_w a
+      JOIN {tag}_w b ON b.scan = a.scan AND abs(a.y-b.y) <= {ry} AND abs(a.x-b.x) <= {rx}) WHERE d2 <= 1) GROUP BY scan, gid, y, x, original"""
+    CTES[f"{tag}_e"] = f"""
+SELECT a.gid AS a, b.gid AS b FROM {tag}_g a JOIN {tag}_g b ON b.scan = a.scan AND abs(a.y-b.y) <= 1 AND abs(a.x-b.x) <= 1 AND a.gid <> b.gid
+WHERE a.g_y = 0 AND a.g_x = 0 AND b.g_y = 0 AND b.g_x = 0
+UNION SELECT a.gid, b.gid FROM {tag}_g a JOIN {tag}_g b ON b.scan = a.scan AND b.y = a.y + a.g_y AND b.x = a.x + a.g_x WHERE (a.g_y <> 0 OR a.g_x <> 0) AND a.original
+UNION SELECT b.gid, a.gid FROM {tag}_g a JOIN {tag}_g b ON b.scan = a.scan AND b.y = a.y + a.g_y AND b.x = a.x + a.g_x WHERE (a.g_y <> 0 OR a.g_x <> 0) AND a.original"""
+    CTES[f"{tag}_comp"] = f"""RECURSIVE (gid, cluster) USING KEY (gid) ::
+SELECT a, min(a) FROM {tag}_e GROUP BY a
+UNION
+SELECT e.b, min(f.cluster) FROM {tag}_comp AS f JOIN {tag}_e e ON e.a = f.gid JOIN recurring.{tag}_comp AS cur ON cur.gid = e.b WHERE f.cluster < cur.cluster GROUP BY e.b"""
+    CTES[f"{tag}_clusters"] = f"""
+SELECT g.scan, c.cluster, count(*) AS size, avg(g.y) AS center_y, avg(g.x) AS center_x FROM {tag}_g g JOIN {tag}_comp c ON c.gid = g.gid
+WHERE g.original GROUP BY g.scan, c.cluster HAVING count(*) >= {minimum}"""
+
+
 CTES["medians"] = "SELECT cluster, median(v) AS median_v, median(u) AS median_u FROM members GROUP BY cluster"
 
 CTES["pairs"] = """

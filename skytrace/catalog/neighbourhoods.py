@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from skytrace.catalog.base import CTES, query
+from skytrace.catalog.base import CTES, query, smooth_pass
 from skytrace.catalog.scans import r
 from skytrace.operators import featurespace, filters, tracking
 from skytrace.operators.neighbours import box_pairs, ellipsoid_pairs, moore_pairs, near_pairs, nearest
@@ -15,25 +15,11 @@ from skytrace.sources import tables as tb
 
 SCALE = 4.0
 _TAPS = filters.smoothing_taps(SCALE, 1.0)
-_K = "CASE abs(%s) " + " ".join(f"WHEN {i} THEN {t!r}" for i, t in enumerate(_TAPS)) + " END"
-_REACH = len(_TAPS) - 1
-
-
-def _smooth_sql(source: str, moving: str, fixed: str, size: int, low: int, high: int, last: int) -> str:
-    """One pass: target index t from source index s with s - t in [low, high] and s <= last."""
-    k = _K % f"s.{moving} - t.i"
-    return f"""
-SELECT s.scan, t.i AS {moving}, s.{fixed}, sum({k} * s.v) AS v, sum({k} * s.u) AS u,
-       bool_or(s.original AND s.{moving} = t.i) AS own, bool_or(o.original) AS original
-FROM {source} s JOIN range(0, {size}) t(i) ON s.{moving} - t.i BETWEEN {low} AND {high} AND s.{moving} <= {last}
-LEFT JOIN {source} o ON o.scan = s.scan AND o.{fixed} = s.{fixed} AND o.{moving} = t.i GROUP BY ALL"""
-
-
 CTES["smooth_0"] = "SELECT scan, y, x, v, u, true AS original FROM points"
-CTES["smooth_y"] = "SELECT scan, y, x, v, u, coalesce(original, false) AS original FROM (" + _smooth_sql("smooth_0", "y", "x", 25, -_REACH, _REACH, 24) + ")"
-CTES["smooth_yx"] = "SELECT scan, y, x, v, u, coalesce(original, false) AS original FROM (" + _smooth_sql("smooth_y", "x", "y", 27, -_REACH, _REACH, 26) + ")"
-CTES["smooth_cy"] = "SELECT scan, y, x, v, u, coalesce(original, false) AS original FROM (" + _smooth_sql("smooth_0", "y", "x", 25, -_REACH, _REACH - 1, 23) + ")"
-CTES["smooth_cyx"] = "SELECT scan, y, x, v, u, coalesce(original, false) AS original FROM (" + _smooth_sql("smooth_cy", "x", "y", 27, -_REACH, _REACH - 1, 25) + ")"
+CTES["smooth_y"] = smooth_pass("smooth_0", ["v", "u"], "y", "x", 25, _TAPS)
+CTES["smooth_yx"] = smooth_pass("smooth_y", ["v", "u"], "x", "y", 27, _TAPS)
+CTES["smooth_cy"] = smooth_pass("smooth_0", ["v", "u"], "y", "x", 25, _TAPS, symmetric=False)
+CTES["smooth_cyx"] = smooth_pass("smooth_cy", ["v", "u"], "x", "y", 27, _TAPS, symmetric=False)
 
 
 @query("flt_scale_space", """

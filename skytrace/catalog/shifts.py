@@ -99,12 +99,26 @@ def trajectories(w):
     return w._trajectories
 
 
-@query("ms_trajectory")
+CTES["walk"] = """RECURSIVE (scan, seed, step, c_y, c_x, norm) ::
+SELECT scan, cluster, 0, center_y, center_x, CAST(NULL AS DOUBLE) FROM clusters
+UNION ALL
+SELECT scan, seed, step + 1, my, mx, sqrt((my - c_y) * (my - c_y) + (mx - c_x) * (mx - c_x)) FROM (
+  SELECT scan, seed, step, c_y, c_x, sum(k * py) / sum(k) AS my, sum(k * px) / sum(k) AS mx FROM (
+    SELECT t.scan, t.seed, t.step, t.c_y, t.c_x, p.c_y AS py, p.c_x AS px, p.w AS pw,
+           ((t.c_y-p.c_y)/2e0)*((t.c_y-p.c_y)/2e0) + ((t.c_x-p.c_x)/2e0)*((t.c_x-p.c_x)/2e0) AS d2, exp(-5e-1 *
+           (((t.c_y-p.c_y)/2e0)*((t.c_y-p.c_y)/2e0) + ((t.c_x-p.c_x)/2e0)*((t.c_x-p.c_x)/2e0))) * 5e-1 * p.w AS k
+    FROM walk t JOIN weighted p ON p.scan = t.scan AND abs(p.c_y - t.c_y) <= 2 AND abs(p.c_x - t.c_x) <= 2
+    WHERE (t.norm IS NULL OR t.norm >= 5e-2) AND t.step < 60) WHERE d2 <= 1 GROUP BY ALL)"""
+
+
+@query("ms_trajectory", "SELECT scan, seed, step, round(c_y, 4) AS c_y, round(c_x, 4) AS c_x FROM walk")
 def ms_trajectory(w):
     return trajectories(w).select("scan", "seed", "step", r("c_y", "c_y", 4), r("c_x", "c_x", 4))
 
 
-@query("ms_iterate")
+@query("ms_iterate", """
+SELECT w.scan, w.seed, w.step AS steps, round(w.c_y, 4) AS c_y, round(w.c_x, 4) AS c_x FROM walk w
+JOIN (SELECT seed, max(step) AS step FROM walk GROUP BY seed) l ON l.seed = w.seed AND l.step = w.step""")
 def ms_iterate(w):
     return meanshift.iterate_end(trajectories(w)).select("scan", "seed", "steps", r("c_y", "c_y", 4), r("c_x", "c_x", 4))
 

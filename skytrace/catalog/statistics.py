@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skytrace.catalog.base import CTES, query
+from skytrace.catalog.base import CTES, detection_chain, query
 from skytrace.catalog.scans import _konrad_lines, r
 from skytrace.operators import trackstats
+from skytrace.operators.filters import smoothing_taps
 from skytrace.params import (
     CLUSTER_CLASSES, DIRECTION_CLASSES, LENGTH_CLASSES, SIZE_CLASSES, SPEED_CLASSES,
 )
@@ -228,18 +229,40 @@ def st_length_index(w):
     return trackstats.length_index(trackstats.track_lengths(w.tracks.tracked))
 
 
-@query("join_graph_component")
+CTES["walks"] = """RECURSIVE (root, uuid, level) ::
+SELECT id, uuid, 0 FROM nodes
+UNION
+SELECT r.root, s.other, r.level + s.cost FROM walks r JOIN (
+  SELECT source AS uuid, target AS other, CASE WHEN type = 0 THEN 0 ELSE 1 END AS cost FROM graph_links
+  UNION SELECT target, source, CASE WHEN type = 0 THEN 0 ELSE 1 END FROM graph_links) s ON s.uuid = r.uuid WHERE r.level <= 1"""
+
+
+@query("join_graph_component", "SELECT root, uuid, min(level) AS level FROM walks GROUP BY root, uuid")
 def join_graph_component(w):
-    """From every track: the nodes within one split or merge of it."""
+    """From every track: the nodes reachable over at most one split or merge, and their neighbours."""
     nodes, links = w.graph
-    return trackstats.linked_nodes(links, nodes.select(F.col("id").alias("root"), "uuid"), max_level=0)
+    return trackstats.linked_nodes(links, nodes.select(F.col("id").alias("root"), "uuid"), max_level=1)
 
 
 # several scales side by side: smoothing, then clusters of adjacent points above a threshold
 _SCALES = (4.0, 8.0)
+for _scale in _SCALES:
+    detection_chain(
+        f"at{_scale:.0f}", "points", ["v", "u"], smoothing_taps(_scale, 1.0),
+        "(coalesce((v - lo_v) / nullif(hi_v - lo_v, 0), 0) + coalesce((u - lo_u) / nullif(hi_u - lo_u, 0), 0)) / 2e0",
+        tb.DETECTION.ranges, "exp(-5e-1 * d2) * 5e-1", tb.DETECTION.min_cluster_size)
+
+
+def _scales_sql() -> str:
+    rows = ", ".join(f"({float(c)!r}e0)" for c in CLUSTER_CLASSES)
+    sizes = " UNION ALL ".join(f"SELECT {s!r}e0 AS scale, size FROM at{s:.0f}_clusters" for s in _SCALES)
+    return f"""
+SELECT scale, class, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT DISTINCT scale, CAST(c AS DOUBLE) AS class, 0 AS n FROM ({sizes}), (VALUES {rows}) t(c) UNION ALL
+  SELECT scale, CAST((SELECT min(c) FROM (VALUES {rows}) t(c) WHERE size <= c) AS DOUBLE), 1 FROM ({sizes})) GROUP BY scale, class"""
 
 
-@query("st_scale_comparison")
+@query("st_scale_comparison", _scales_sql())
 def st_scale_comparison(w):
     from dataclasses import replace
 

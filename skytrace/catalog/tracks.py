@@ -6,9 +6,12 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from skytrace.catalog.base import CTES, query
+from skytrace.catalog.base import CTES, detection_chain, query
 from skytrace.catalog.scans import r
 from skytrace.operators import aggregates, featurespace, tracking
+from skytrace.operators.filters import smoothing_taps
+from skytrace.params import scale_to_filter_width
+from skytrace.plans.satellite import freezing_radiance
 from skytrace.session import cut
 from skytrace.sources import tables as tb
 
@@ -209,7 +212,15 @@ def w_ci_shift(w):
     return shift_comparison(w.detection.members, w.tracks.matches, w.tracks.tracked, tb.GRID, ["u"])
 
 
-@query("w_ci_protoclusters")
+CTES["cold_cells"] = f"""
+SELECT scan, y, x, msevi_l15_ir_108 AS ir FROM channel_cells WHERE msevi_l15_ir_108 >= 40 AND msevi_l15_ir_108 <= 130 AND msevi_l15_ir_108 <= {freezing_radiance()!r}"""
+_WIDTH = scale_to_filter_width(4.0)
+detection_chain(
+    "proto", "cold_cells", ["ir"], smoothing_taps(4.0, 1.0), "CASE WHEN original THEN 1e0 - coalesce(ir / nullif(hi_ir - lo_ir, 0), 0) ELSE 0e0 END",
+    (_WIDTH, _WIDTH, 90.0), f"CASE WHEN d2 <= {_WIDTH!r} THEN 1e0 / {_WIDTH!r} ELSE 0e0 END", 10)
+
+
+@query("w_ci_protoclusters", "SELECT scan, cluster, size, round(center_y, 6) AS center_y, round(center_x, 6) AS center_x FROM proto_clusters")
 def w_ci_protoclusters(w):
     from skytrace.catalog.features import channel_cells
     from skytrace.plans.satellite import protoclusters

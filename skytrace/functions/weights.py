@@ -13,7 +13,8 @@ from skytrace.functions.satellite import brightness_temperature
 from skytrace.operators.neighbours import ellipsoid_pairs, keys
 from skytrace.params import Grid
 
-Limits = dict[str, tuple[float, float]]
+# lower and upper limit per variable: numbers, or columns where they differ from scan to scan
+Limits = dict[str, tuple[float | Column, float | Column]]
 WeightFunction = Callable[[DataFrame], DataFrame]
 
 
@@ -21,9 +22,17 @@ def _sum(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 
 
+def _share(value: Column, lo: float | Column, hi: float | Column) -> Column:
+    """Value over the width of the limits; 0 where a scan's limits coincide."""
+    if isinstance(lo, Column) or isinstance(hi, Column):
+        return F.coalesce(F.try_divide(value, hi - lo), F.lit(0.0))
+    return value / F.lit(float(hi) - float(lo))
+
+
 def relative(name: str, limits: Limits) -> Column:
+    """Value scaled to [0, 1] between its limits."""
     lo, hi = limits[name]
-    return (F.col(name) - F.lit(float(lo))) / F.lit(float(hi) - float(lo))
+    return _share(F.col(name) - (lo if isinstance(lo, Column) else F.lit(float(lo))), lo, hi)
 
 
 def default_weight(names: list[str], limits: Limits) -> Column:
@@ -33,7 +42,7 @@ def default_weight(names: list[str], limits: Limits) -> Column:
 
 def inverse_weight(names: list[str], limits: Limits) -> Column:
     """Sum over the variables of 1 - value / range; points created by smoothing weigh 0."""
-    terms = [F.lit(1.0) - F.col(n) / F.lit(float(limits[n][1]) - float(limits[n][0])) for n in names]
+    terms = [F.lit(1.0) - _share(F.col(n), *limits[n]) for n in names]
     return F.when(F.col("is_original"), _sum(terms)).otherwise(F.lit(0.0))
 
 

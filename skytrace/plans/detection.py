@@ -12,7 +12,7 @@ from skytrace.functions.weights import WeightFunction, weigh
 from skytrace.operators import aggregates, clustering, featurespace, filters, meanshift
 from skytrace.operators.featurespace import Variable
 from skytrace.params import DetectionParams, Grid
-from skytrace.session import cut, store
+from skytrace.session import attach, cut, store
 
 
 @dataclass
@@ -56,10 +56,12 @@ def detect(
     smoothed = params.scale is not None
     if smoothed:
         points = cut(filters.scale_space(points, grid, names, params.scale, params.symmetric_smoothing))
-        # weights use the limits of the filtered values
-        seen = featurespace.value_ranges(points, names).first()
-        limits = {n: (seen[n + "_min"], seen[n + "_max"]) for n in names}
+        # weights use each scan's limits of the filtered values
+        seen = store(featurespace.value_ranges(points, names, ["scan"]))
+        points = attach(points, seen, ["scan"], "gid", part_of=seen)
+        limits = {n: (F.col(n + "_min"), F.col(n + "_max")) for n in names}
     weighted = weight(points) if weight else weigh(points, params.weight, grid, names, limits, spatial)
+    weighted = weighted.drop(*[n + end for n in names for end in ("_min", "_max")])
     weighted = filters.weight_between(weighted, params.weight_lower, params.weight_upper)
     profile = kernel if kernel is not None else KERNELS[params.kernel]
     search_names, search_ranges = ([], spatial) if params.spatial_range_only else (names, ranges)

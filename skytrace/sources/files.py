@@ -28,7 +28,7 @@ def timestamp_from_name(name: Column, form: str | None = None) -> Column:
     for key, (prefix, digits, pattern) in NAME_FORMATS.items():
         if form is None or form == key:
             text = F.regexp_extract(name, "^" + prefix + digits, 1)
-            out = F.coalesce(out, F.when(text != "", F.unix_timestamp(F.try_to_timestamp(text, F.lit(pattern)))))
+            out = F.coalesce(out, F.when(text != "", F.unix_timestamp(F.try_to_timestamp(F.concat(text, F.lit("+0000")), F.lit(pattern + "Z")))))
     return out
 
 
@@ -86,7 +86,7 @@ def konrad_time() -> Column:
     """Two-digit years above 50 belong to the last century."""
     year = F.when(F.col("year") > 50, F.col("year") + 1900).otherwise(F.col("year") + 2000)
     whole = [c.cast("int") for c in (year, F.col("month"), F.col("day"), F.col("hour"), F.col("minute"))]
-    return F.unix_timestamp(F.make_timestamp(*whole, F.lit(0)))
+    return F.unix_timestamp(F.make_timestamp(*whole, F.lit(0), F.lit("UTC")))
 
 
 def read_konrad(spark: SparkSession, path: str) -> DataFrame:
@@ -133,7 +133,7 @@ def read_radar_composites(spark: SparkSession, path: str, threshold: float | Non
     schema = "name string, product string, day_time string, month_year string, y int, x int, raw int"
     decoded = named.mapInPandas(_decode_composites, schema)
     stamp = F.concat(F.substring("month_year", 3, 2), F.substring("month_year", 1, 2), "day_time")
-    ts = F.unix_timestamp(F.to_timestamp(stamp, "yyMMddHHmm"))
+    ts = F.unix_timestamp(F.to_timestamp(F.concat(stamp, F.lit("+0000")), "yyMMddHHmmZ"))
     raw = F.when(F.col("raw").isin(RX_MISSING, RX_CLUTTER), F.lit(RX_MISSING)).otherwise(F.col("raw"))
     if threshold is not None:
         raw = F.when((raw != RX_MISSING) & (rvp6_value(raw) < F.lit(float(threshold))), F.lit(0)).otherwise(raw)
