@@ -10,8 +10,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skytrace.functions.kernels import KERNELS
 from skytrace.functions.special import ERFC_FIT
-from skytrace.operators import aggregates, featurespace
+from skytrace.operators import aggregates, featurespace, meanshift
 from skytrace.plans.detection import Detection, detect
 from skytrace.plans.tracking import Tracks, graph, track
 from skytrace.session import cut
@@ -57,6 +58,13 @@ class World:
 
         return self.points.withColumn("w", default_weight(["v", "u"], tb.LIMITS))
 
+    @cached_property
+    def shifts(self) -> DataFrame:
+        p = tb.DETECTION
+        out = meanshift.shift_vectors(
+            self.weighted, tb.GRID, ["v", "u"], p.ranges, KERNELS[p.kernel], p.kernel_size(tb.GRID), "w")
+        return cut(out)
+
     @cached_property
     def detection(self) -> Detection:
         return detect(self.cells, tb.GRID, tb.VARIABLES, tb.DETECTION)

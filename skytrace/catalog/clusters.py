@@ -13,29 +13,29 @@ from skytrace.sources import tables as tb
 
 @query("cl_zeroshift_edges", "SELECT scan, src, dst FROM zero_edges")
 def cl_zeroshift_edges(w):
-    return clustering.zero_shift_edges(w.detection.shifts, tb.GRID).select("scan", "src", "dst")
+    return clustering.zero_shift_edges(w.shifts, tb.GRID).select("scan", "src", "dst")
 
 
 @query("cl_shift_edges", "SELECT scan, src, dst FROM move_edges")
 def cl_shift_edges(w):
-    return clustering.shift_edges(w.detection.shifts, tb.GRID).select("scan", "src", "dst")
+    return clustering.shift_edges(w.shifts, tb.GRID).select("scan", "src", "dst")
 
 
 @query("cl_components", "SELECT gid, cluster FROM comp")
 def cl_components(w):
-    return clustering.components(w.detection.shifts, tb.GRID)
+    return clustering.components(w.shifts, tb.GRID)
 
 
 @query("cl_boundary_flag", "SELECT scan, src AS gid FROM move_edges WHERE src NOT IN (SELECT dst FROM move_edges)")
 def cl_boundary_flag(w):
-    return clustering.boundary_flags(w.detection.shifts, tb.GRID)
+    return clustering.boundary_flags(w.shifts, tb.GRID)
 
 
 @query("cl_finalise", """
 SELECT c.cluster, count(*) AS size, round(avg(p.v), 6) AS mode_v, round(avg(p.c_y), 6) AS mode_y FROM comp c JOIN points p ON p.gid = c.gid GROUP BY c.cluster""")
 def cl_finalise(w):
-    labels = clustering.components(w.detection.shifts, tb.GRID)
-    return clustering.finalise(labels, w.detection.shifts).groupBy("cluster").agg(
+    labels = clustering.components(w.shifts, tb.GRID)
+    return clustering.finalise(labels, w.shifts).groupBy("cluster").agg(
         F.count("*").alias("size"), r(F.avg("v"), "mode_v"), r(F.avg("c_y"), "mode_y"))
 
 
@@ -117,7 +117,7 @@ def cl_weight_tendency(w):
 @query("cl_coalesce")
 def cl_coalesce(w):
     labels = w.detection.members.select("gid", "cluster")
-    return clustering.coalesce(labels, w.detection.shifts, tb.GRID)
+    return clustering.coalesce(labels, w.shifts, tb.GRID)
 
 
 @query("cl_erase_ids", "SELECT cluster, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS uuid, size FROM clusters")
@@ -138,7 +138,7 @@ FROM shifts s LEFT JOIN (
          sum(CASE WHEN b.gid <> a.gid THEN b.g_x ELSE 0 END) / CAST(count(*) AS DOUBLE) AS mx
   FROM shifts a JOIN shifts b ON b.scan = a.scan AND abs(a.y-b.y) <= 1 AND abs(a.x-b.x) <= 1 WHERE a.zero_shift GROUP BY a.gid) m ON m.gid = s.gid""")
 def cl_replace_zeroshift(w):
-    return clustering.mean_neighbour_shift(w.detection.shifts, tb.GRID, ["v", "u"]).select("gid", "g_y", "g_x")
+    return clustering.mean_neighbour_shift(w.shifts, tb.GRID, ["v", "u"]).select("gid", "g_y", "g_x")
 
 
 @query("cl_add_strongest", """
@@ -151,5 +151,5 @@ SELECT n_gid AS gid, min(cluster) FROM (
     JOIN weighted b ON b.scan = a.scan AND abs(a.y-b.y) <= 1 AND abs(a.x-b.x) <= 1 LEFT JOIN comp cb ON cb.gid = b.gid)
   WHERE pos = 1) WHERE n_w > own AND n_cluster IS NULL GROUP BY n_gid""")
 def cl_add_strongest(w):
-    labels = cut(clustering.components(w.detection.shifts, tb.GRID))
-    return clustering.add_strongest_neighbour(labels, w.detection.shifts, tb.GRID)
+    labels = cut(clustering.components(w.shifts, tb.GRID))
+    return clustering.add_strongest_neighbour(labels, w.shifts, tb.GRID)

@@ -221,7 +221,7 @@ def join_index_maintenance(w):
 def join_shift_target(w):
     from skytrace.operators import clustering
 
-    return clustering.shift_edges(w.detection.shifts, tb.GRID).select("scan", "src", "dst")
+    return clustering.shift_edges(w.shifts, tb.GRID).select("scan", "src", "dst")
 
 
 @query("join_cell_cover", "SELECT pair, n, m, shared FROM shared_cells")

@@ -67,7 +67,7 @@ def ms_vector_plain(w):
 
 @query("ms_gridded_shift", "SELECT scan, gid, g_y, g_x, zero_shift FROM shifts")
 def ms_gridded_shift(w):
-    return w.detection.shifts.select("scan", "gid", "g_y", "g_x", "zero_shift")
+    return w.shifts.select("scan", "gid", "g_y", "g_x", "zero_shift")
 
 
 @query("ms_vector_3d", """

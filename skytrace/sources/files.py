@@ -74,7 +74,8 @@ KONRAD_REAL = {"center_y", "center_x", "direction_deg", "pixel_per_hour", "y_min
 
 def konrad_records(lines: DataFrame, column: str = "value") -> DataFrame:
     """Whitespace-separated records with their epoch time; lines that do not hold all fields are left out."""
-    parts = F.split(F.trim(F.col(column)), r"\s+")
+    # the one-element explode keeps the optimizer from repeating the split for every field and filter above it
+    parts = F.explode(F.array(F.split(F.trim(F.col(column)), r"\s+")))
     rows = lines.select(parts.alias("_p")).where(F.size("_p") >= len(KONRAD_FIELDS))
     typed = [
         F.get("_p", F.lit(i)).try_cast("double" if f in KONRAD_REAL else "bigint").alias(f) for i, f in enumerate(KONRAD_FIELDS)
