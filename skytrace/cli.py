@@ -63,6 +63,9 @@ def add_detection_options(p: argparse.ArgumentParser) -> None:
     p.add_argument("--ranges", "-r", help="bandwidths: dimensions, then variables")
     p.add_argument("--min-cluster-size", "-m", type=int, default=1)
     p.add_argument("--spatial-range-only", action="store_true")
+    p.add_argument("--ci-comparison-file", help="cells of the comparison scans, numbered like the scans they are compared with")
+    p.add_argument("--ci-satellite-only", action="store_true")
+    p.add_argument("--ci-use-walker-mecikalski", action="store_true", help="original limits of the score")
     p.add_argument("--inline-tracking", action="store_true", help="track right after detection")
 
 
@@ -89,7 +92,7 @@ def detection_params(a: argparse.Namespace, names: list[str]) -> DetectionParams
         min_cluster_size=a.min_cluster_size, time_index=a.time_index,
         replacement_filters=parse_replacement_filters(a.replacement_filter), convection_variable=a.convection_filter_variable,
         coalesce=a.coalesce_with_strongest_neighbour, postprocess_with_previous=a.postprocess_with_previous_output,
-        spatial_range_only=a.spatial_range_only,
+        spatial_range_only=a.spatial_range_only, ci_satellite_only=a.ci_satellite_only, ci_original_limits=a.ci_use_walker_mecikalski,
     )
 
 
@@ -119,7 +122,8 @@ def cmd_detect(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.inline_tracking or a.postprocess_with_previous_output:
         advance(spark, cells, a.output, _next_batch(spark, a.output), grid, variables, params, tracking_params(a))
         return
-    found = detect(cells, grid, variables, params)
+    comparison = spark.read.parquet(a.ci_comparison_file) if a.ci_comparison_file else None
+    found = detect(cells, grid, variables, params, comparison=comparison)
     found.clusters.write.mode("overwrite").parquet(f"{a.output}/detected/clusters")
     found.members.write.mode("overwrite").parquet(f"{a.output}/detected/members")
 

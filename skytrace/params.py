@@ -64,6 +64,8 @@ class DetectionParams:
     postprocess_with_previous: bool = False
     spatial_range_only: bool = False
     symmetric_smoothing: bool = True
+    replace_zero_shifts: bool = False
+    add_strongest_neighbour: bool = False
     ci_satellite_only: bool = False
     ci_original_limits: bool = False
     ci_protocluster_scale: float = 25.0

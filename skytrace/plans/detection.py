@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skytrace.functions.kernels import KERNELS, Kernel
-from skytrace.functions.weights import WeightFunction, weigh
+from skytrace.functions.weights import WeightFunction, initiation_weight, weigh
 from skytrace.operators import aggregates, clustering, featurespace, filters, meanshift
 from skytrace.operators.featurespace import Variable
 from skytrace.params import DetectionParams, Grid
@@ -38,9 +38,14 @@ def detect(
     weight: WeightFunction | None = None,
     kernel: Kernel | None = None,
     blocked: DataFrame | None = None,
+    comparison: DataFrame | None = None,
 ) -> Detection:
     """Run the whole plan. ``weight`` and ``kernel`` override the named ones; ``blocked`` lists off-limits cells (default:
-    cells with an invalid variable)."""
+    cells with an invalid variable).
+
+    The weight ``oase-ci`` needs the satellite channels, radar and lightning among the variables; ``comparison`` holds
+    the cells of the comparison scans under the scan number they are compared with.
+    """
     names = [v.name for v in variables]
     limits = {v.name: v.limits for v in variables}
     ranges = params.bandwidth(grid, limits)
@@ -60,13 +65,19 @@ def detect(
         seen = store(featurespace.value_ranges(points, names, ["scan"]))
         points = attach(points, seen, ["scan"], "gid", part_of=seen)
         limits = {n: (F.col(n + "_min"), F.col(n + "_max")) for n in names}
+    if weight is None and params.weight == "oase-ci":
+        weight = _initiation(cells, comparison, grid, variables, params, spatial)
     weighted = weight(points) if weight else weigh(points, params.weight, grid, names, limits, spatial)
     weighted = weighted.drop(*[n + end for n in names for end in ("_min", "_max")])
     weighted = filters.weight_between(weighted, params.weight_lower, params.weight_upper)
     profile = kernel if kernel is not None else KERNELS[params.kernel]
     search_names, search_ranges = ([], spatial) if params.spatial_range_only else (names, ranges)
     shifts = cut(meanshift.shift_vectors(weighted, grid, search_names, search_ranges, profile, size, "w"))
+    if params.replace_zero_shifts:
+        shifts = cut(clustering.mean_neighbour_shift(shifts, grid, search_names))
     labels = clustering.components(shifts, grid)
+    if params.add_strongest_neighbour:
+        labels = cut(clustering.add_strongest_neighbour(labels, shifts, grid))
     if params.coalesce:
         labels = clustering.coalesce(labels, shifts, grid)
     members = clustering.finalise(labels, shifts)
@@ -81,6 +92,24 @@ def detect(
     return Detection(stored, weighted, shifts, members, describe(members, grid, names, blocked))
 
 
+def _initiation(
+    cells: DataFrame, comparison: DataFrame | None, grid: Grid, variables: list[Variable], params: DetectionParams,
+    spatial: tuple[float, ...],
+) -> WeightFunction:
+    """Convective-initiation score from unpacked channels, NULL where invalid, with signals within the spatial bandwidth."""
+
+    def channels(df: DataFrame) -> DataFrame:
+        values = {
+            v.name: F.when(featurespace.is_valid(F.col(v.name + "_raw"), v), featurespace.unpack_value(F.col(v.name + "_raw"), v))
+            for v in variables
+        }
+        return df.select("scan", *grid.dims, *[c.alias(n) for n, c in values.items()])
+
+    before = None if comparison is None else channels(comparison)
+    return lambda points: initiation_weight(
+        points, grid, channels(cells), spatial, before, params.ci_satellite_only, params.ci_original_limits)
+
+
 def describe(members: DataFrame, grid: Grid, names: list[str], blocked: DataFrame, first_uuid: int = 0) -> DataFrame:
     """The cluster table: size, centre, bounding box, mode, ranges, radius, margin flag, uuid and per-scan id."""
     summary = cut(aggregates.summarise(members, grid, names, ["mode_src_" + n for n in names]))

@@ -351,6 +351,25 @@ def test_coalesce_is_brute_force(spark):
     assert got == label
 
 
+def test_initiation_weight_by_name(spark, sf_dir):
+    """The named score equals the score function on the same channels."""
+    from skytrace.functions.weights import initiation_weight
+    from skytrace.sources import tables as tb
+
+    channels = {
+        "msevi_l15_ir_108": F.col("v_raw") * 1.5 + 40.0, "msevi_l15_wv_062": F.col("u_raw") * 0.08 + 1.0, "msevi_l15_ir_134": F.col("v_raw") * 0.5 + 50.0,
+        "cband_radolan_rx": F.col("v_raw") * 1.0, "linet_oase_tl": F.greatest(F.col("u_raw") - 95.0, F.lit(0.0)),
+    }
+    cells = tb.cells(spark, sf_dir).where("v_raw <> 255").select("scan", "ts", "y", "x", *[c.alias(n + "_raw") for n, c in channels.items()])
+    variables = [Variable(n, valid_min=0.0, valid_max=200.0) for n in channels]
+    params = DetectionParams(tuple(channels), weight="oase-ci", ranges=(2.0, 2.0) + (200.0,) * 5, kernel="gauss", replace_zero_shifts=True, add_strongest_neighbour=True)
+    found = detect(cells, tb.GRID, variables, params, comparison=cells.withColumn("scan", F.col("scan") + 1))
+    plain = cells.select("scan", "y", "x", *[F.col(n + "_raw").alias(n) for n in channels])
+    want = initiation_weight(found.points, tb.GRID, plain, (2.0, 2.0), plain.withColumn("scan", F.col("scan") + 1))
+    pick = lambda df: {(r["gid"], r["w"]) for r in df.select("gid", "w").collect()}
+    assert pick(found.weighted) == pick(want) and found.clusters.count() > 0
+
+
 # --- ordering and aggregates ----------------------------------------------------------------------------------
 
 
