@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.llm import line_dedup, simhash
+from skytrace.llm import decontam, line_dedup, oracles, packing, simhash
 from skytrace.llm.common import table
 
 
@@ -21,9 +21,23 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("dk")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), carry=F.crc32("ids"))
+    return packed.withColumnRenamed("ids", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_neardup": op2_simhash_neardup,
+    "op5_decontamination": op5_decontamination,
+    "op6_packing": op6_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_line_dedup": oracles.OP1,
+    "op5_decontamination": oracles.OP5,
+}
