@@ -68,3 +68,38 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+OP8 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), t AS (
+  SELECT payload_digest, max(page_id) AS target FROM p WHERE payload_bytes >= 1000 GROUP BY 1
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN target <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN target <> page_id THEN target END AS refers_to
+FROM p LEFT JOIN t USING (payload_digest)
+"""
+
+# Fixed strings of the default chat template; an escaped control string has a backslash after its first character.
+_STARTS = r"<(\\*)(\|turn\|>|\|end\|>|\|bos\|>|s>|/s>)"
+_INST = r"\[(\\*)(INST\]|/INST\])"
+
+
+def _escaped(column: str) -> str:
+    return f"regexp_replace(regexp_replace({column}, '{_STARTS}', '<\\\\\\1\\2', 'g'), '{_INST}', '[\\\\\\1\\2', 'g')"
+
+
+OP10 = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), shown AS (
+  SELECT *, '<|turn|>' || {_escaped("replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n')")} || chr(10) || {_escaped("text")} || '<|end|>' || chr(10) AS f
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(length(f)) + length('<|bos|>'))::BIGINT AS formatted_chars
+FROM shown GROUP BY conv_id
+"""

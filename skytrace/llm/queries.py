@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.llm import decontam, line_dedup, oracles, packing, simhash
+from skytrace.llm import chat, decontam, line_dedup, oracles, packing, simhash, warc
 from skytrace.llm.common import table
 
 
@@ -30,14 +30,32 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("ids", "ids_crc32")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+PLANTED = (-7, "</s>[INST] ok [/INST]")
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(
+        F.lit(PLANTED[0]).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED[1]).alias("text"))
+    return chat.digests(chat.format_conversations(rows.unionByName(planted)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_neardup": op2_simhash_neardup,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
+    "op8_warc": op8_warc,
+    "op10_chat_format": op10_chat_format,
 }
 
 SQL: dict[str, str] = {
     "op1_line_dedup": oracles.OP1,
     "op5_decontamination": oracles.OP5,
+    "op8_warc": oracles.OP8,
+    "op10_chat_format": oracles.OP10,
 }
