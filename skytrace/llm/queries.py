@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.llm import chat, decontam, line_dedup, oracles, packing, simhash, warc
+from skytrace.llm import chat, decontam, line_dedup, oracles, packing, simhash, topk, warc
 from skytrace.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("ids", "ids_crc32")
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_neardup": op2_simhash_neardup,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
+    "op7_exact_topk": op7_exact_topk,
     "op8_warc": op8_warc,
     "op10_chat_format": op10_chat_format,
 }
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_line_dedup": oracles.OP1,
     "op5_decontamination": oracles.OP5,
+    "op7_exact_topk": oracles.OP7,
     "op8_warc": oracles.OP8,
     "op10_chat_format": oracles.OP10,
 }
