@@ -17,6 +17,8 @@ from skytrace.llm.common import lookup, text_or_empty
 from skytrace.session import store
 
 FIELD = "<*>"
+# Line positions to take out are broadcast up to this number (four bytes each), merged by document beyond it.
+LOOKUP_POSITIONS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -31,33 +33,44 @@ class TreeParams:
 
 
 def _normal(line: Column) -> Column:
-    spaced = F.when(line.rlike("[\t\r]|  "), F.regexp_replace(line, "[ \t\r]+", " ")).otherwise(line)
-    return F.trim(spaced)
+    odd = line.contains("\t") | line.contains("\r") | line.contains("  ")
+    return F.trim(F.when(odd, F.regexp_replace(line, "[ \t\r]+", " ")).otherwise(line))
 
 
-def _fields(text: Column) -> Column:
-    return ((F.length(text) - F.length(F.replace(text, F.lit(FIELD), F.lit("")))) / len(FIELD)).cast("int")
+def _count(text: Column, part: str) -> Column:
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+
+def _base(line: Column, n: Column, p: TreeParams) -> Column:
+    """The line with its fields masked, if enough of it stays."""
+    masked = F.regexp_replace(line, "[^ ]*[0-9][^ ]*", FIELD)
+    return F.when(n - _count(masked, FIELD) >= p.masked_share * n, masked).otherwise(line)
 
 
 def parsed_lines(docs: DataFrame, p: TreeParams) -> DataFrame:
-    """(doc_id, dk, line_no, base, n, key, leaf): every line that isn't blank; dk is a hash of the document's id and text."""
+    """(doc_id, dk, line_no, line, n, digits, leaf): every line that isn't blank; dk is a hash of the document's id and text.
+
+    Only lines with a digit are masked, so the leaf of any other line needs its leading tokens alone.
+    """
     text = text_or_empty()
     lines = docs.select("doc_id", F.xxhash64("doc_id", text).alias("dk"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     lines = lines.withColumn("line", _normal(F.col("line"))).where("line <> ''")
-    lines = lines.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", "[^ ]*[0-9][^ ]*", FIELD)).otherwise(F.col("line"))
-    lines = lines.withColumn("masked", masked)
-    base = F.when(F.col("n") - _fields(F.col("masked")) >= p.masked_share * F.col("n"), F.col("masked")).otherwise(F.col("line"))
-    lines = lines.withColumn("base", base)
-    leaf = F.when(F.col("n") >= max(p.min_tokens, p.depth + 1), F.md5(F.concat_ws(" ", "n", F.substring_index("base", " ", p.depth))))
-    return lines.select("doc_id", "dk", "line_no", "base", "n", F.md5("base").alias("key"), leaf.alias("leaf"))
+    lines = lines.withColumn("n", _count(F.col("line"), " ") + 1).withColumn("digits", F.col("line").rlike("[0-9]"))
+    shown = F.when(F.col("digits"), _base(F.col("line"), F.col("n"), p)).otherwise(F.col("line"))
+    leaf = F.when(F.col("n") >= max(p.min_tokens, p.depth + 1), F.md5(F.concat_ws(" ", "n", F.substring_index(shown, " ", p.depth))))
+    return lines.withColumn("leaf", leaf)
+
+
+def with_base(lines: DataFrame, p: TreeParams) -> DataFrame:
+    base = F.when(F.col("digits"), _base(F.col("line"), F.col("n"), p)).otherwise(F.col("line"))
+    return lines.withColumn("base", base).withColumn("key", F.md5("base"))
 
 
 def generalised(docs: DataFrame, lines: DataFrame, p: TreeParams) -> DataFrame:
     """(key, template): lines of leaves with several distinct lines whose template differs from the line itself."""
     several = lines.where("leaf IS NOT NULL").groupBy("leaf").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("leaf")
-    again = parsed_lines(docs, p).select("key", "leaf", "base", "n").where("leaf IS NOT NULL")
-    inside = lookup(again, store(several), "leaf", "left_semi")
+    again = parsed_lines(docs, p).select("leaf", "line", "n", "digits").where("leaf IS NOT NULL")
+    inside = with_base(lookup(again, store(several), "leaf", "left_semi"), p)
     distinct = store(inside.groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("base").alias("base"), F.first("n").alias("n")))
     sizes = distinct.groupBy("leaf").agg(F.count("*").alias("of"))
     at = distinct.select("leaf", F.posexplode(F.split("base", " ")).alias("pos", "token")).where(F.col("pos") >= p.depth)
@@ -69,13 +82,13 @@ def generalised(docs: DataFrame, lines: DataFrame, p: TreeParams) -> DataFrame:
     shaped = F.transform(tokens, lambda t, i: F.when(
         (i < p.depth) | F.array_contains(F.get(F.col("kept"), i - p.depth)["tokens"], t), t).otherwise(F.lit(FIELD)))
     found = lookup(distinct, leaves, "leaf").select("key", "base", "n", F.array_join(shaped, " ").alias("template"))
-    similar = F.col("n") - _fields(F.col("template")) >= p.similarity * F.col("n")
+    similar = F.col("n") - _count(F.col("template"), FIELD) >= p.similarity * F.col("n")
     return store(found.where(similar & (F.col("template") != F.col("base"))).select("key", F.md5("template").alias("template")))
 
 
 def dropped_lines(docs: DataFrame, p: TreeParams = TreeParams()) -> DataFrame:
     """(doc_id, dk, gone): the positions of the lines that go, for documents that have any."""
-    lines = store(parsed_lines(docs, p).select("doc_id", "dk", "line_no", "key", "leaf"))
+    lines = store(with_base(parsed_lines(docs, p), p).select("doc_id", "dk", "line_no", "key", "leaf"))
     shapes = generalised(docs, lines, p)
     placed = lookup(lines, shapes, "key", "left").select("doc_id", "dk", "line_no", F.coalesce("template", "key").alias("template"))
     placed = store(placed)
@@ -98,10 +111,12 @@ def dedup_lines(docs: DataFrame, p: TreeParams = TreeParams()) -> DataFrame:
     docs = docs.drop("n_lines", "n_dropped", "dk", "gone")
     gone = store(dropped_lines(docs, p)).select(F.col("doc_id").alias("_id"), F.col("dk").alias("_dk"), "gone")
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", text_or_empty()))
+    positions = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
+    gone = F.broadcast(gone) if positions <= LOOKUP_POSITIONS else gone
     out = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_dk")), "left")
     lines = F.split(text_or_empty(), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    out = out.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col("gone").isNull(), 0).otherwise(F.col("n_dropped")).cast("long"))
+    out = out.withColumn("n_lines", (_count(text_or_empty(), "\n") + 1).cast("long"))
+    out = out.withColumn("n_dropped", F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long"))
     return out.withColumn("text", text).drop("gone", "_id", "_dk", "_key")
