@@ -115,3 +115,67 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+_PATTERNS = {
+    "assign": "(?i)(password|passwd|secret|token|api_?key)[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)",
+    "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "random": "[A-Za-z0-9+/_-]{16,}",
+}
+_MIXED = "regexp_matches(hit, '[a-z]')::INT + regexp_matches(hit, '[A-Z]')::INT + regexp_matches(hit, '[0-9]')::INT >= 2"
+_KEEP = {
+    "assign": f"length(regexp_extract(hit, '{_PATTERNS['assign']}', 2)) >= 6",
+    "access": "length(hit) >= 20", "hex": "length(hit) >= 24", "random": _MIXED,
+}
+_ENCODED = (
+    "CASE WHEN regexp_matches(hit, '^[0-9a-f]+$') THEN ('0123456789abcdef', 0.12::DOUBLE) WHEN regexp_matches(hit, '^[0-9A-F]+$') THEN ('0123456789ABCDEF', 0.12::DOUBLE) "
+    f"WHEN regexp_matches(hit, '^[A-Z2-7]+$') THEN ('{_UPPER}234567', 0.066::DOUBLE) WHEN regexp_matches(hit, '^[a-z0-9]+$') THEN ('0123456789{_LOWER}', 0.066::DOUBLE) "
+    f"ELSE ('{_UPPER}{_LOWER}0123456789+/', 0.066::DOUBLE) END"
+)
+
+OP4 = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), raw AS (
+  {" UNION ALL ".join(f"SELECT doc_id, {i} AS k, '{kind}' AS kind, regexp_extract_all(text, '{p}') AS hits, regexp_split_to_array(text, '{p}') AS gaps FROM docs WHERE regexp_matches(text, '{p}')" for i, (kind, p) in enumerate(_PATTERNS.items()))}
+), placed AS (
+  SELECT doc_id, k, kind, i, hits[i] AS hit, length(gaps[i]) AS gap FROM raw, unnest(range(1, len(hits) + 1)) AS r(i)
+), spans AS (
+  SELECT doc_id, k, kind, hit, sum(gap + length(hit)) OVER (PARTITION BY doc_id, k ORDER BY i) AS stop FROM placed
+), fine AS (
+  SELECT doc_id, k, kind, hit, stop - length(hit) AS start, stop FROM spans
+  WHERE {" OR ".join(f"(kind = '{kind}' AND {keep})" for kind, keep in _KEEP.items())}
+), coded AS (
+  SELECT DISTINCT hit, {_ENCODED} AS e, translate(hit, '-_', '+/') AS t FROM fine WHERE kind = 'random'
+), measured AS (
+  SELECT hit, length(hit)::DOUBLE AS n, length(e[1])::DOUBLE AS size, e[2] AS ic, len(regexp_extract_all(t, '[a-z]+|[A-Z]+|[0-9]+|[+/]+')) AS runs,
+    list_sum([(length(t) - length(replace(t, c, '')))::DOUBLE ** 2 FOR c IN string_split(e[1], '')]) AS squares, [instr(e[1], c)::DOUBLE FOR c IN string_split(t, '')] AS places
+  FROM coded
+), moved AS (
+  SELECT *, [x - list_sum(places) / n FOR x IN places] AS off FROM measured
+), correlated AS (
+  SELECT *, CASE WHEN list_sum([x * x FOR x IN off]) > 0 THEN list_sum([off[j] * off[j + 1] FOR j IN range(1, n::INT)]) / list_sum([x * x FOR x IN off]) ELSE 1 END AS r
+  FROM moved
+), scored AS (
+  SELECT hit, n, round(((size - 1 + n * (size * ic - 1) - (size / n * squares - n)) / sqrt(2 * (size - 1) + 4 * n * (size * ic - 1))
+    + (runs - 1 - (n - 1) * 0.15::DOUBLE) / sqrt((n - 1) * 0.15::DOUBLE * (1 - 0.15::DOUBLE)) + (0.35::DOUBLE - abs(r)) * sqrt(n)) / sqrt(3::DOUBLE), 6) AS z
+  FROM correlated
+), binned AS (
+  SELECT fine.*, least(32, floor(n / 16))::INT AS grp, (CASE WHEN z > 0 THEN least(399, floor(z * z / 2 * 8)) ELSE 0 END)::INT AS bin
+  FROM fine JOIN scored USING (hit) WHERE kind = 'random'
+), hist AS (
+  SELECT grp, bin, count(*) AS c FROM binned GROUP BY ALL
+), tail AS (
+  SELECT grp, b.bin, sum(c) FILTER (hist.bin >= b.bin) AS above, sum(c) AS total FROM hist, (SELECT unnest(range(1, 400)) AS bin) b GROUP BY ALL
+), limits AS (
+  SELECT grp, min(bin) AS lim FROM tail WHERE above > 0 AND exp(-bin / 8.0) <= 0.001 * above / total GROUP BY grp
+), kept AS (
+  SELECT doc_id, k, kind, start, stop FROM fine WHERE kind <> 'random'
+  UNION ALL SELECT doc_id, k, kind, start, stop FROM binned JOIN limits USING (grp) WHERE bin >= lim
+), listed AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c, count(*) FILTER (k = 3) AS d,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans
+  FROM kept GROUP BY doc_id
+)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, coalesce(d, 0)::BIGINT AS n_random,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN listed USING (doc_id)
+"""

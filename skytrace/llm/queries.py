@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.llm import chat, decontam, line_dedup, oracles, packing, simhash, topk, warc
+from skytrace.llm import chat, decontam, line_dedup, oracles, packing, secret_scan, simhash, topk, warc
 from skytrace.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("dk")
 
@@ -51,6 +55,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_neardup": op2_simhash_neardup,
+    "op4_secret_scan": op4_secret_scan,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
     "op7_exact_topk": op7_exact_topk,
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_line_dedup": oracles.OP1,
+    "op4_secret_scan": oracles.OP4,
     "op5_decontamination": oracles.OP5,
     "op7_exact_topk": oracles.OP7,
     "op8_warc": oracles.OP8,
