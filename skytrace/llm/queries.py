@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.llm import chat, decontam, line_dedup, oracles, packing, secret_scan, simhash, topk, warc
+from skytrace.llm import chat, decontam, line_dedup, oracles, packing, quality, secret_scan, simhash, topk, warc
 from skytrace.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_neardup": op2_simhash_neardup,
+    "op3_quality_cnn": op3_quality_cnn,
     "op4_secret_scan": op4_secret_scan,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
