@@ -87,12 +87,25 @@ def sample_chunks(text: bytes, most: int) -> list[bytes]:
     return [text[i * STEP:i * STEP + CHUNK + WIDTH - 1] for i in picks]
 
 
+def _short_slices(samples: list[tuple[list[bytes], int]], rng: np.random.Generator) -> list[tuple[list[bytes], int]]:
+    """A slice of 5 to 160 bytes of each good sample: little text is no sign of bad text (a slice of a bad one may be fine, so none of those)."""
+    out = []
+    for chunks, y in samples:
+        whole = chunks[int(rng.integers(len(chunks)))]
+        if y == 1 and whole:
+            size = int(rng.integers(5, 160))
+            start = int(rng.integers(max(1, len(whole) - size)))
+            out.append(([whole[start:start + size]], y))
+    return out
+
+
 def train(samples: list[tuple[list[bytes], int]], p: TrainParams = TrainParams()) -> Model:
     """Adam on the class-balanced logistic loss. With fewer than two classes the model answers 0.5 throughout."""
     rng = np.random.default_rng(p.seed)
     weights = rng.normal(0, 0.1, (WIDTH, 256, p.filters)).astype(np.float32)
     model = Model(weights, np.zeros(p.filters, np.float32), np.zeros(2 * p.filters + 1))
     share = np.bincount([y for _, y in samples], minlength=2) / max(1, len(samples))
+    share = share * [1, 2]  # the short slices
     if not share.all():
         return Model(np.zeros_like(weights), model.bias, model.out)
     model = Model(weights, model.bias, np.concatenate([rng.normal(0, 0.3, 2 * p.filters), [0.0]]))
@@ -100,7 +113,7 @@ def train(samples: list[tuple[list[bytes], int]], p: TrainParams = TrainParams()
     moments = [(np.zeros(x.shape), np.zeros(x.shape)) for x in params]
     step, batch = 0, 16
     packed = []
-    for chunks, y in samples:
+    for chunks, y in samples + _short_slices(samples, rng):
         rows = [np.frombuffer(c + bytes(max(0, WIDTH - len(c))), np.uint8) for c in chunks]
         sizes = np.array([len(r) - WIDTH + 1 for r in rows])
         places = [np.concatenate([r[j:j + s] for r, s in zip(rows, sizes)]) for j in range(WIDTH)]
@@ -144,10 +157,15 @@ def _remainder() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
 
 
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of the labels that may be learnt from."""
+    fine = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (_remainder() != 1))
+    return fine.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, p: TrainParams) -> list[tuple[list[bytes], int]]:
     """Chunks and label of at most ``per_class`` documents of each class, chosen by a hash of the id; held-out ids never take part."""
-    fine = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    fine = fine.where(_remainder() != 1)
+    fine = usable_labels(labels)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = fine.where("quality = 0").orderBy(*order).limit(p.per_class).union(fine.where("quality = 1").orderBy(*order).limit(p.per_class))
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -163,7 +181,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, p: TrainParams) -> list[
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: TrainParams = TrainParams()) -> Model:
-    return train(labelled_sample(docs, labels, p), p)
+    """Network trained on the balanced sample; its constant then moves to the class shares of all labels that may be learnt from."""
+    model = train(labelled_sample(docs, labels, p), p)
+    held = {r["quality"]: r["n"] for r in usable_labels(labels).groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    if model.out.any():
+        model.out[-1] += np.log(held[1] / held[0])
+    return model
 
 
 def score_column(docs: DataFrame, model: Model, text: str = "text") -> Column:
