@@ -28,6 +28,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def doc_key() -> Column:
+    """Key of a document: rows with equal doc_id and text are one document to operators that join results back."""
+    return F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), text_or_empty()))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs) as (node, root): the root is one node of the component.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skytrace.llm.common import lookup, text_or_empty
+from skytrace.llm.common import doc_key, lookup, text_or_empty
 from skytrace.session import store
 
 FILTER_BITS = 24
@@ -139,7 +139,7 @@ def _document_windows(docs: DataFrame, windows: DataFrame, p: WinnowParams) -> D
                 batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], cands)],
                 ["doc_id", "dk", "n_words", "cands"])
 
-    keyed = docs.select("doc_id", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), text_or_empty())).alias("dk"), text_or_empty().alias("text"))
+    keyed = docs.select("doc_id", doc_key().alias("dk"), text_or_empty().alias("text"))
     return keyed.mapInArrow(scan, SCHEMA.format(id=kind))
 
 
@@ -170,5 +170,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, p: WinnowParams = Winno
 def without_leaks(docs: DataFrame, benchmark: DataFrame, p: WinnowParams = WinnowParams()) -> DataFrame:
     """The rows of ``docs`` that share no window with the benchmark, columns as they are."""
     leaks = contamination(docs, benchmark, p).where("contaminated").select("dk").distinct()
-    key = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), text_or_empty()))
-    return lookup(docs.withColumn("_dk", key), store(leaks.withColumnRenamed("dk", "_dk")), "_dk", "left_anti").drop("_dk")
+    return lookup(docs.withColumn("_dk", doc_key()), store(leaks.withColumnRenamed("dk", "_dk")), "_dk", "left_anti").drop("_dk")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.llm import chat, decontam, line_dedup, oracles, packing, quality, secret_scan, simhash, topk, warc
+from skytrace.llm import chat, decontam, license_scan, line_dedup, oracles, packing, quality, secret_scan, simhash, topk, warc
 from skytrace.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 PLANTED = (-7, "</s>[INST] ok [/INST]")
 
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_exact_topk": op7_exact_topk,
     "op8_warc": op8_warc,
+    "op9_license_scan": op9_license_scan,
     "op10_chat_format": op10_chat_format,
 }
 
