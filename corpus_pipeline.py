@@ -8,15 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.llm import line_dedup, simhash
+from skytrace.llm import decontam, line_dedup, packing, quality, simhash
 from skytrace.llm.common import table
 from skytrace.session import ensure_checkpoint_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go; documents stay."""
+    """Lines of recurring templates go, but for their first occurrence; documents stay."""
     return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -25,12 +30,25 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_one(docs).select(*COLUMNS)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share ten words in a row, or a whole shorter item, with the benchmark go."""
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequence and place; ``ids`` holds the tokens as little-endian 32-bit integers."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
     ("line_dedup", line_stage),
     ("simhash_near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
 ]
 
-# Fingerprints, a trained classifier and a tokenizer have no form in SQL; tests/llm compares the stages with brute force.
+# A trained classifier, fingerprints and a tokenizer have no form in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL: str | None = None
 
 
