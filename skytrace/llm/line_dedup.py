@@ -81,7 +81,7 @@ def generalised(docs: DataFrame, lines: DataFrame, p: TreeParams) -> DataFrame:
     tokens = F.split("base", " ")
     shaped = F.transform(tokens, lambda t, i: F.when(
         (i < p.depth) | F.array_contains(F.get(F.col("kept"), i - p.depth)["tokens"], t), t).otherwise(F.lit(FIELD)))
-    found = lookup(distinct, leaves, "leaf").select("key", "base", "n", F.array_join(shaped, " ").alias("template"))
+    found = distinct.join(leaves.hint("merge"), "leaf").select("key", "base", "n", F.array_join(shaped, " ").alias("template"))
     similar = F.col("n") - _count(F.col("template"), FIELD) >= p.similarity * F.col("n")
     return store(found.where(similar & (F.col("template") != F.col("base"))).select("key", F.md5("template").alias("template")))
 
