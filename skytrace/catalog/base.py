@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytrace.functions.kernels import KERNELS
-from skytrace.functions.special import ERFC_FIT
 from skytrace.operators import aggregates, featurespace, meanshift
 from skytrace.plans.detection import Detection, detect
 from skytrace.plans.tracking import Tracks, graph, track
@@ -139,12 +138,12 @@ def with_ctes(sql: str) -> str:
 
 
 def erfc_sql(z: str) -> str:
-    """The same fit for a non-negative argument, as SQL text."""
-    t = f"(1e0/(1e0+5e-1*({z})))"
-    poly = repr(ERFC_FIT[-1]) + "e0"
-    for c in reversed(ERFC_FIT[:-1]):
-        poly = f"({c!r}e0 + {t}*{poly})"
-    return f"({t}*exp({poly} - ({z})*({z})))"
+    """erfc of a non-negative argument by other means than the operator: a series with positive terms below 2, a continued fraction above."""
+    series = f"exp(-({z})*({z})) * list_sum(list_transform(range(0, 60), lambda k: pow({z}, 2*k + 1) / gamma(k + 15e-1)))"
+    fraction = f"({z})"
+    for level in range(60, 0, -1):
+        fraction = f"(({z}) + {level}e0/2e0/{fraction})"
+    return f"(CASE WHEN ({z}) < 2e0 THEN 1e0 - {series} ELSE exp(-({z})*({z})) / sqrt(pi()) / {fraction} END)"
 
 
 CTES["cells"] = """

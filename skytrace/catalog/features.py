@@ -148,18 +148,22 @@ def prj_satconv_rad(w):
 _SAT = satellite.Satellite(42164.0, 0.0, 9.5)
 _FLAT = f"{(satellite.RADIUS_EQUATOR / satellite.RADIUS_POLE) ** 2!r}"
 _SEEN = "SELECT scan, pid, 45e0 + c_y * 4e-1 AS lat, 3e0 + c_x * 5e-1 AS lon, v / 2e0 AS h FROM points"
+# by bisection along the line of sight: the share of the way to the satellite at which the raised ellipsoid's equation turns positive
+CTES["sight"] = f"""
+SELECT scan, pid, h, ring * sin(lo) AS x, ring * k AS y, ring * cos(lo) AS z, 42164e0 * sin(radians(95e-1)) AS sx, 42164e0 * cos(radians(95e-1)) AS sz
+FROM (SELECT *, 6378077e-3 / sqrt(1e0 + {_FLAT} * k * k) AS ring FROM (SELECT scan, pid, h, {_FLAT} * tan(radians(lat)) AS k, radians(lon) AS lo FROM ({_SEEN})))"""
+CTES["bisected"] = """RECURSIVE (scan, pid, step, lo, hi) ::
+SELECT scan, pid, 0, 0e0, 1e-1 FROM sight
+UNION ALL
+SELECT scan, pid, step + 1, CASE WHEN inside THEN mid ELSE lo END, CASE WHEN inside THEN hi ELSE mid END FROM (
+  SELECT b.scan, b.pid, step, lo, hi, (lo + hi) / 2e0 AS mid,
+         pow((x + (lo + hi) / 2e0 * (sx - x)) / (6378077e-3 + h), 2) + pow((y - (lo + hi) / 2e0 * y) / (6356577e-3 + h), 2)
+         + pow((z + (lo + hi) / 2e0 * (sz - z)) / (6378077e-3 + h), 2) < 1e0 AS inside
+  FROM bisected b JOIN sight s ON s.scan = b.scan AND s.pid = b.pid WHERE step < 50)"""
 _PARALLAX = f"""
-SELECT scan, pid, round(degrees(atan(tan(gc) / {_FLAT})), 6) AS lat, round(degrees(atan2(cx, cz)), 6) AS lon FROM (
-SELECT *, atan(cy / sqrt(cx*cx + cz*cz)) AS gc FROM (
-SELECT scan, pid, x + t*dx AS cx, y + t*dy AS cy, z + t*dz AS cz FROM (
-SELECT *, (sqrt(b*b - a*c*4e0) - b) / 2e0 / a AS t FROM (
-SELECT *, dx*dx + st*(dy*dy) + dz*dz AS a, (x*dx + st*y*dy + z*dz) * 2e0 AS b,
-       x*x + z*z + st*(y*y) - (6378077e-3 + h)*(6378077e-3 + h) AS c FROM (
-SELECT *, 42164e0 * sin(radians(95e-1)) - x AS dx, -y AS dy, 42164e0 * cos(radians(95e-1)) - z AS dz,
-       ((6378077e-3 + h) / (6356577e-3 + h)) * ((6378077e-3 + h) / (6356577e-3 + h)) AS st FROM (
-SELECT *, s*cos(la)*sin(lo) AS x, s*sin(la) AS y, s*cos(la)*cos(lo) AS z FROM (
-SELECT *, 6378077e-3 / sqrt(cos(la)*cos(la) + {_FLAT}*(sin(la)*sin(la))) AS s FROM (
-SELECT scan, pid, h, atan(tan(radians(lat)) * {_FLAT}) AS la, radians(lon) AS lo FROM ({_SEEN})))))))))"""
+SELECT scan, pid, round(degrees(atan(y * (1e0 - t) / sqrt(pow(x + t * (sx - x), 2) + pow(z + t * (sz - z), 2)) / {_FLAT})), 6) AS lat,
+       round(degrees(atan2(x + t * (sx - x), z + t * (sz - z))), 6) AS lon
+FROM (SELECT s.*, b.lo AS t FROM sight s JOIN bisected b ON b.scan = s.scan AND b.pid = s.pid AND b.step = 50)"""
 
 
 @query("prj_parallax", _PARALLAX)

@@ -95,7 +95,7 @@ def trajectories(w):
     """From every cluster centre: how far the mode climbs."""
     if not hasattr(w, "_trajectories"):
         seeds = w.detection.clusters.select("scan", F.col("cluster").alias("seed"), F.col("center_y").alias("c_y"), F.col("center_x").alias("c_x"))
-        w._trajectories = meanshift.iterate(seeds, w.weighted, tb.GRID, [], (2.0, 2.0), kernels.gauss, 1.0, "w", epsilon=0.05, max_iterations=60)
+        w._trajectories = meanshift.iterate(seeds, w.weighted, tb.GRID, [], (2.0, 2.0), kernels.gauss, 1.0, "w")
     return w._trajectories
 
 
@@ -108,7 +108,7 @@ SELECT scan, seed, step + 1, my, mx, sqrt((my - c_y) * (my - c_y) + (mx - c_x) *
            ((t.c_y-p.c_y)/2e0)*((t.c_y-p.c_y)/2e0) + ((t.c_x-p.c_x)/2e0)*((t.c_x-p.c_x)/2e0) AS d2, exp(-5e-1 *
            (((t.c_y-p.c_y)/2e0)*((t.c_y-p.c_y)/2e0) + ((t.c_x-p.c_x)/2e0)*((t.c_x-p.c_x)/2e0))) * 5e-1 * p.w AS k
     FROM walk t JOIN weighted p ON p.scan = t.scan AND abs(p.c_y - t.c_y) <= 2 AND abs(p.c_x - t.c_x) <= 2
-    WHERE (t.norm IS NULL OR t.norm >= 5e-2) AND t.step < 60) WHERE d2 <= 1 GROUP BY ALL)"""
+    WHERE (t.norm IS NULL OR t.norm >= 1e-2) AND t.step < 1000) WHERE d2 <= 1 GROUP BY ALL)"""
 
 
 @query("ms_trajectory", "SELECT scan, seed, step, round(c_y, 4) AS c_y, round(c_x, 4) AS c_x FROM walk")

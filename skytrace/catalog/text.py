@@ -52,9 +52,9 @@ def fn_index_of_first(w):
     return w.table("lineitem").select(*_KEY, vectors.index_of_first(digits, F.col("l_linenumber").cast("bigint")).alias("idx"))
 
 
-@query("fn_erfc", f"SELECT event_id, round({erfc_sql('value / 200e0')}, 6) AS tail FROM events")
+@query("fn_erfc", f"SELECT event_id, round({erfc_sql('z')}, 12) AS tail FROM (SELECT event_id, value / 200e0 AS z FROM events)")
 def fn_erfc(w):
-    return w.table("events").select("event_id", r(special.erfc(F.col("value") / 200.0), "tail"))
+    return w.table("events").select("event_id", r(special.erfc(F.col("value") / 200.0), "tail", 12))
 
 
 @query("fn_vector_text", "SELECT scan, pid, '(' || CAST(y AS INTEGER) || '.0,' || CAST(x AS INTEGER) || '.0)' AS text, CAST(y AS DOUBLE) AS first, CAST(x AS DOUBLE) AS second FROM points")

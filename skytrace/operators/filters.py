@@ -40,8 +40,8 @@ def _smooth_dimension(
     df: DataFrame, grid: Grid, names: list[str], d: str, size: int, taps: list[float], symmetric: bool
 ) -> DataFrame:
     reach = len(taps) - 1
-    if reach < 0:
-        return df.limit(0)
+    if reach < 0:  # narrower than a cell: nothing to smooth along this dimension
+        return df
     side = max(16, 4 * reach)
     others = [o for o in grid.dims if o != d]
     line = ["scan", *others, "_block"]

@@ -84,10 +84,10 @@ def konrad_records(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def konrad_time() -> Column:
-    """Two-digit years above 50 belong to the last century."""
+    """Two-digit years above 50 belong to the last century; an impossible date is NULL."""
     year = F.when(F.col("year") > 50, F.col("year") + 1900).otherwise(F.col("year") + 2000)
     whole = [c.cast("int") for c in (year, F.col("month"), F.col("day"), F.col("hour"), F.col("minute"))]
-    return F.unix_timestamp(F.make_timestamp(*whole, F.lit(0), F.lit("UTC")))
+    return F.unix_timestamp(F.try_make_timestamp(*whole, F.lit(0), F.lit("UTC")))
 
 
 def read_konrad(spark: SparkSession, path: str) -> DataFrame:

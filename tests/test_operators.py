@@ -42,7 +42,7 @@ def test_erfc(spark):
     xs = [-3.0, -0.5, 0.0, 0.1, 0.7, 1.0, 2.5, 5.0]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(special.erfc(F.col("x"))).collect()]
     for x, g in zip(xs, got):
-        assert g == pytest.approx(math.erfc(x), rel=2e-7)
+        assert g == pytest.approx(math.erfc(x), rel=1e-14)
     edge = spark.range(1).select(special.relative_erfc(F.lit(5.0), F.lit(None).cast("double")), special.relative_erfc(F.lit(0.0), F.lit(0.0))).first()
     assert edge[0] == pytest.approx(0.0, abs=1e-12) and edge[1] == pytest.approx(1.0, abs=2e-7)
 
