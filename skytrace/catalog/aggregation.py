@@ -68,7 +68,7 @@ def agg_var_ranges(w):
 @query("agg_median_binned", "SELECT cluster, median_v AS v, median_u AS u FROM medians")
 def agg_median_binned(w):
     """The plan for clusters too large for one median state."""
-    return aggregates.value_medians(w.detection.members, ["v", "u"], largest_cluster=10 ** 12)
+    return aggregates.value_medians(w.detection.members, ["v", "u"])
 
 
 CTES["hist"] = """

@@ -85,8 +85,7 @@ class World:
     @cached_property
     def medians(self) -> DataFrame:
         members = self.detection.members
-        largest = self.detection.clusters.agg(F.max("size")).first()[0] or 0
-        med = aggregates.value_medians(members, ["v", "u"], largest)
+        med = aggregates.value_medians(members, ["v", "u"])
         return cut(med.select("cluster", F.col("v").alias("median_v"), F.col("u").alias("median_u")))
 
     @cached_property

@@ -259,22 +259,22 @@ def join_tracks_links(w):
 
 
 # the first four components of the embeddings as coordinates, in one group per label
-CTES["vectors"] = """
-SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c,
-       CAST(embedding[4] AS DOUBLE) AS d FROM embeddings"""
-CTES["vector_pairs"] = """
-SELECT p.label, p.vec_id, q.vec_id AS n_vec_id, ((p.a-q.a)/H)*((p.a-q.a)/H) + ((p.b-q.b)/H)*((p.b-q.b)/H) + ((p.c-q.c)/H)*((p.c-q.c)/H)
-       + ((p.d-q.d)/H)*((p.d-q.d)/H) AS d2 FROM vectors p JOIN vectors q ON q.label = p.label""".replace("H", "2e-1")
+# all 64 components are measured; the first four serve as block coordinates, a partial distance never exceeds the whole one
+VECTOR = [f"e{i}" for i in range(64)]
+KD_BANDWIDTH = 0.8
+CTES["vectors"] = "SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {n}" for i, n in enumerate(VECTOR)) + " FROM embeddings"
+CTES["vector_pairs"] = ("SELECT p.label, p.vec_id, q.vec_id AS n_vec_id, " + " + ".join(f"((p.{n}-q.{n})/8e-1)*((p.{n}-q.{n})/8e-1)" for n in VECTOR)
+                        + " AS d2 FROM vectors p JOIN vectors q ON q.label = p.label")
 
 
 def _vectors(w):
-    parts = [F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate("abcd")]
+    parts = [F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(VECTOR)]
     return w.table("embeddings").select("vec_id", "label", *parts)
 
 
 def _kd(w, k: int):
     v = _vectors(w)
-    out = nearest(v, v, k, list("abcd"), [0.2] * 4, "vec_id", "vec_id", ("label",), start=0.5)
+    out = nearest(v, v, k, VECTOR, [KD_BANDWIDTH] * len(VECTOR), "vec_id", "vec_id", ("label",), start=0.5, blocks=4)
     return out.withColumn("distance", F.round("distance", 6))
 
 
@@ -296,5 +296,5 @@ def join_kd_nearest_n(w):
 @query("join_kd_range", "SELECT label, vec_id, n_vec_id, round(d2, 6) AS d2 FROM vector_pairs WHERE d2 <= 1")
 def join_kd_range(w):
     v = _vectors(w)
-    out = ellipsoid_pairs(v, v, {c: 0.2 for c in "abcd"}, list("abcd"), [0.2] * 4, ("label",), min_block=0.0)
+    out = ellipsoid_pairs(v, v, {c: KD_BANDWIDTH for c in VECTOR[:4]}, VECTOR, [KD_BANDWIDTH] * len(VECTOR), ("label",), min_block=0.0)
     return out.select("label", "vec_id", "n_vec_id", r("d2", "d2"))

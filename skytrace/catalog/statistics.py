@@ -286,16 +286,19 @@ def _dictionary(w):
 
 
 @query("sink_track_dictionary", """
-SELECT id, count(*) AS length, min(uuid) AS first_uuid, arg_min('scan-' || scan || '.nc', step) AS first_file, max(step) AS last_step, min(min_v) AS min_v, max(max_u) AS max_u,
-       arg_min(CAST(ts AS BIGINT), step) AS first_time, arg_min(size, step) AS first_size FROM tracked GROUP BY id HAVING count(*) > 1""")
+SELECT id, max(steps) AS length, part, min(uuid) AS first_uuid, arg_min('scan-' || scan || '.nc', step) AS first_file, max(step) AS last_step, min(low_v) AS min_v, max(high_u) AS max_u,
+       arg_min(CAST(ts AS BIGINT), step) AS first_time, arg_min(size, step) AS first_size
+FROM (SELECT *, CAST((step - min(step) OVER t) // 4 AS BIGINT) AS part, count(*) OVER t AS steps, min(min_v) OVER t AS low_v, max(max_u) OVER t AS high_u
+      FROM tracked WINDOW t AS (PARTITION BY id))
+WHERE steps > 1 GROUP BY id, part""")
 def sink_track_dictionary(w):
     """Read back from the JSON documents."""
-    docs = sinks.dictionary_rows(_dictionary(w))
-    schema = """id bigint, length bigint, min array<double>, max array<double>, clusters array<struct<uuid: bigint, sourcefile: string, step: bigint,
+    docs = sinks.dictionary_rows(_dictionary(w), ["v", "u"], steps=4)
+    schema = """id bigint, length bigint, part bigint, min array<double>, max array<double>, clusters array<struct<uuid: bigint, sourcefile: string, step: bigint,
                 timestamp: bigint, size: bigint>>"""
     d = docs.select(F.from_json("json", schema).alias("d")).select("d.*")
     return d.select(
-        "id", "length", F.col("clusters")[0]["uuid"].alias("first_uuid"), F.col("clusters")[0]["sourcefile"].alias("first_file"),
+        "id", "length", "part", F.col("clusters")[0]["uuid"].alias("first_uuid"), F.col("clusters")[0]["sourcefile"].alias("first_file"),
         F.element_at("clusters", -1)["step"].alias("last_step"), F.col("min")[0].alias("min_v"), F.col("max")[1].alias("max_u"),
         F.col("clusters")[0]["timestamp"].alias("first_time"), F.col("clusters")[0]["size"].alias("first_size"))
 

@@ -169,8 +169,7 @@ def statistics(
         if plot:
             sinks.value_lines(dist, value).write.mode("overwrite").text(f"{output}/{kind}/plot")
     if dictionary:
-        largest = clusters.agg(F.max("size")).first()[0] or 0
-        medians = aggregates.value_medians(members, names, largest).select("cluster", *[F.col(n).alias("median_" + n) for n in names])
+        medians = aggregates.value_medians(members, names).select("cluster", *[F.col(n).alias("median_" + n) for n in names])
         table = clusters.join(medians, "cluster").withColumn("source", F.col("scan").cast("string"))
         nodes = trackstats.nodes(clusters)
         of = lambda kind: events.where(F.col("kind") == kind).select("step", "id", "related")

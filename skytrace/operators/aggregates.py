@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skytrace.operators.ordering import group_medians
+from skytrace.operators.ordering import group_medians, number_rows
 from skytrace.params import Grid
 from skytrace.session import attach
 
@@ -59,8 +59,8 @@ def weighed_center(members: DataFrame, grid: Grid, variable: str, inverted: bool
     return weighted.groupBy("scan", "cluster").agg(*aggs)
 
 
-def value_medians(members: DataFrame, names: list[str], largest_cluster: int) -> DataFrame:
-    return group_medians(members, "cluster", names, largest_cluster)
+def value_medians(members: DataFrame, names: list[str]) -> DataFrame:
+    return group_medians(members, "cluster", names)
 
 
 def histogram_bin(value: Column, lo: float, hi: float, bins: int = DEFAULT_BINS) -> Column:
@@ -156,20 +156,13 @@ def count_value(df: DataFrame, column: str, value: float, by: list[str]) -> Data
     return df.groupBy(*by).agg(F.count_if(F.col(column) == F.lit(value)).alias("n"))
 
 
-def rank_within(df: DataFrame, group: str, value: str, tie: str, out: str, buckets: int = 64) -> DataFrame:
+def rank_within(df: DataFrame, group: str, value: str, tie: str, out: str) -> DataFrame:
     """Position by falling value within each group, ties by ``tie``.
 
-    A group is cut into value ranges between its extremes, so a hot group is sorted in many pieces.
+    All rows are numbered by group, value and tie in range partitions; a group's positions start at its first number. Neither a hot group nor equal values
+    meet in one task.
     """
-    from pyspark.sql import Window
-
-    span = df.groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    share = F.try_divide((F.col("_hi") - F.col(value)) * buckets, F.col("_hi") - F.col("_lo"))
-    ranged = attach(df, span, [group], tie).withColumn(
-        "_b", F.least(F.coalesce(F.floor(share), F.lit(0)), F.lit(buckets - 1)).cast("int"))
-    counts = ranged.groupBy(group, "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(group, "_b").orderBy(F.desc(value), tie))
-    ranked = ranged.withColumn("_rn", inside).join(offsets, [group, "_b"])
-    return ranked.select(group, tie, (F.col("_before") + F.col("_rn")).cast("bigint").alias(out))
+    numbered = number_rows(df, [F.col(group), F.desc(value), F.col(tie)], "_number")
+    first = numbered.groupBy(group).agg(F.min("_number").alias("_first"))
+    ranked = attach(numbered, first, [group], tie)
+    return ranked.select(group, tie, (F.col("_number") - F.col("_first") + 1).cast("bigint").alias(out))

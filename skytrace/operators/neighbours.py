@@ -106,9 +106,12 @@ def nearest(
     right_key: str,
     on: tuple[str, ...],
     start: float = 1.0,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Exact k nearest neighbours by growing radius, in bandwidth-scaled space.
 
+    Candidates are found in blocks of the first ``blocks`` columns (all by default); the distance is measured over every column.
+
     Rows that have k neighbours inside the searched radius are final; the others try twice the radius. The
     loop ends when nobody is left or the radius spans the data; the last round then returns what exists.
     """
@@ -123,7 +126,7 @@ def nearest(
     ones = [1.0] * len(columns)
     while True:
         last = radius >= span * len(columns) ** 0.5 + 1e-9
-        pairs = near_pairs(pending, right, {c: radius for c in columns}, on, min_block=0.0)
+        pairs = near_pairs(pending, right, {c: radius for c in columns[:blocks]}, on, min_block=0.0)
         found = pairs.withColumn("d2", ellipsoid_distance2(columns, ones))
         if not last:
             found = found.where(F.col("d2") <= radius * radius)

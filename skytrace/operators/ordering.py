@@ -2,61 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skytrace.session import attach, row_count
+from skytrace.session import attach, row_count, store
 
-ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 512
-SAMPLES_PER_BUCKET = 20
+ROWS_PER_PART = 200_000
+_LOCAL_BITS = 33  # of monotonically_increasing_id: the row's number inside its partition
 
 
-def number_rows(df: DataFrame, key: str, out: str) -> DataFrame:
-    """1..N over a unique key (number or text) in key order.
+def number_rows(df: DataFrame, order: str | list[str | Column], out: str) -> DataFrame:
+    """1..N in the given order (unique keys, numbers or text).
 
-    Rows are split into key ranges at sampled keys (a bounded list of literals, so every recomputation sees
-    the same ranges); each range is numbered on its own and offset by the counts of the ranges before it.
+    Rows are range-partitioned by the order, in as many parts as their count asks for, sorted inside each and stored; a row's number is its place in its
+    part plus the counts of the parts before.
     """
-    n = row_count(df)
-    buckets = min(MAX_BUCKETS, max(1, n // ROWS_PER_BUCKET))
-    bucket = F.lit(0)
-    if buckets > 1:
-        sample = df.select(key).sample(min(1.0, SAMPLES_PER_BUCKET * buckets / n), seed=1)
-        seen = sorted(r[0] for r in sample.collect())
-        splits = sorted({seen[i * len(seen) // buckets] for i in range(1, buckets)}) if seen else []
-        if splits:
-            bucket = F.size(F.filter(F.lit(splits), lambda s: s < F.col(key))).cast("int")
-    ranged = df.withColumn("_bucket", bucket)
-    counts = ranged.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # at most MAX_BUCKETS rows reach this window
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
-    return (
-        ranged.withColumn("_rank", inside)
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn(out, (F.col("_before") + F.col("_rank")).cast("bigint"))
-        .drop("_bucket", "_rank", "_before")
-    )
+    order = [order] if isinstance(order, str) else order
+    parts = max(1, -(-row_count(df) // ROWS_PER_PART))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = store(ranged.withColumn("_place", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_place", _LOCAL_BITS))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per part: N / ROWS_PER_PART rows of two numbers
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = F.col("_place").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
+    numbered = placed.join(F.broadcast(offsets), "_part").withColumn(out, (F.col("_before") + local + 1).cast("bigint"))
+    return numbered.drop("_part", "_place", "_before")
 
 
-MEDIAN_IN_STATE = 1_000_000
 MEDIAN_BINS = 1024
 
 
-def group_medians(df: DataFrame, group: str, columns: list[str], largest_group: int) -> DataFrame:
-    """Exact medians per group. ``largest_group`` (rows) picks the plan.
+def group_medians(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """Exact medians per group, NULLs left out (NULL if nothing else is there).
 
-    Within the bound the built-in exact percentile keeps a value/count map per group. Beyond it each
-    group is histogrammed first, and only the bins that hold the middle ranks are sorted.
+    Each group is histogrammed first, and only the bins that hold the middle ranks are sorted, so a hot group is spread.
     """
-    if largest_group <= MEDIAN_IN_STATE:
-        return df.groupBy(group).agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns])
-    out = None
+    out = df.groupBy(group).agg(F.count("*").alias("_rows")).drop("_rows")
     for c in columns:
-        one = _binned_median(df.select(group, F.col(c).alias("_v")), group).withColumnRenamed("_median", c)
-        out = one if out is None else out.join(one, group)
+        one = _binned_median(df.select(group, F.col(c).alias("_v")).where("_v IS NOT NULL"), group).withColumnRenamed("_median", c)
+        out = out.join(one, group, "left")
     return out
 
 

@@ -51,18 +51,17 @@ def replace_axes(members: DataFrame, axis: DataFrame, dims: tuple[str, ...]) ->
 DOCUMENT_STEPS = 10_000
 
 
-def dictionary_rows(dict_clusters: DataFrame, exclude_degenerates: bool = True, steps: int = DOCUMENT_STEPS) -> DataFrame:
-    """One JSON document per track: id, length, part, clusters in step order, min and max.
+def dictionary_rows(dict_clusters: DataFrame, names: list[str], exclude_degenerates: bool = True, steps: int = DOCUMENT_STEPS) -> DataFrame:
+    """One JSON document per track and part: id, length, part, clusters in step order, min and max of the variables ``names``.
 
-    A track has one cluster per step. One that spans more than ``steps`` steps is continued in further documents
-    (``part`` 1, 2, ...), so a document stays bounded; length, min and max always describe the whole track.
+    Every track is told in parts of ``steps`` steps, numbered from 0 at its first step (a track has one cluster per step), so a document
+    stays bounded; length, min and max always describe the whole track.
     """
     fields = [c for c in dict_clusters.columns if c != "id"]
-    width = {c: _width(dict_clusters, c) for c in ("min", "max")}
     whole = dict_clusters.groupBy("id").agg(
         F.count("*").alias("length"), F.min("step").alias("_first"),
-        F.array(*[F.min(F.get("min", F.lit(k))) for k in range(width["min"])]).alias("min"),
-        F.array(*[F.max(F.get("max", F.lit(k))) for k in range(width["max"])]).alias("max"),
+        F.array(*[F.min(F.get("min", F.lit(k))) for k in range(len(names))]).alias("min"),
+        F.array(*[F.max(F.get("max", F.lit(k))) for k in range(len(names))]).alias("max"),
     )
     if exclude_degenerates:
         whole = whole.where("length > 1")
@@ -75,12 +74,6 @@ def dictionary_rows(dict_clusters: DataFrame, exclude_degenerates: bool = True,
     return joined.select("id", "part", F.to_json(doc).alias("json"))
 
 
-def _width(df: DataFrame, column: str) -> int:
-    """Number of values in an array column; the same in every row."""
-    row = df.select(F.size(column)).first()
-    return 0 if row is None else row[0]
-
-
 def write_dictionary(
     path: str, dict_clusters: DataFrame, nodes: DataFrame, links: DataFrame, dims: list[str], variables: list[str]
 ) -> None:
@@ -92,7 +85,7 @@ def write_dictionary(
     count = dict_clusters.select("id").distinct().count()
     header = spark.createDataFrame([(dims, variables, count)], "spatial_range array<string>, value_range array<string>, number_of_tracks bigint")
     header.coalesce(1).write.mode("overwrite").json(f"{path}/header")
-    dictionary_rows(dict_clusters).select("json").write.mode("overwrite").text(f"{path}/tracks")
+    dictionary_rows(dict_clusters, variables).select("json").write.mode("overwrite").text(f"{path}/tracks")
     nodes.select("uuid", "id", "size", "step").write.mode("overwrite").json(f"{path}/nodes")
     links.select("source", "target", "type", "id").write.mode("overwrite").json(f"{path}/links")
 

@@ -43,7 +43,7 @@ def _run(spark, sf_dir):
 def test_large_table_plans_agree(spark, sf_dir, no_broadcast, monkeypatch):
     normal = _run(spark, sf_dir)
     monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", 20)
+    monkeypatch.setattr(ordering, "ROWS_PER_PART", 20)
     assert _run(spark, sf_dir) == normal
 
 
@@ -68,6 +68,6 @@ def test_filters_reach_the_scan(spark, sf_dir):
 def test_long_tracks_are_split_into_documents(spark):
     rows = [(7, s, s + 1, [float(s)], [float(s + 1)]) for s in range(25)] + [(8, 3, 99, [0.0], [1.0])]
     df = spark.createDataFrame(rows, "id bigint, step bigint, uuid bigint, min array<double>, max array<double>")
-    docs = sinks.dictionary_rows(df, steps=10).select("part", F.from_json("json", "id bigint, length bigint, part bigint, clusters array<struct<step: bigint>>, min array<double>, max array<double>").alias("d"))
+    docs = sinks.dictionary_rows(df, ["v"], steps=10).select("part", F.from_json("json", "id bigint, length bigint, part bigint, clusters array<struct<step: bigint>>, min array<double>, max array<double>").alias("d"))
     got = sorted((r["part"], r["d"]["length"], [c["step"] for c in r["d"]["clusters"]], r["d"]["min"], r["d"]["max"]) for r in docs.collect())
     assert got == [(p, 25, list(range(10 * p, min(10 * p + 10, 25))), [0.0], [25.0]) for p in range(3)]
