@@ -86,7 +86,7 @@ class ScanParams:
     background_words: int = 120  # words kept of each of those, for training only
     variants: int = 40  # training paragraphs per statement
     probability: float = 0.5
-    coverage: float = 0.6  # share of a statement's n-grams that the paragraph must hold
+    coverage: float = 0.7  # share of a statement's n-grams that the paragraph must hold
     seed: int = 11
 
 
@@ -187,21 +187,18 @@ def _tokens(line: Column) -> Column:
 
 
 def _grams(tokens: Column) -> Column:
+    """Distinct 1- to 3-grams; each length extends the one before by the words that follow, in one pass over the array."""
     parts = [tokens]
     for n in range(2, GRAMS + 1):
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
-
-        def joined(size: int):
-            return lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(size)), " ")
-
-        parts.append(F.transform(starts, joined(n)))
+        count = F.greatest(F.lit(0), F.size(tokens) - n + 1)
+        parts.append(F.zip_with(F.slice(parts[-1], F.lit(1), count), F.slice(tokens, F.lit(n), count), lambda head, word: F.concat_ws(" ", head, word)))
     return F.array_distinct(F.concat(*parts))
 
 
 def classified(docs: DataFrame, model: LicenseModel, p: ScanParams = ScanParams()) -> DataFrame:
     """(row, line_no, family, probability) of paragraphs with a confirmed licence; ``docs`` has row (a document's key) and text."""
     spark = docs.sparkSession
-    anchored = "(?i)(?<![a-z0-9])(?:" + "|".join(model.anchors) + ")"
+    anchored = "(?i)(?<![a-z0-9])(?:" + "|".join(model.anchors) + ")(?![a-z0-9])"
     text = F.col("text")
     lines = docs.where(text.rlike(anchored)).select("row", F.posexplode(F.split(text, "\n")).alias("line_no", "line")).where(F.col("line").rlike(anchored)).distinct()
     lines = store(lines.select("row", "line_no", _grams(_tokens(F.col("line"))).alias("grams")))
