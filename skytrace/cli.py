@@ -1,7 +1,8 @@
 """Command line: ``detect``, ``track``, ``trackstats`` and ``run`` over parquet cell and cluster tables.
 
 The grid comes from a JSON file: {"dimensions": [...], "sizes": [...], "resolution": [...], "origin": [...], "units": [...],
-"variables": [{"name", "scale_factor", "add_offset", "valid_min", "valid_max", "fill_value"}, ...]}.
+"variables": [{"name", "scale_factor", "add_offset", "valid_min", "valid_max", "fill_value"}, ...]}; direction statistics also need
+"plane_origin": [x, y], the place of the grid's zero on the stereographic plane in km.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from pyspark.sql import functions as F
 from skytrace import __version__
 from skytrace.operators import aggregates, trackstats
 from skytrace.operators.featurespace import Variable
+from skytrace.operators.ordering import number_rows
 from skytrace.params import (
     CLUSTER_CLASSES, DIRECTION_CLASSES, LENGTH_CLASSES, SIZE_CLASSES, SPEED_CLASSES, DetectionParams, Grid, StatsParams,
     TrackingParams, from_config, parse_assignments, parse_replacement_filters,
 )
 from skytrace.plans.detection import detect
-from skytrace.plans.incremental import advance
+from skytrace.plans.incremental import advance, stored
 from skytrace.plans.tracking import graph, track
+from skytrace.session import attach
 from skytrace.sources import files, sinks
 
 
@@ -38,6 +41,12 @@ def load_grid(path: str) -> tuple[Grid, list[Variable]]:
     return grid, [Variable(**v) for v in spec["variables"]]
 
 
+def load_plane_origin(path: str) -> tuple[float, float] | None:
+    with open(path, encoding="utf-8") as fh:
+        origin = json.load(fh).get("plane_origin")
+    return None if origin is None else (float(origin[0]), float(origin[1]))
+
+
 def _numbers(text: str | None) -> tuple[float, ...] | None:
     return tuple(float(v) for v in text.split(",")) if text else None
 
@@ -104,13 +113,13 @@ def tracking_params(a: argparse.Namespace) -> TrackingParams:
 
 
 def time_slice(cells: DataFrame, start: int, end: int | None = None) -> DataFrame:
-    """Scans by step in time order; the end is included."""
-    if start < 0:
+    """Scans by step in time order; the end is included. Without a start they begin at the first, without an end only ``start`` is taken."""
+    if start < 0 and end is None:
         return cells
-    end = start if end is None else end
-    # at most end + 1 different times reach the driver
-    times = [r["ts"] for r in cells.select("ts").distinct().orderBy("ts").limit(end + 1).collect()][start:]
-    return cells.where(F.col("ts").isin(times)) if times else cells.limit(0)
+    first, last = max(start, 0), start if end is None else end
+    steps = number_rows(cells.select("ts").distinct(), "ts", "step").where((F.col("step") > first) & (F.col("step") <= last + 1))
+    span = steps.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    return cells.limit(0) if span["first"] is None else cells.where(F.col("ts").between(span["first"], span["last"]))
 
 
 def cmd_detect(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -126,36 +135,39 @@ def cmd_detect(spark: SparkSession, a: argparse.Namespace) -> None:
     found = detect(cells, grid, variables, params, comparison=comparison)
     found.clusters.write.mode("overwrite").parquet(f"{a.output}/detected/clusters")
     found.members.write.mode("overwrite").parquet(f"{a.output}/detected/members")
+    cells.select("scan", "ts").distinct().write.mode("overwrite").parquet(f"{a.output}/detected/scans")
 
 
 def _next_batch(spark: SparkSession, output: str) -> int:
-    try:
-        last = spark.read.parquet(f"{output}/clusters").agg(F.max("batch")).first()[0]
-    except Exception:
-        return 0
+    """Number of the batch after the stored ones."""
+    known = stored(spark, f"{output}/scans")
+    last = None if known is None else known.agg(F.max("batch")).first()[0]
     return 0 if last is None else last + 1
 
 
 def cmd_track(spark: SparkSession, a: argparse.Namespace) -> None:
     grid, variables = load_grid(a.grid)
-    clusters, members = (spark.read.parquet(f"{a.input}/detected/{t}") for t in ("clusters", "members"))
-    scans = clusters.select("scan", "ts").distinct()
+    # scans without clusters separate tracks, so they come from their own table
+    clusters, members, scans = (spark.read.parquet(f"{a.input}/detected/{t}") for t in ("clusters", "members", "scans"))
     result = track(clusters, members, scans, grid, tracking_params(a), {v.name: v.limits for v in variables})
     sinks.write_clusters(a.output, result.tracked, members, result.events)
 
 
 def statistics(
-    spark: SparkSession, path: str, output: str, grid: Grid, names: list[str], params: StatsParams, wanted: set[str], dictionary: bool, plot: bool
+    spark: SparkSession, path: str, output: str, grid: Grid, names: list[str], params: StatsParams, wanted: set[str], dictionary: bool, plot: bool,
+    plane_origin: tuple[float, float] | None = None,
 ) -> None:
-    """Distributions, histograms and the track dictionary of stored results."""
+    """Distributions, histograms and the track dictionary of stored results. Directions need the grid's place on the stereographic plane."""
+    if "direction" in wanted and plane_origin is None:
+        raise SystemExit("direction statistics need plane_origin in the grid file")
     clusters, members, events = files.read_clusters(spark, path)
     lengths = trackstats.track_lengths(clusters)
     used = trackstats.without_degenerates(clusters, lengths) if params.exclude_degenerates else clusters
-    members = members.join(clusters.select("cluster", "id"), "cluster")
+    members = attach(members, clusters.select("cluster", "id"), ["cluster"], "gid")
     sources = {
         "length": lambda: (trackstats.track_lengths(used), "length", params.length_classes),
         "speed": lambda: (trackstats.speeds(used, grid), "speed", params.speed_classes),
-        "direction": lambda: (trackstats.directions(used, grid.dims[-1], grid.dims[-2], (0.0, 0.0)), "direction", params.direction_classes),
+        "direction": lambda: (trackstats.directions(used, grid.dims[-1], grid.dims[-2], plane_origin), "direction", params.direction_classes),
         "cluster": lambda: (used, "size", params.cluster_classes),
         "size": lambda: (trackstats.cumulated_sizes(members), "cells", params.size_classes),
     }
@@ -189,7 +201,7 @@ def cmd_trackstats(spark: SparkSession, a: argparse.Namespace) -> None:
         "cluster": a.create_cluster_statistics, "size": a.create_cumulated_size_statistics,
     }
     wanted = {k for k, on in flags.items() if on}
-    statistics(spark, a.sourcepath, a.output, grid, [v.name for v in variables], params, wanted, a.write_track_dictionary, a.write_gnuplot_files)
+    statistics(spark, a.sourcepath, a.output, grid, [v.name for v in variables], params, wanted, a.write_track_dictionary, a.write_gnuplot_files, load_plane_origin(a.grid))
 
 
 def cmd_run(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -205,7 +217,9 @@ def cmd_run(spark: SparkSession, a: argparse.Namespace) -> None:
         started = time.time()
         target = f"{a.output}/scale{scale}" if scale else f"{a.output}/clustering"
         params = replace(detection, scale=float(scale)) if scale else detection
-        batch = _next_batch(spark, target) if a.resume else 0
+        batch = _next_batch(spark, target)
+        if batch and not a.resume:
+            raise SystemExit(f"{target} holds results of an earlier run: continue them with --resume or choose another output")
         advance(spark, time_slice(spark.read.parquet(a.file), a.start, a.end), target, batch, grid, variables, params, tracking)
         if not a.skip_trackstats:
             statistics(spark, target, f"{target}/statistics", grid, [v.name for v in variables], stats, {"length", "speed", "cluster", "size"}, True, False)

@@ -1,7 +1,8 @@
 """Run detection and tracking on scans as they arrive, continuing from stored results.
 
-Results live in ``<output>/{clusters,members,events}/batch=<n>``. Writing a batch again replaces it, so a batch that
-failed half way can be repeated. The state is the last stored scan, read back from the tables.
+Results live in ``<output>/{clusters,members,events,scans,state}/batch=<n>/part=<p>``. Writing a batch again replaces it, so a batch
+that failed half way can be repeated. ``scans`` lists every processed scan, also those without clusters, and ``state`` holds one row per part: the
+last scan and the highest numbers given so far. The next batch reads that row and the one scan it names.
 """
 
 from __future__ import annotations
@@ -32,24 +33,28 @@ class State:
     highest_uuid: int
     clusters: DataFrame
     members: DataFrame
+    batch: int
 
 
 def load_state(spark: SparkSession, output: str, batch: int) -> State | None:
+    known = stored(spark, f"{output}/state")
+    last = None if known is None else known.where(F.col("batch") < batch).orderBy(F.desc("batch"), F.desc("part")).first()
+    if last is None:
+        return None
+    pick = lambda name: cut(
+        spark.read.parquet(f"{output}/{name}").where((F.col("batch") == last["at_batch"]) & (F.col("scan") == last["scan"])).drop("batch", "part")
+    )
+    return State(last["scan"], last["ts"], last["highest_id"], last["highest_uuid"], pick("clusters"), pick("members"), last["at_batch"])
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored table, or None if nothing was ever stored there; any other failure to read it is raised."""
     try:
-        clusters = spark.read.parquet(f"{output}/clusters").where(F.col("batch") < batch)
-        members = spark.read.parquet(f"{output}/members").where(F.col("batch") < batch)
+        return spark.read.parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
         raise
-    last = clusters.agg(
-        F.max(F.struct("ts", "scan", "batch")).alias("at"), F.max("id").alias("id"), F.max("uuid").alias("uuid")
-    ).first()
-    if last["at"] is None:
-        return None
-    scan, ts, at = last["at"]["scan"], last["at"]["ts"], last["at"]["batch"]
-    pick = lambda df: cut(df.where((F.col("batch") == at) & (F.col("scan") == scan)).drop("batch"))
-    return State(scan, ts, last["id"], last["uuid"], pick(clusters), pick(members))
 
 
 def advance(
@@ -73,8 +78,7 @@ def advance(
     cells = cut(cells)
     for part, row in enumerate(cells.select("ts").distinct().orderBy("ts").toLocalIterator()):
         scan_cells = cells.where(F.col("ts") == row["ts"])
-        done = _one_step(spark, scan_cells, output, batch, part, state, grid, variables, detection, tracking_params)
-        state = done or state
+        state = _one_step(spark, scan_cells, output, batch, part, state, grid, variables, detection, tracking_params)
 
 
 def _one_step(spark, cells, output, batch, part, state, grid, variables, detection, tracking_params) -> State | None:
@@ -91,7 +95,7 @@ def _one_step(spark, cells, output, batch, part, state, grid, variables, detecti
         previous_clusters = state.clusters.withColumns(
             {"center_" + d: F.col("center_" + d) + F.coalesce("d_" + d, F.lit(0.0)) for d in grid.dims}
         )
-    scans = cells.select("scan", "ts").distinct()
+    scans = cut(cells.select("scan", "ts").distinct())
     result = _track_after(
         previous_clusters, previous_members, state, clusters, members, scans, grid, tracking_params,
         {v.name: v.limits for v in variables},
@@ -102,15 +106,21 @@ def _one_step(spark, cells, output, batch, part, state, grid, variables, detecti
     stored_members = members.drop("w", *[c for c in members.columns if c.startswith(("s_", "g_"))])
     for name, df in zip(TABLES, (tracked, stored_members, events)):
         df.write.mode("overwrite").parquet(f"{output}/{name}/batch={batch}/part={part}")
-    last = tracked.agg(F.max(F.struct("ts", "scan")).alias("at"), F.max("id").alias("id"), F.max("uuid").alias("uuid")).first()
-    if last["at"] is None:
-        return None
-    scan = last["at"]["scan"]
-    highest = lambda now, before: max(now, before or 0)
-    return State(
-        scan, last["at"]["ts"], highest(last["id"], state and state.highest_id), highest(last["uuid"], state and state.highest_uuid),
-        cut(tracked.where(F.col("scan") == scan)), cut(members.where(F.col("scan") == scan)),
+    scans.write.mode("overwrite").parquet(f"{output}/scans/batch={batch}/part={part}")
+    at = scans.agg(F.max(F.struct("ts", "scan")).alias("at")).first()["at"]
+    if at is None:
+        return state
+    given = tracked.agg(F.max("id").alias("id"), F.max("uuid").alias("uuid")).first()
+    highest = lambda now, before: max(now or 0, before or 0)
+    last_of = lambda df: cut(df.where(F.col("scan") == at["scan"]))
+    new = State(
+        at["scan"], at["ts"], highest(given["id"], state and state.highest_id), highest(given["uuid"], state and state.highest_uuid),
+        last_of(tracked), last_of(members), batch,
     )
+    row = (new.scan, new.ts, new.highest_id, new.highest_uuid, new.batch)
+    table = spark.createDataFrame([row], "scan bigint, ts bigint, highest_id bigint, highest_uuid bigint, at_batch int")
+    table.coalesce(1).write.mode("overwrite").parquet(f"{output}/state/batch={batch}/part={part}")
+    return new
 
 
 def _track_after(previous_clusters, previous_members, state, clusters, members, scans, grid, params, limits) -> Tracks:

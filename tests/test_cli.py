@@ -81,3 +81,31 @@ def test_files(spark, tmp_path):
     ts = files.read_radar_composites(spark, str(tmp_path)).first()["ts"]
     assert ts == 1372664400
     assert [r["name"] for r in files.list_directory(spark, str(tmp_path), "raa01*").collect()] == ["raa01-rx_10000-1307010740-dwd---bin"]
+
+
+def test_command_line_tracks_over_empty_scans(spark, tmp_path):
+    rows = [(scan, 300 * scan, y, x, 100.0 if scan != 1 and 2 <= y <= 4 and 2 <= x <= 4 else 1.0, 10.0) for scan in range(3) for y in range(8) for x in range(8)]
+    spark.createDataFrame(rows, "scan bigint, ts bigint, y int, x int, v_raw double, u_raw double").write.parquet(str(tmp_path / "cells"))
+    (tmp_path / "grid.json").write_text(json.dumps(GRID))
+    grid, out = str(tmp_path / "grid.json"), str(tmp_path / "out")
+    for argv in (["detect", "-f", str(tmp_path / "cells"), "-o", out, "--grid", grid, "--lower-thresholds", "v=10", "--ranges", "2,2,10,50"], ["track", "--input", out, "--output", out, "--grid", grid]):
+        a = cli.parser().parse_args(argv)
+        a.run(spark, a)
+    assert sorted((r["scan"], r["id"]) for r in spark.read.parquet(f"{out}/clusters").collect()) == [(0, 1), (2, 2)]
+    directions = cli.parser().parse_args(["trackstats", "-s", out, "--output", out, "--grid", grid, "-3"])
+    with pytest.raises(SystemExit):
+        directions.run(spark, directions)
+
+
+def test_time_slice(spark):
+    cells = spark.createDataFrame([(t // 10, t) for t in range(0, 100, 10)] * 2, "scan bigint, ts bigint")
+    steps = lambda *a: sorted({r["scan"] for r in cli.time_slice(cells, *a).collect()})
+    assert steps(-1) == list(range(10)) and steps(-1, 3) == [0, 1, 2, 3] and steps(4) == [4] and steps(2, 5) == [2, 3, 4, 5] and steps(12) == []
+
+
+def test_unreadable_results_are_not_overwritten(spark, tmp_path):
+    (tmp_path / "out" / "scans").mkdir(parents=True)
+    (tmp_path / "out" / "scans" / "part-0.parquet").write_text("broken")
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        cli._next_batch(spark, str(tmp_path / "out"))
+    assert cli._next_batch(spark, str(tmp_path / "none")) == 0

@@ -1,5 +1,7 @@
 """Batches must give what one run over everything gives."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,8 +54,6 @@ def test_stream_equals_one_run(spark, whole, tmp_path):
 
 
 def test_options_that_need_the_previous_scan(spark, whole, tmp_path):
-    from dataclasses import replace
-
     cells, _, _ = whole
     out = str(tmp_path / "out")
     detection = replace(tb.DETECTION, postprocess_with_previous=True)
@@ -65,3 +65,31 @@ def test_options_that_need_the_previous_scan(spark, whole, tmp_path):
     assert clusters.count() == clusters.select("uuid").distinct().count()
     sizes = {r["cluster"]: r["count"] for r in members.groupBy("cluster").count().collect()}
     assert sizes == {r["cluster"]: r["size"] for r in clusters.collect()}
+
+
+def _gappy(spark):
+    """Five scans 300 s apart; the first, third and last have no cluster (their cells are below the threshold)."""
+    rows = []
+    for scan in range(5):
+        for y in range(8):
+            for x in range(8):
+                value = 50 if scan in (1, 3) and 2 <= y <= 4 and 2 <= x <= 4 else 1
+                rows.append((scan, 300 * scan, y, x, value, 10))
+    return spark.createDataFrame(rows, "scan bigint, ts bigint, y int, x int, v_raw int, u_raw int")
+
+
+@pytest.mark.parametrize("cuts", [[(0, 4)], [(0, 0), (1, 1), (2, 2), (3, 4)], [(0, 2), (3, 3), (4, 4)], [(0, 1), (2, 4)]])
+def test_scans_without_clusters_end_tracks(spark, tmp_path, cuts):
+    cells, out = _gappy(spark), str(tmp_path / "out")
+    detection = replace(tb.DETECTION, lower={"v": 10.0})
+    found = detect(cells, tb.GRID, tb.VARIABLES, detection)
+    whole = track(found.clusters, found.members, cells.select("scan", "ts").distinct(), tb.GRID, tb.TRACKING)
+    want = sorted((r["scan"], r["id"]) for r in whole.tracked.collect())
+    assert want == [(1, 1), (3, 2)]
+    for batch, (lo, hi) in enumerate(cuts):
+        advance(spark, cells.where(F.col("scan").between(lo, hi)), out, batch, tb.GRID, tb.VARIABLES, detection, tb.TRACKING)
+    # cells of an empty scan that was processed are late, too
+    advance(spark, cells.where("scan = 4"), out, len(cuts), tb.GRID, tb.VARIABLES, detection, tb.TRACKING)
+    stored = spark.read.parquet(f"{out}/clusters")
+    assert sorted((r["scan"], r["id"]) for r in stored.collect()) == want
+    assert sorted(r["scan"] for r in spark.read.parquet(f"{out}/scans").collect()) == [0, 1, 2, 3, 4]
