@@ -13,7 +13,9 @@ import struct
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,10 @@ from skytrace.session import store
 
 CAPACITY = 2048
 END = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000  # in each of two generations
 BLOCK = 1 << 22
+# Punctuation that may stand around a run of letters; an apostrophe may begin a word of the tokenizer together with letters.
+AROUND = "!\"#$%&()*+,-./:;=?@[]^_`{|}~"
 
 
 def default_vocabulary() -> str:
@@ -34,7 +38,8 @@ class WordTokenizer:
     """Ids of a tokenizer whose words never cross a space or line break, with a bounded cache of words.
 
     Texts in Latin-1 without ``<|`` are lower-cased here and skip the tokenizer's own normaliser (NFC changes no Latin-1
-    character); all others go through the whole tokenizer, word by word.
+    character). There a run of letters is one word of the tokenizer wherever it stands, so new runs are encoded together and cut where a
+    token ends a word; punctuation around a run is looked up apart. All other words go through the tokenizer one by one.
     """
 
     def __init__(self, path: str):
@@ -44,19 +49,68 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
+        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.whole.get_vocab().items() if token.endswith("</w>")]] = True
         self.words: dict[bool, dict[str, bytes]] = {True: {}, False: {}}
+        self.older: dict[bool, dict[str, bytes]] = {True: {}, False: {}}
+
+    def _one_by_one(self, words: list[str], plain: bool) -> None:
+        coder, known = self.plain if plain else self.whole, self.words[plain]
+        for word, got in zip(words, coder.encode_batch_fast(words, add_special_tokens=False)):
+            known[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+
+    def _runs(self, runs: list[str]) -> None:
+        ids = np.array(self.plain.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(runs):
+            return self._one_by_one(runs, True)
+        flat, known, at = ids.tobytes(), self.words[True], 0
+        for word, cut in zip(runs, cuts):
+            known[word] = flat[at:cut]
+            at = cut
+
+    def _learn(self, missing: list[str]) -> None:
+        known = self.words[True]
+        runs: set[str] = set()
+        around, others = [], []
+        for word in missing:
+            run = word.strip(AROUND)
+            if run.isalpha():
+                if run not in known:
+                    runs.add(run)
+                if len(run) < len(word):
+                    around.append((word, run))
+            else:
+                others.append(word)
+        sides = set()
+        for word, run in around:
+            start = word.index(run)
+            sides.update((word[:start], word[start + len(run):]))
+        others += [side for side in sides if side and side not in known]
+        if runs:
+            self._runs(list(runs))
+        if others:
+            self._one_by_one(others, True)
+        known[""] = b""
+        for word, run in around:
+            start = word.index(run)
+            known[word] = known[word[:start]] + known[run] + known[word[start + len(run):]]
 
     def _block(self, text: str, plain: bool) -> bytes:
         known = self.words[plain]
         words = (text.lower() if plain else text).replace("\n", " ").split(" ")
-        missing = list(set(words) - known.keys())
+        missing = [w for w in set(words) if w not in known]
         if missing:
             if len(known) + len(missing) > CACHED_WORDS:
-                known.clear()
+                # words that are still in use move on to the new generation
+                self.older[plain], known = known, {}
+                self.words[plain] = known
                 missing = list(set(words))
-            coder = self.plain if plain else self.whole
-            for word, got in zip(missing, coder.encode_batch_fast(missing, add_special_tokens=False)):
-                known[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+            if older := self.older[plain]:
+                known.update((w, older[w]) for w in missing if w in older)
+                missing = [w for w in missing if w not in known]
+            if missing:
+                self._learn(missing) if plain else self._one_by_one(missing, False)
         return b"".join(map(known.__getitem__, words))
 
     def ids(self, text: str) -> bytes:
@@ -79,14 +133,8 @@ class WordTokenizer:
 _LOADED: dict[str, WordTokenizer] = {}
 
 
-def token_column(text: Column, vocabulary: str) -> Column:
-    """Ids of each text, then the end id, as little-endian 32-bit binary."""
-
-    def encode(texts: pa.Array) -> pa.Array:
-        coder = _LOADED.get(vocabulary) or _LOADED.setdefault(vocabulary, WordTokenizer(vocabulary))
-        return pa.array([coder.ids(t.as_py()) + END.to_bytes(4, "little") for t in texts], pa.binary())
-
-    return F.arrow_udf(encode, "binary")(text)
+def _coder(vocabulary: str) -> WordTokenizer:
+    return _LOADED.get(vocabulary) or _LOADED.setdefault(vocabulary, WordTokenizer(vocabulary))
 
 
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  # packs, ((length, times in each pack), ...)
@@ -132,15 +180,42 @@ def places(found: list[Pattern]) -> Iterator[tuple[int, int, int, int, int, int]
         sequence += packs
 
 
+PIECE = "doc_id {id}, part int, start long, length long, doc_tokens long, local long, ids binary"
+FLUSH_BYTES = 8 << 20
+
+
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, row, start, length, doc_tokens, ids): all tokens of every document, cut; row tells rows apart."""
-    coded = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), token_column(text_or_empty(), vocabulary).alias("all"))
-    count = (F.octet_length("all") / 4).cast("long")
-    cut = coded.withColumn("doc_tokens", count).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("doc_tokens") - 1) / capacity))))
-    start = F.col("at") * capacity
-    length = F.least(F.lit(capacity), F.col("doc_tokens") - start)
-    ids = F.substring("all", (start * 4 + 1).cast("int"), (length * 4).cast("int"))
-    return cut.select("doc_id", "row", start.alias("start"), length.alias("length"), "doc_tokens", ids.alias("ids"))
+    """(doc_id, part, start, length, doc_tokens, local, ids): all tokens of every document, cut.
+
+    local numbers the pieces of one length inside the input partition ``part``; both hold for the table once it is stored.
+    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, part, seen = _coder(vocabulary), TaskContext.get().partitionId(), defaultdict(int)
+        names = ["doc_id", "part", "start", "length", "doc_tokens", "local", "ids"]
+        for batch in batches:
+            rows, places, held = [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places)), pa.array([part] * len(rows), pa.int32()), *columns], names)
+
+            for place, text in enumerate(batch.column(1)):
+                ids = coder.ids(text.as_py()) + END.to_bytes(4, "little")
+                count = len(ids) // 4
+                for start in range(0, count, capacity):
+                    length = min(capacity, count - start)
+                    rows.append((start, length, count, seen[length], ids[4 * start:4 * (start + length)]))
+                    places.append(place)
+                    seen[length] += 1
+                held += len(ids)
+                if held > FLUSH_BYTES:
+                    yield flush()
+                    rows, places, held = [], [], 0
+            if rows:
+                yield flush()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(cut, PIECE.format(id=kind))
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, carry: Column | None = None) -> DataFrame:
@@ -151,19 +226,16 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     who needs a digest only doesn't move the ids.
     """
     cut = store(pieces(docs, vocabulary or default_vocabulary(), capacity))
-    carried = (F.col("ids") if carry is None else carry).alias("ids")
-    part = F.shiftright("row", 33)
-    order = Window.partitionBy("part", "length").orderBy("row", "start")
-    counts = store(cut.groupBy(part.alias("part"), "length").agg(F.count("*").alias("held")))
+    counts = store(cut.groupBy("part", "length").agg(F.count("*").alias("held")))
     ahead = F.sum("held").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     ahead = store(counts.select("part", "length", F.coalesce(ahead, F.lit(0)).alias("ahead")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("held").alias("n")).collect()}
     spots = docs.sparkSession.createDataFrame(
-        list(places(patterns(histogram, capacity))), "length long, low long, high long, sequence long, times long, at long")
-    ranked = cut.select("doc_id", part.alias("part"), "row", "start", "length", "doc_tokens", carried)
-    ranked = ranked.withColumn("local", F.row_number().over(order) - 1)
-    ranked = lookup(ranked, ahead, ["part", "length"]).withColumn("rank", F.col("local") + F.col("ahead"))
-    placed = ranked.join(F.broadcast(spots.withColumnRenamed("length", "of")), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+        list(places(patterns(histogram, capacity))), "of long, low long, high long, sequence long, times long, at long")
+    carried = (F.col("ids") if carry is None else carry).alias("ids")
+    ranked = lookup(cut.select("doc_id", "part", "start", "length", "doc_tokens", "local", carried), ahead, ["part", "length"])
+    ranked = ranked.withColumn("rank", F.col("local") + F.col("ahead"))
+    placed = ranked.join(F.broadcast(spots), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     into = F.col("rank") - F.col("low")
     return placed.select(
         "doc_id", "start", "length", "doc_tokens", (F.col("sequence") + F.floor(into / F.col("times"))).alias("sequence_id"),
