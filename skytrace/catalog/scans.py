@@ -189,11 +189,14 @@ def _konrad_lines(w):
 SELECT CAST(strftime(ts, '%y') AS BIGINT) AS year, CAST(month(ts) AS BIGINT) AS month, CAST(day(ts) AS BIGINT) AS day, CAST(hour(ts) AS BIGINT) AS hour,
        CAST(minute(ts) AS BIGINT) AS minute, user_id AS id, event_id % 3 AS cell_status, CAST(floor(value) AS BIGINT) % 50 AS num_core_pixels,
        CAST(floor(value) AS BIGINT) % 12 AS num_pixels, CAST(floor(value) AS BIGINT) % 60 AS lifetime, event_id % 3 AS hail_warning,
+       round(hour(ts) * 10 + value / 100e0, 4) AS center_y, round((user_id % 32) * 10 + value / 100e0, 4) AS center_x, round((value * 7) % 360, 2) AS direction_deg,
+       round(value / 10e0, 3) AS pixel_per_hour, round(value, 2) AS x_min, round(value + 1, 2) AS y_max,
        round(value, 2) AS y_min, round(value + 1, 2) AS x_max, CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS ts FROM events""")
 def src_konrad_text(w):
     return files.konrad_records(_konrad_lines(w)).select(
         "year", "month", "day", "hour", "minute", "id", "cell_status", "num_core_pixels", "num_pixels", "lifetime", "hail_warning",
-        r("y_min", "y_min", 2), r("x_max", "x_max", 2), "ts",
+        r("center_y", "center_y", 4), r("center_x", "center_x", 4), r("direction_deg", "direction_deg", 2), r("pixel_per_hour", "pixel_per_hour", 3),
+        r("x_min", "x_min", 2), r("y_max", "y_max", 2), r("y_min", "y_min", 2), r("x_max", "x_max", 2), "ts",
     )
 
 

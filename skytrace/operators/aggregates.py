@@ -126,14 +126,6 @@ def spearman(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(ra, rb), F.sqrt(dot(ra, ra)) * F.sqrt(dot(rb, rb))), F.lit(-1.0))
 
 
-def kendall_significance(tau: Column, n: int) -> tuple[Column, Column]:
-    """z-score of tau under independence and its two-sided probability."""
-    from skytrace.functions.special import erfc
-
-    z = tau / F.sqrt(F.lit((4.0 * n + 10.0) / (9.0 * n * (n - 1.0))))
-    return z, erfc(F.abs(z) / F.lit(2.0 ** 0.5))
-
-
 def weight_statistics(members: DataFrame) -> DataFrame:
     """Dynamic range, sum and mean of the weight response per cluster."""
     return members.groupBy("scan", "cluster").agg(

@@ -178,11 +178,3 @@ def box_values(cells: DataFrame, grid: Grid, variable: str, reach: dict[str, int
     return pairs.groupBy(*keys(grid.dims), *grid.dims).agg(F.array_sort(F.collect_list("n_" + variable)).alias("box")).drop(
         *[block_column(d) for d in grid.dims]
     )
-
-
-def lowest_share_by_rank(pairs: DataFrame, cell: list[str], value: str, fraction: float) -> DataFrame:
-    """Same mean as the array form, from ranked rows (for callers that keep neighbours as rows)."""
-    w = Window.partitionBy(*cell)
-    ranked = pairs.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    kept = ranked.where(F.col("_r") <= F.round(F.col("_n") * F.lit(float(fraction))))
-    return kept.groupBy(*cell).agg(F.avg(value).alias(value))

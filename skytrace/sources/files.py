@@ -73,7 +73,7 @@ KONRAD_REAL = {"center_y", "center_x", "direction_deg", "pixel_per_hour", "y_min
 
 
 def konrad_records(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Whitespace-separated records with their epoch time; lines that do not hold all fields are left out."""
+    """Whitespace-separated records with their epoch time; :func:`konrad_rejects` has the lines that do not hold all fields."""
     # the one-element explode keeps the optimizer from repeating the split for every field and filter above it
     parts = F.explode(F.array(F.split(F.trim(F.col(column)), r"\s+")))
     rows = lines.select(parts.alias("_p")).where(F.size("_p") >= len(KONRAD_FIELDS))
@@ -83,6 +83,12 @@ def konrad_records(lines: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(*typed).withColumn("ts", konrad_time())
 
 
+def konrad_rejects(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Lines with fewer fields than a record, and how many they have."""
+    fields = F.size(F.filter(F.split(F.trim(F.col(column)), r"\s+"), lambda f: f != ""))
+    return lines.withColumn("fields", F.coalesce(fields, F.lit(0))).where(F.col("fields") < len(KONRAD_FIELDS))
+
+
 def konrad_time() -> Column:
     """Two-digit years above 50 belong to the last century; an impossible date is NULL."""
     year = F.when(F.col("year") > 50, F.col("year") + 1900).otherwise(F.col("year") + 2000)
@@ -97,6 +103,7 @@ def read_konrad(spark: SparkSession, path: str) -> DataFrame:
 # One-byte radar composites. Value = 0.5 * byte - 32.5 dBZ; 250 marks missing, 249 clutter.
 RVP6_SCALE, RVP6_OFFSET = 0.5, -32.5
 RX_MISSING, RX_CLUTTER, RX_MIN_DBZ = 250, 249, -32.5
+ONE_BYTE_PRODUCTS = ("RX",)
 
 
 def radar_threshold(value: Column, threshold: float, minimum: float = RX_MIN_DBZ) -> Column:
@@ -112,27 +119,55 @@ def rvp6_value(byte: Column) -> Column:
     return byte * F.lit(RVP6_SCALE) + F.lit(RVP6_OFFSET)
 
 
+def _composite(content: bytes) -> tuple[str, int, np.ndarray] | str:
+    """(header, columns, pixels) of a one-byte composite, or why it isn't one."""
+    head, end, body = content.partition(b"\x03")
+    text = head.decode("latin-1")
+    size = re.search(r"GP\s*(\d+)\s*x\s*(\d+)", text)
+    if not end or size is None:
+        return "no header with a grid size"
+    if text[:2] not in ONE_BYTE_PRODUCTS:
+        return f"product {text[:2]} is not a one-byte composite"
+    rows, cols = (int(v) for v in size.groups())
+    if len(body) < rows * cols:
+        return f"{len(body)} of {rows * cols} pixels"
+    return text, cols, np.frombuffer(body, dtype=np.uint8, count=rows * cols)
+
+
 def _decode_composites(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Header up to ETX, then one byte per pixel, rows from south to north. One file is one bounded grid."""
     for batch in batches:
         for name, content in zip(batch["name"], batch["content"]):
-            head, _, body = content.partition(b"\x03")
-            text = head.decode("latin-1")
-            rows, cols = (int(v) for v in re.search(r"GP\s*(\d+)\s*x\s*(\d+)", text).groups())
-            raw = np.frombuffer(body, dtype=np.uint8, count=rows * cols)
-            y, x = np.divmod(np.arange(rows * cols, dtype=np.int32), cols)
+            found = _composite(content)
+            if isinstance(found, str):
+                continue  # radar_rejects() lists it
+            text, cols, raw = found
+            y, x = np.divmod(np.arange(len(raw), dtype=np.int32), cols)
             yield pd.DataFrame({
                 "name": name, "product": text[:2], "day_time": text[2:8], "month_year": text[13:17],
                 "y": y, "x": x, "raw": raw.astype(np.int32),
             })
 
 
+def _composite_files(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+
+def radar_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(name, reason) of the files that :func:`read_radar_composites` leaves out: other products, bad headers, missing pixels."""
+    def reasons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(n, r) for n, c in zip(batch["name"], batch["content"]) if isinstance(r := _composite(c), str)]
+            yield pd.DataFrame(found, columns=["name", "reason"])
+
+    return _composite_files(spark, path).mapInPandas(reasons, "name string, reason string")
+
+
 def read_radar_composites(spark: SparkSession, path: str, threshold: float | None = None) -> DataFrame:
     """One-byte radar composites as cells: (scan, ts, y, x, rx_raw); missing and clutter pixels keep the fill value."""
-    files = spark.read.format("binaryFile").load(path)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     schema = "name string, product string, day_time string, month_year string, y int, x int, raw int"
-    decoded = named.mapInPandas(_decode_composites, schema)
+    decoded = _composite_files(spark, path).mapInPandas(_decode_composites, schema)
     stamp = F.concat(F.substring("month_year", 3, 2), F.substring("month_year", 1, 2), "day_time")
     ts = F.unix_timestamp(F.to_timestamp(F.concat(stamp, F.lit("+0000")), "yyMMddHHmmZ"))
     raw = F.when(F.col("raw").isin(RX_MISSING, RX_CLUTTER), F.lit(RX_MISSING)).otherwise(F.col("raw"))
@@ -141,34 +176,6 @@ def read_radar_composites(spark: SparkSession, path: str, threshold: float | Non
     return decoded.select(ts.alias("scan"), ts.alias("ts"), "y", "x", raw.alias("rx_raw"))
 
 
-def read_netcdf(
-    spark: SparkSession, paths: list[str], dims: tuple[str, ...], variables: tuple[str, ...], time_index: int = -1
-) -> DataFrame:
-    """Gridded files on a shared file system as cells, one task per file. Needs the optional ``netCDF4`` package."""
-    schema = "file string, ts bigint, " + ", ".join(f"{d} int" for d in dims) + "".join(f", {v}_raw double" for v in variables)
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        try:
-            import netCDF4
-        except ImportError as e:
-            raise RuntimeError("reading gridded files needs the netCDF4 package on the executors") from e
-        for batch in batches:
-            for path in batch["path"]:
-                with netCDF4.Dataset(path) as ds:
-                    ds.set_auto_maskandscale(False)
-                    times = ds["time"][:] if "time" in ds.variables else [0]
-                    out = {"file": path.rsplit("/", 1)[-1], "ts": int(times[max(time_index, 0)])}
-                    for v in variables:
-                        data = np.asarray(ds[v][time_index] if time_index >= 0 else ds[v][:], dtype=float)
-                        out[v + "_raw"] = data.ravel()
-                    for d, i in zip(dims, np.indices(data.shape, dtype=np.int32)):
-                        out[d] = i.ravel()
-                    yield pd.DataFrame(out)[["file", "ts", *dims, *[v + "_raw" for v in variables]]]
-
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
-    return files.mapInPandas(read, schema)
-
-
 def read_clusters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stored (clusters, members, events) tables."""
     return tuple(spark.read.parquet(f"{path}/{t}") for t in ("clusters", "members", "events"))

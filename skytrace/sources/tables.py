@@ -59,14 +59,3 @@ def cells_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     axes = {**_axes(None), "z": (F.col("l_linenumber") - 1).cast("int")}
     grouped = table(spark, sf_dir, "lineitem").groupBy(*[c.alias(n) for n, c in axes.items()]).agg(*_values())
     return grouped.select("scan", scan_time(F.col("scan")).alias("ts"), "z", "y", "x", "v_raw", "u_raw")
-
-
-def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scans by day of the event stream: hour by user group, mean value in cents and number of events."""
-    events = table(spark, sf_dir, "events")
-    cents = F.sum(F.round(F.col("value") * 100).cast("bigint"))
-    return events.groupBy(
-        F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("bigint").alias("scan"),
-        F.hour("ts").cast("int").alias("y"),
-        (F.col("user_id") % 32).cast("int").alias("x"),
-    ).agg(cents.alias("cents"), F.count("*").alias("hits"))

@@ -80,6 +80,14 @@ def test_files(spark, tmp_path):
     assert cells == {(0, 0): 0, (0, 1): 0, (0, 2): 130, (1, 0): 250, (1, 1): 250, (1, 2): 145}
     ts = files.read_radar_composites(spark, str(tmp_path)).first()["ts"]
     assert ts == 1372664400
+    (tmp_path / "raa01-ry_10000-1307010740-dwd---bin").write_bytes(head.replace(b"RX", b"RY") + bytes(12))
+    (tmp_path / "raa01-short").write_bytes(head + bytes(3))
+    (tmp_path / "raa01-none").write_bytes(b"text without a header")
+    assert files.read_radar_composites(spark, str(tmp_path)).count() == 6
+    assert {r["name"][6:11]: r["reason"] for r in files.radar_rejects(spark, str(tmp_path)).collect()} == {
+        "ry_10": "product RY is not a one-byte composite", "short": "3 of 6 pixels", "none": "no header with a grid size"}
+    for extra in ("raa01-ry_10000-1307010740-dwd---bin", "raa01-short", "raa01-none"):
+        (tmp_path / extra).unlink()
     assert [r["name"] for r in files.list_directory(spark, str(tmp_path), "raa01*").collect()] == ["raa01-rx_10000-1307010740-dwd---bin"]
 
 
@@ -109,3 +117,13 @@ def test_unreadable_results_are_not_overwritten(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)parquet|footer"):
         cli._next_batch(spark, str(tmp_path / "out"))
     assert cli._next_batch(spark, str(tmp_path / "none")) == 0
+
+
+def test_foreign_records_and_rejects(spark, tmp_path):
+    from skytrace.sources import files
+
+    good = "13 07 01 07 40 5 1 1.5 2.5 3 4 5.5 6 0 1.0 1 1 2 2"
+    (tmp_path / "records.txt").write_text(good + "\n" + good.replace("13 07 01", "13 02 30") + "\n1 2 3\n\n")
+    rows = files.read_konrad(spark, str(tmp_path)).collect()
+    assert sorted((r["month"], r["ts"]) for r in rows) == [(2, None), (7, 1372664400)]
+    assert sorted(r["fields"] for r in files.konrad_rejects(spark.read.text(str(tmp_path))).collect()) == [0, 3]
