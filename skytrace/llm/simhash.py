@@ -182,7 +182,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (of repeated rows of it, one)."""
-    groups = store(near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct())
-    kept = docs.join(groups, docs["doc_id"].eqNullSafe(groups["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """``docs`` with one row of each component: that of the smallest doc_id (of repeated rows of it, one).
+
+    Texts move only where ids are too many to broadcast; repeated ids, if there are any, are settled apart from the other rows.
+    """
+    heads = near_duplicates(docs).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("head")).agg(F.count("*").alias("n"))
+    heads = store(heads)
+    repeated = heads.where("n > 1").select("head")
+    if repeated.isEmpty():
+        return lookup(docs, heads.select("head"), docs["doc_id"].eqNullSafe(heads["head"]), "left_semi")
+    single = heads.where("n = 1").select("head")
+    once = lookup(docs, single, docs["doc_id"].eqNullSafe(single["head"]), "left_semi")
+    return once.unionByName(lookup(docs, repeated, docs["doc_id"].eqNullSafe(repeated["head"]), "left_semi").dropDuplicates(["doc_id"]))
