@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skytrace.llm.common import bound_batches
+
 CONTROL = ("<|turn|>", "<|end|>", "<|bos|>", "<s>", "</s>", "[INST]", "[/INST]")
 TURNS = (
     "{% for m in messages %}{% if loop.first %}{{ '<|bos|>' }}{% endif %}{{ '<|turn|>' + (m.role | line) + '\n' }}"
@@ -374,7 +376,7 @@ def format_conversations(rows: DataFrame, template: str = TURNS) -> DataFrame:
     markers. Repeated rows are repeated messages. Other columns are not read. A conversation of any length is streamed, one message in memory.
     """
     kind = rows.schema["conv_id"].dataType.simpleString()
-    chosen = rows.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    chosen = bound_batches(rows).select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = chosen.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

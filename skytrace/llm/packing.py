@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skytrace.llm.common import lookup, text_or_empty, vocabulary_folder
+from skytrace.llm.common import bound_batches, lookup, text_or_empty, vocabulary_folder
 from skytrace.session import store
 
 CAPACITY = 2048
@@ -215,7 +215,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
                 yield flush()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(cut, PIECE.format(id=kind))
+    return bound_batches(docs).select("doc_id", text_or_empty().alias("text")).mapInArrow(cut, PIECE.format(id=kind))
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, carry: Column | None = None) -> DataFrame:

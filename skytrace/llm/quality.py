@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skytrace.llm.common import bound_batches
+
 WIDTH = 5
 SEGMENT = 64
 CHUNK_SEGMENTS, STEP_SEGMENTS = 8, 7
@@ -168,7 +170,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, p: TrainParams) -> list[
     fine = usable_labels(labels)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = fine.where("quality = 0").orderBy(*order).limit(p.per_class).union(fine.where("quality = 1").orderBy(*order).limit(p.per_class))
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = bound_batches(docs).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: TrainParams = TrainParams()) -> M
 
 def score_column(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """Score of every whole text (null: as an empty one)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bound_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([score_text(shared.value, t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts.cast(pa.large_binary())], pa.float64())

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skytrace.llm.common import components, lookup
+from skytrace.llm.common import bound_batches, components, lookup
 from skytrace.session import store
 
 SEED = 42
@@ -152,7 +152,7 @@ def _links(groups: pa.Array) -> pa.Array:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the fingerprint of every row's whole text as a signed long."""
     udf = F.arrow_udf(_fingerprints, "long")
-    return docs.select("doc_id", udf(F.col("text").cast("string")).alias("fp"))
+    return bound_batches(docs).select("doc_id", udf(F.col("text").cast("string")).alias("fp"))
 
 
 def linked_prints(prints: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skytrace.llm.common import bound_batches
 from skytrace.session import store
 
 SLACK = 1e-9  # relative slack of the real-valued bounds; products are exact
@@ -198,7 +199,7 @@ def top_k(vectors: DataFrame, is_query: str, p: RetrievalParams = RetrievalParam
     of their own, but one query; a query leaves out all rows of its id. Scores beyond 64 bits are clipped.
     Work: every block of queries meets every bucket that its thresholds don't rule out, as an exact search over all rows must.
     """
-    rows = store(quantised(vectors, p))
+    rows = store(quantised(bound_batches(vectors), p))
     buckets = blocks(rows, p.bucket_rows)
     queries = blocks(rows.where(is_query).dropDuplicates(["vec_id"]), p.query_rows)
     c = _named(buckets, "c")
