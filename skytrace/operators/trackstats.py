@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skytrace.functions.vectors import vec
 from skytrace.params import Grid
-from skytrace.session import attach, cut
+from skytrace.session import attach, cut, store
 
 CONTINUE, SPLIT, MERGE = 0, 1, 2
 
@@ -182,25 +182,29 @@ def linked_nodes(link_table: DataFrame, roots: DataFrame, max_level: int = 1) ->
     """Nodes reachable from ``roots(root, uuid)``: Continue links are free, Split and Merge links cost one level, and nodes
     above ``max_level`` are kept but not expanded. Returns (root, uuid, level) with the smallest level.
 
-    Only nodes whose level improved take part in a round, so Continue chains cost one round per step
-    and each round touches the frontier alone.
+    Continue links are one to one, so they form chains. These are contracted first (by pointer doubling); the walk then takes one round per level over
+    chains, whatever their length, and chains are expanded once. Nodes one level further are added singly.
     """
-    cost = F.when(F.col("type") == CONTINUE, 0).otherwise(1).alias("cost")
-    steps = cut(
-        link_table.select(F.col("source").alias("uuid"), F.col("target").alias("other"), cost)
-        .unionByName(link_table.select(F.col("target").alias("uuid"), F.col("source").alias("other"), cost))
-    )
-    best = cut(roots.select("root", "uuid", F.lit(0).alias("level")).distinct())
-    frontier = best
-    while not frontier.isEmpty():
-        reached = (
-            frontier.where(F.col("level") <= max_level).join(steps, "uuid")
-            .groupBy("root", F.col("other").alias("uuid")).agg(F.min(F.col("level") + F.col("cost")).alias("level"))
-        )
-        known = best.select("root", "uuid", F.col("level").alias("_old"))
-        frontier = cut(reached.join(known, ["root", "uuid"], "left").where("_old IS NULL OR level < _old").drop("_old"))
-        best = cut(best.unionByName(frontier).groupBy("root", "uuid").agg(F.min("level").alias("level")))
-    return best
+    from skytrace.operators.tracking import resolve_ids
+
+    free = link_table.where(F.col("type") == CONTINUE).select(F.col("target").alias("n"), F.col("source").alias("m"))
+    ends = link_table.select(F.col("source").alias("cluster")).union(link_table.select("target")).union(roots.select("uuid"))
+    nodes = store(ends.distinct())
+    chains = store(resolve_ids(nodes, free, nodes.withColumn("new_id", F.col("cluster"))).select(F.col("cluster").alias("uuid"), F.col("id").alias("chain")))
+    paid = link_table.where(F.col("type") != CONTINUE)
+    paid = paid.select(F.col("source").alias("uuid"), F.col("target").alias("other")).union(paid.select("target", "source")).distinct()
+    far = chains.select(F.col("uuid").alias("other"), F.col("chain").alias("to"))
+    paid = store(paid.join(chains, "uuid").join(far, "other").select("chain", "other", "to").distinct())
+    best = frontier = store(roots.join(chains, "uuid").select("root", "chain", F.lit(0).alias("level")).distinct())
+    for level in range(1, max_level + 1):
+        reached = frontier.join(paid, "chain").select("root", F.col("to").alias("chain")).distinct()
+        frontier = store(reached.join(best, ["root", "chain"], "left_anti").withColumn("level", F.lit(level)))
+        best = best.unionByName(frontier)
+        if frontier.isEmpty():
+            break
+    inside = store(best.join(chains, "chain").select("root", "uuid", "level"))
+    rim = frontier.join(paid, "chain").select("root", F.col("other").alias("uuid")).distinct()
+    return inside.unionByName(rim.join(inside, ["root", "uuid"], "left_anti").withColumn("level", F.lit(max_level + 1)))
 
 
 def previous_in_time(df: DataFrame, key: str, order: str, columns: list[str], width: int = 86_400) -> DataFrame:

@@ -553,6 +553,22 @@ def test_linked_nodes_levels(spark):
     assert level(9) == {1: 0, 2: 0, 3: 1, 4: 1, 5: 2, 6: 2}
 
 
+def test_linked_nodes_rounds_do_not_follow_the_track(spark, monkeypatch):
+    """A chain of 2,000 steps with a merge at its end: the number of stored tables stays a few dozen."""
+    from skytrace import session
+    from skytrace.operators import tracking
+
+    stored = []
+    count = lambda df: stored.append(1) or session.store(df)
+    monkeypatch.setattr(trackstats, "store", count)
+    monkeypatch.setattr(tracking, "store", count)
+    rows = [(i, i + 1, 0) for i in range(2000)] + [(2000, 5000, 1), (5000, 5001, 0)]
+    links = spark.createDataFrame(rows, "source bigint, target bigint, type int")
+    got = {r["uuid"]: r["level"] for r in trackstats.linked_nodes(links, spark.createDataFrame([(1, 7)], "root bigint, uuid bigint"), 1).collect()}
+    assert got == {**{i: 0 for i in range(2001)}, 5000: 1, 5001: 1}
+    assert len(stored) < 20
+
+
 def test_previous_in_time(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(3), t) for t in rng.sample(range(10 ** 6), 300)]
