@@ -12,12 +12,13 @@ set, never its pairs.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skytrace.llm.common import bound_batches, components, lookup
@@ -31,8 +32,8 @@ BLOCK = 1 << 22
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def _word_blocks(text: bytes):
-    """Words of a text in lists of bounded size; a list starts with the last two words of the one before."""
+def _word_blocks(text: bytes, size: int = WORDS):
+    """Words of a text in lists of bounded size; a list starts with the last ``size`` - 1 words of the one before."""
     start, tail = 0, []
     while start < len(text):
         end = start + BLOCK
@@ -41,7 +42,7 @@ def _word_blocks(text: bytes):
             end = gap.start() if gap else len(text)
         words = tail + text[start:end].split()
         yield words
-        tail, start = words[-(WORDS - 1):], end
+        tail, start = words[-(size - 1):], end
 
 
 def fingerprint(text: bytes) -> int:
@@ -149,10 +150,10 @@ def _links(groups: pa.Array) -> pa.Array:
     return pa.array([[{"a": x, "b": y} for x, y in pairs] for pairs in out], kind)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row's whole text as a signed long."""
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, fp): the fingerprint of every row's whole text as a signed long; ``more`` columns follow."""
     udf = F.arrow_udf(_fingerprints, "long")
-    return bound_batches(docs).select("doc_id", udf(F.col("text").cast("string")).alias("fp"))
+    return bound_batches(docs).select("doc_id", udf(F.col("text").cast("string")).alias("fp"), *more)
 
 
 def linked_prints(prints: DataFrame) -> DataFrame:
@@ -163,16 +164,18 @@ def linked_prints(prints: DataFrame) -> DataFrame:
     return groups.where(F.size("fps") > 1).select(F.explode(found("fps")).alias("l")).select("l.a", "l.b").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, links: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs(doc_id, text, ...)``.
 
     Rows with equal fingerprints, or fingerprints at most two bits apart, are linked; component_id is the smallest doc_id
     reachable. Null, empty and blank texts have fingerprint zero and are linked like any other. Repeated rows give repeated rows. A null
     doc_id takes part, but never is a component's id unless all its members are null. Other columns are not read.
+    ``links`` gives further links (a, b) between fingerprints.
     """
     found = store(fingerprints(docs))
     first = store(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    root = components(linked_prints(first.select("fp"))).withColumnRenamed("node", "fp")
+    linked = linked_prints(first.select("fp"))
+    root = components(linked.unionByName(links(docs)) if links else linked).withColumnRenamed("node", "fp")
     rooted = store(lookup(first, root, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     smallest = store(rooted.where("root <> fp").select("root").distinct())
     shared = lookup(rooted, smallest, "root", "left_semi")
@@ -181,12 +184,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return lookup(found, named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, links: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (of repeated rows of it, one).
 
     Texts move only where ids are too many to broadcast; repeated ids, if there are any, are settled apart from the other rows.
     """
-    heads = near_duplicates(docs).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("head")).agg(F.count("*").alias("n"))
+    heads = near_duplicates(docs, links).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("head")).agg(F.count("*").alias("n"))
     heads = store(heads)
     repeated = heads.where("n > 1").select("head")
     if repeated.isEmpty():
