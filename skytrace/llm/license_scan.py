@@ -2,8 +2,8 @@
 
 Training (a few thousand short paragraphs, on the driver): template statements of each family, whole, shortened, with words missing or inside
 other text, against a bounded sample of the corpus' own paragraphs and against paragraphs with stray template words. A multinomial logistic
-regression with an unknown class learns from presence of word 1- to 3-grams of the templates; n-grams that occur in the background sample are
-no features. A temperature fitted on held-back paragraphs calibrates the probabilities. Scoring: paragraphs (lines) that hold an anchor word
+regression with an unknown class learns from presence of word 1- to 3-grams of the templates. Anchor words and features come from the templates
+alone; the sample only sets weights. A temperature fitted on held-back paragraphs calibrates the probabilities. Scoring: paragraphs (lines) that hold an anchor word
 are cut into n-grams, joined with the weight table (bounded by the templates) and summed. A prediction counts if its probability is high
 enough and a template statement of that family is covered by the paragraph's n-grams.
 """
@@ -77,6 +77,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 FAMILIES = tuple(TEMPLATES)
 GRAMS = 3
+# Words of the statements that any text has: anchors only where a statement has no others.
+PLAIN = frozenset("a all and any are as at author be by can except extent file following for form free in is it may met no not of on or part person possible prior provided public source subject term terms that the this to under use version with without work you".split())
 
 
 @dataclass(frozen=True)
@@ -84,6 +86,7 @@ class ScanParams:
     background_docs: int = 300  # documents of the background sample, chosen by a hash of the id
     background_paragraphs: int = 1500  # of their paragraphs, at most
     background_words: int = 120  # words kept of each of those, for training only
+    background_coverage: float = 0.4  # a sampled paragraph with so much of a statement may be a notice and isn't trained on as background
     variants: int = 40  # training paragraphs per statement
     probability: float = 0.5
     coverage: float = 0.7  # share of a statement's n-grams that the paragraph must hold
@@ -110,18 +113,24 @@ def covered(found: set[str], family: str) -> float:
     return max(len(found & g) / len(g) for g in (grams(words(t)) for t in TEMPLATES[family]))
 
 
+def anchor_words(statement: str, coverage: float) -> set[str]:
+    """Words of a statement of which every text holds one that covers so much of it; longer and less plain words first."""
+    tokens, chosen = words(statement), set()
+    shape = grams(tokens)
+    for word in sorted(set(tokens), key=lambda w: (w in PLAIN or w.isdigit(), w != "cc", -len(w), w)):
+        if sum(not chosen & set(g.split()) for g in shape) < coverage * len(shape):
+            break
+        chosen.add(word)
+    return chosen
+
+
 def train(background: list[str], p: ScanParams = ScanParams()) -> LicenseModel:
     rng = np.random.default_rng(p.seed)
     plain = [w for w in (words(t)[:p.background_words] for t in background) if w]
-    plain = [w for w in plain if max(covered(grams(w), f) for f in FAMILIES) < p.coverage] or [["text"]]
-    common: dict[str, int] = {}
-    for w in plain:
-        for g in grams(w):
-            common[g] = common.get(g, 0) + 1
+    plain = [w for w in plain if max(covered(grams(w), f) for f in FAMILIES) < p.background_coverage] or [["text"]]
     own = {g for f in FAMILIES for t in TEMPLATES[f] for g in grams(words(t))}
-    anchors = tuple(sorted(g for g in own if " " not in g and not common.get(g) and len(g) > 1 and not g.isdigit() and len(g) > 2 or g == "cc"))
-    held = set(anchors)
-    features = tuple(sorted(g for g in own if not common.get(g) and held & set(g.split())))
+    held = {w for f in FAMILIES for t in TEMPLATES[f] for w in anchor_words(t, p.coverage)}
+    anchors, features = tuple(sorted(held)), tuple(sorted(g for g in own if held & set(g.split())))
     rows: list[tuple[list[str], int]] = []
     for k, f in enumerate(FAMILIES):
         for statement in TEMPLATES[f]:

@@ -109,3 +109,23 @@ def test_license_edges(spark):
     assert out[1] == out[2] == [(0, "", "", True)]
     assert out[3] == [(2, "mit", "0:mit,1:mit", False)] * 2 and out[None] == out[4] == [(1, "mit", "0:mit", False)]
     assert license_scan.scan_licenses(d.limit(0)).count() == 0
+
+
+def test_licenses_with_template_words_in_the_background(spark, prose):
+    """A sample that holds every template word in ordinary sentences, and parts of notices, hides no statement."""
+    statements = [(f, s) for f in license_scan.FAMILIES for s in license_scan.TEMPLATES[f]]
+    every = sorted({w for _, s in statements for w in license_scan.words(s)})
+    ordinary = [f"yesterday someone said {w} while walking home along that river" for w in every]
+    parts = [" ".join(s.split()[:len(s.split()) // 2]) for _, s in statements]
+    model = license_scan.train(prose + ordinary + parts)
+    out = {r["doc_id"]: r["families"] for r in license_scan.scan_licenses(documents(spark, [(i, s) for i, (_, s) in enumerate(statements)] + [(100 + i, t) for i, t in enumerate(ordinary)]), model=model).collect()}
+    assert sum(out[i] == f for i, (f, _) in enumerate(statements)) >= 0.95 * len(statements)
+    assert not [i for i, f in out.items() if i >= 100 and f]
+
+
+def test_no_statement_is_covered_without_its_anchors():
+    p = license_scan.ScanParams()
+    for s in (s for f in license_scan.FAMILIES for s in license_scan.TEMPLATES[f]):
+        held = license_scan.anchor_words(s, p.coverage)
+        shape = license_scan.grams(license_scan.words(s))
+        assert sum(not held & set(g.split()) for g in shape) < p.coverage * len(shape)
