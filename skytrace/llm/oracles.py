@@ -116,6 +116,45 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+# Rules of the URL filter as regular expressions over host and rest of a URL: (order, verdict, name, expression).
+_SITES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+_URL_RULES = [(0, v, n, "^([^/?#]*[.])?" + n.replace(".", "[.]")) for v, n in _SITES] + [
+    (1, "block", "||spam-farm.", "^([^/?#]*[.])?spam-farm[.]"), (1, "block", "/wp-admin/", "/wp-admin/"), (1, "block", "/login^", "/login([^A-Za-z0-9_.%-]|$)"),
+    (1, "block", "/cart^", "/cart([^A-Za-z0-9_.%-]|$)"), (1, "block", "/checkout^", "/checkout([^A-Za-z0-9_.%-]|$)"), (1, "block", "?*sessionid=", "[?].*sessionid="),
+    (1, "block", "/tag/*/page/", "/tag/.*/page/"), (1, "block", "||ads.", "^([^/?#]*[.])?ads[.]"), (1, "block", "/casino-", "/casino-"),
+    (1, "block", "?*utm_source=*&utm_medium=", "[?].*utm_source=.*&utm_medium="), (1, "allow", "||docs.*/login^", "^([^/?#]*[.])?docs[.].*/login([^A-Za-z0-9_.%-]|$)"),
+]
+_URL_VALUES = ", ".join(f"({t}, '{v}', '{n}', {len(n)}, '{e}')" for t, v, n, e in _URL_RULES)
+
+OP11 = f"""
+WITH r(tier, verdict, name, size, expr) AS (VALUES {_URL_VALUES}), rest AS (
+  SELECT page_id, row_number() OVER () AS k, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), u AS (
+  SELECT page_id, k, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail FROM rest
+), f AS (
+  SELECT k, arg_min((tier, name, verdict), (tier, -size, verdict <> 'block', name)) AS w FROM u JOIN r ON regexp_matches(host || tail, expr, 's') GROUP BY k
+)
+SELECT page_id, host, path, CASE WHEN w[1] = 0 THEN w[2] END AS rule, coalesce(w[3], 'allow') AS verdict, w[2] AS pattern FROM u LEFT JOIN f USING (k)
+"""
+
+OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same
+), n AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, vec_id)::INTEGER AS rank
+  FROM p JOIN s USING (anchor_id) WHERE p.n <= 5 AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 _PATTERNS = {
     "assign": "(?i)(password|passwd|secret|token|api_?key)[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)",
     "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "random": "[A-Za-z0-9+/_-]{16,}",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.llm import chat, decontam, license_scan, line_dedup, oracles, packing, quality, secret_scan, simhash, topk, warc
+from skytrace.llm import chat, decontam, license_scan, line_dedup, oracles, packing, quality, secret_scan, simhash, topk, url_filter, warc
 from skytrace.llm.common import table
 
 
@@ -60,6 +60,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(planted)))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_filter.site_rules(spark).unionByName(url_filter.pattern_rules(spark))
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", F.when(F.col("tier") == 0, F.col("rule")).alias("rule"), "verdict", F.col("rule").alias("pattern"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_neardup": op2_simhash_neardup,
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_license_scan": op9_license_scan,
     "op10_chat_format": op10_chat_format,
+    "op11_url_filter": op11_url_filter,
 }
 
 SQL: dict[str, str] = {
@@ -80,4 +87,5 @@ SQL: dict[str, str] = {
     "op7_exact_topk": oracles.OP7,
     "op8_warc": oracles.OP8,
     "op10_chat_format": oracles.OP10,
+    "op11_url_filter": oracles.OP11,
 }

@@ -16,5 +16,5 @@ def test_twin(spark, sf_dir, con, name):
     assert compare(QUERIES[name](spark, sf_dir), con, SQL[name]) == []
 
 
-def test_ten_operators():
-    assert [int(q[2:].split("_")[0]) for q in QUERIES] == list(range(1, 11))
+def test_all_operators():
+    assert [int(q[2:].split("_")[0]) for q in QUERIES] == list(range(1, 12))
