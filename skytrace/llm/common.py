@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +69,8 @@ def components(edges: DataFrame) -> DataFrame:
     return store(result)
 
 
-def vocabulary_folder() -> str:
-    """Folder of the public tokenizers' files; ``TOKENIZER_DIR`` names another one."""
-    return os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

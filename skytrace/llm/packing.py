@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skytrace.llm.common import bound_batches, lookup, text_or_empty, vocabulary_folder
+from skytrace.llm.common import bound_batches, lookup, text_or_empty, vocabulary as vocabulary_file
 from skytrace.session import store
 
 CAPACITY = 2048
@@ -31,7 +31,7 @@ AROUND = "!\"#$%&()*+,-./:;=?@[]^_`{|}~"
 
 
 def default_vocabulary() -> str:
-    return f"{vocabulary_folder()}/word_bpe_49k.json"
+    return vocabulary_file("word_bpe_49k.json")
 
 
 class WordTokenizer:

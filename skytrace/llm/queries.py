@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.llm import chat, decontam, license_scan, line_dedup, oracles, packing, quality, secret_scan, simhash, topk, url_filter, warc
+from skytrace.llm import chat, decontam, license_scan, line_dedup, oracles, packing, quality, secret_scan, simhash, token_align, topk, url_filter, warc
 from skytrace.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", F.when(F.col("tier") == 0, F.col("rule")).alias("rule"), "verdict", F.col("rule").alias("pattern"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_neardup": op2_simhash_neardup,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_chat_format": op10_chat_format,
     "op11_url_filter": op11_url_filter,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 SQL: dict[str, str] = {
