@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.llm import chat, decontam, license_scan, line_dedup, oracles, packing, quality, secret_scan, simhash, token_align, topk, url_filter, warc
+from skytrace.llm import chat, decontam, hard_negatives, license_scan, line_dedup, oracles, packing, quality, secret_scan, simhash, token_align, topk, url_filter, warc
 from skytrace.llm.common import table
 
 
@@ -70,6 +70,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", shifted), "vec_id % 50 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_neardup": op2_simhash_neardup,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
     "op11_url_filter": op11_url_filter,
     "op12_token_alignment": op12_token_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
@@ -93,4 +99,5 @@ SQL: dict[str, str] = {
     "op8_warc": oracles.OP8,
     "op10_chat_format": oracles.OP10,
     "op11_url_filter": oracles.OP11,
+    "op13_hard_negatives": oracles.OP13,
 }

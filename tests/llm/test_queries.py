@@ -17,4 +17,4 @@ def test_twin(spark, sf_dir, con, name):
 
 
 def test_all_operators():
-    assert [int(q[2:].split("_")[0]) for q in QUERIES] == list(range(1, 13))
+    assert [int(q[2:].split("_")[0]) for q in QUERIES] == list(range(1, 14))
