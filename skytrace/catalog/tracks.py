@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from skytrace.catalog.base import CTES, detection_chain, query
+from skytrace.catalog.features import _B, _bt
 from skytrace.catalog.scans import r
 from skytrace.operators import aggregates, featurespace, tracking
 from skytrace.operators.filters import smoothing_taps
@@ -228,3 +230,56 @@ def w_ci_protoclusters(w):
     cells = channel_cells(w).withColumn("msevi_l15_ir_108_raw", F.col("msevi_l15_ir_108"))
     found = protoclusters(cells, tb.GRID, (40.0, 130.0), scale=4.0, min_size=10)
     return found.clusters.select("scan", "cluster", "size", r("center_y", "center_y"), r("center_x", "center_x"))
+
+
+# The whole chain: protoclusters are tracked by the statements above under other names, with their own time limit.
+_CI = {"members": "proto_members", "clusters": "ci_objects", **{n: "ci_" + n for n in ("pairs", "shared_cells", "all_pairs", "flagged", "maxima", "scored", "matching", "matches")}}
+for _name, _new in _CI.items():
+    if _new.startswith("ci_") and _name != "clusters":
+        CTES[_new] = re.sub(r"[A-Za-z_]\w*", lambda m: _CI.get(m[0], m[0]), CTES[_name]).replace("<= 915", "<= 930")
+CTES["proto_members"] = """
+SELECT g.scan, g.y, g.x, CAST(g.y AS DOUBLE) AS c_y, CAST(g.x AS DOUBLE) AS c_x, CAST(g.y * 27 + g.x AS BIGINT) AS pid, g.gid, c.cluster
+FROM proto_g g JOIN proto_comp c ON c.gid = g.gid JOIN proto_clusters k ON k.cluster = c.cluster WHERE g.original"""
+CTES["ci_objects"] = """
+SELECT k.scan, k.cluster, k.size, k.center_y, k.center_x,
+       avg(sqrt(((m.c_y - k.center_y)*1e3)*((m.c_y - k.center_y)*1e3) + ((m.c_x - k.center_x)*1e3)*((m.c_x - k.center_x)*1e3))) AS radius_m
+FROM proto_clusters k JOIN proto_members m ON m.cluster = k.cluster GROUP BY ALL"""
+_SCORED = {"t108": "msevi_l15_ir_108", "t62": "msevi_l15_wv_062", "t134": "msevi_l15_ir_134"}
+CTES["ci_moved"] = f"""
+SELECT scan, y, x, {', '.join(f'arg_max({c}, source) AS {c}' for c in _SCORED.values())} FROM (
+SELECT k.pair AS scan, CAST(round(m.c_y + (n.center_y - p.center_y)) AS INTEGER) AS y, CAST(round(m.c_x + (n.center_x - p.center_x)) AS INTEGER) AS x,
+       m.pid AS source, {', '.join('c.' + c for c in _SCORED.values())}
+FROM ci_matches k JOIN ci_objects n ON n.cluster = k.n JOIN ci_objects p ON p.cluster = k.m JOIN proto_members m ON m.cluster = k.m
+JOIN channel_cells c ON c.scan = m.scan AND c.y = m.y AND c.x = m.x) WHERE y BETWEEN 0 AND 24 AND x BETWEEN 0 AND 26 GROUP BY scan, y, x"""
+CTES["ci_overlap"] = """
+SELECT DISTINCT c.scan, c.pid FROM proto_members c JOIN ci_pairs l ON l.scan = c.scan AND l.linked JOIN proto_members p ON p.scan = l.prev_scan AND p.pid = c.pid"""
+for _tag, _source in (("ci_now", "channel_cells"), ("ci_then", "ci_moved")):
+    for _t, _c in _SCORED.items():
+        CTES[f"{_tag}_{_t}"] = f"""
+SELECT scan, y, x, {_bt('avg(v)', _c)} AS {_t} FROM (
+  SELECT a.scan, a.y, a.x, b.{_c} AS v, row_number() OVER (PARTITION BY a.scan, a.y, a.x ORDER BY b.{_c}) AS rn, count(*) OVER (PARTITION BY a.scan, a.y, a.x) AS n
+  FROM {_source} a JOIN {_source} b ON b.scan = a.scan AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 WHERE a.{_c} IS NOT NULL AND b.{_c} IS NOT NULL)
+WHERE rn <= round(n * 25e-2) GROUP BY scan, y, x"""
+    CTES[_tag] = f"SELECT c.scan, c.y, c.x, {', '.join(_SCORED)} FROM {_source} c " + " ".join(f"LEFT JOIN {_tag}_{_t} USING (scan, y, x)" for _t in _SCORED)
+
+
+@query("w_oase_ci_chain", f"""
+SELECT p.scan, p.pid, CASE WHEN l.linked AND o.pid IS NULL THEN 0e0 WHEN s.radar THEN CASE WHEN l.linked THEN 8e0 ELSE 6e0 END
+  WHEN s.lightning THEN q.score + 1e0 ELSE CAST(q.score AS DOUBLE) END AS w
+FROM points p JOIN ci_pairs l ON l.scan = p.scan JOIN (
+  SELECT n.scan, n.y, n.x, {_B('n.t108 <= 0')} + {_B('n.t62 - n.t108 <= 2')} + {_B('n.t134 - n.t108 >= -2')} + {_B('n.t108 - b.t108 <= -2')}
+    + {_B('(n.t62 - n.t108) - (b.t62 - b.t108) >= 1')} + {_B('(n.t134 - n.t108) - (b.t134 - b.t108) >= 1')} AS score
+  FROM ci_now n LEFT JOIN ci_then b ON b.scan = n.scan AND b.y = n.y AND b.x = n.x) q ON q.scan = p.scan AND q.y = p.y AND q.x = p.x
+LEFT JOIN ci_overlap o ON o.scan = p.scan AND o.pid = p.pid
+LEFT JOIN (SELECT a.scan, a.pid, bool_or(c.rx BETWEEN 25 AND 65) AS radar, bool_or(c.tl > 0) AS lightning FROM points a
+  JOIN points b ON b.scan = a.scan AND abs(a.y-b.y) <= 2 AND abs(a.x-b.x) <= 2 AND (a.y-b.y)*(a.y-b.y) + (a.x-b.x)*(a.x-b.x) <= 4
+  JOIN temperatures c ON c.scan = b.scan AND c.y = b.y AND c.x = b.x GROUP BY ALL) s ON s.scan = p.scan AND s.pid = p.pid""")
+def w_oase_ci_chain(w):
+    """Protoclusters, their tracks, the moved scan before, the overlap and the coldest quarter, all inside one weight."""
+    from skytrace.catalog.features import channel_cells
+    from skytrace.params import DetectionParams
+    from skytrace.plans import satellite
+
+    params = DetectionParams(variables=("v",), ci_compare_previous=True, ci_protocluster_scale=4.0, ci_protocluster_min_size=10)
+    found = satellite.compare_with_previous(channel_cells(w).drop("ts"), w.scans, tb.GRID, (2.0, 2.0), (40.0, 130.0), params)
+    return satellite.compared_weight(w.points, tb.GRID, found, (2.0, 2.0)).select("scan", "pid", "w")

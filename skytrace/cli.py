@@ -73,6 +73,9 @@ def add_detection_options(p: argparse.ArgumentParser) -> None:
     p.add_argument("--min-cluster-size", "-m", type=int, default=1)
     p.add_argument("--spatial-range-only", action="store_true")
     p.add_argument("--ci-comparison-file", help="cells of the comparison scans, numbered like the scans they are compared with")
+    p.add_argument("--ci-compare-previous", action="store_true", help="compare each scan with the one before, moved along its tracked protoclusters")
+    p.add_argument("--ci-protocluster-scale", type=float, default=DetectionParams.ci_protocluster_scale)
+    p.add_argument("--ci-protocluster-min-size", type=int, default=DetectionParams.ci_protocluster_min_size)
     p.add_argument("--ci-satellite-only", action="store_true")
     p.add_argument("--ci-use-walker-mecikalski", action="store_true", help="original limits of the score")
     p.add_argument("--inline-tracking", action="store_true", help="track right after detection")
@@ -102,6 +105,7 @@ def detection_params(a: argparse.Namespace, names: list[str]) -> DetectionParams
         replacement_filters=parse_replacement_filters(a.replacement_filter), convection_variable=a.convection_filter_variable,
         coalesce=a.coalesce_with_strongest_neighbour, postprocess_with_previous=a.postprocess_with_previous_output,
         spatial_range_only=a.spatial_range_only, ci_satellite_only=a.ci_satellite_only, ci_original_limits=a.ci_use_walker_mecikalski,
+        ci_compare_previous=a.ci_compare_previous, ci_protocluster_scale=a.ci_protocluster_scale, ci_protocluster_min_size=a.ci_protocluster_min_size,
     )
 
 

@@ -151,16 +151,26 @@ def convection(
     return flagged.withColumn(variable, F.when(F.col("_m"), z).otherwise(F.lit(0.0))).select(*points.columns)
 
 
+def coldest_shares(cells: DataFrame, grid: Grid, variables: list[str], reach: dict[str, int], fraction: float = 0.25) -> DataFrame:
+    """Replace stored variables by the mean of the lowest share of the values in an index box, all in one search.
+
+    Only valid values take part; where the share is less than half a value, nothing is left (NULL).
+    """
+    slim = cells.select("scan", *grid.dims, *variables)
+    boxes = [F.array_sort(F.collect_list("n_" + v)).alias("_" + v) for v in variables]
+    lists = near_pairs(slim, slim, reach).groupBy(*keys(grid.dims), *grid.dims).agg(*boxes)
+
+    def coldest(v: str) -> Column:
+        n = F.round(F.size("_" + v) * F.lit(float(fraction))).cast("int")
+        total = F.aggregate(F.slice("_" + v, 1, n), F.lit(0.0), lambda acc, x: acc + x)
+        return F.when(n > 0, total / F.greatest(n, F.lit(1))).alias(v)
+
+    return lists.select("scan", *grid.dims, *[coldest(v) for v in variables])
+
+
 def coldest_share(cells: DataFrame, grid: Grid, variable: str, reach: dict[str, int], fraction: float = 0.25) -> DataFrame:
-    """Replace a stored variable by the mean of the lowest share of the values in an index box."""
-    slim = cells.select("scan", *grid.dims, variable)
-    pairs = near_pairs(slim, slim, reach)
-    key = keys(grid.dims)
-    lists = pairs.groupBy(*key, *grid.dims).agg(F.array_sort(F.collect_list("n_" + variable)).alias("_vs"))
-    n = F.round(F.size("_vs") * F.lit(float(fraction))).cast("int")
-    total = F.aggregate(F.slice("_vs", 1, n), F.lit(0.0), lambda acc, x: acc + x)
-    cold = lists.select("scan", *grid.dims, F.when(n > 0, total / F.greatest(n, F.lit(1))).alias(variable))
-    return cold
+    """:func:`coldest_shares` of one variable."""
+    return coldest_shares(cells, grid, [variable], reach, fraction)
 
 
 def weight_between(weighted: DataFrame, lower: float, upper: float | None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import argparse
 import json
+import shlex
 import math
 from dataclasses import dataclass, field, replace
 
@@ -68,6 +70,7 @@ class DetectionParams:
     add_strongest_neighbour: bool = False
     ci_satellite_only: bool = False
     ci_original_limits: bool = False
+    ci_compare_previous: bool = False
     ci_protocluster_scale: float = 25.0
     ci_protocluster_min_size: int = 10
 
@@ -160,13 +163,83 @@ def path_set(tree: dict, path: str, value) -> dict:
     return tree
 
 
+class _Strict(argparse.ArgumentParser):
+    """Option strings of a configuration: a long option may be shortened, an unknown one is an error."""
+
+    def error(self, message: str):
+        raise ValueError(f"option string: {message}")
+
+
+def _flag(p: argparse.ArgumentParser, *names: str, field: str) -> None:
+    p.add_argument(*names, dest=field, action="store_true", default=None)
+
+
+def _detection_options() -> argparse.ArgumentParser:
+    p = _Strict(add_help=False)
+    p.add_argument("--variables", "-v", dest="variables", type=lambda t: tuple(t.split(",")))
+    p.add_argument("--dimensions", "-d", dest="dimensions", type=lambda t: tuple(t.split(",")))
+    for name, field in (("lower-thresholds", "lower"), ("upper-thresholds", "upper"), ("replacement-values", "replacement")):
+        p.add_argument("--" + name, dest=field, type=parse_assignments)
+    p.add_argument("--kernel-name", "-k", dest="kernel", choices=["uniform", "gauss", "epanechnikov", "none"])
+    p.add_argument("--weight-function-name", "-w", dest="weight")
+    p.add_argument("--wwf-lower-threshold", dest="weight_lower", type=float)
+    p.add_argument("--wwf-upper-threshold", dest="weight_upper", type=float)
+    p.add_argument("--scale", "-s", dest="scale", type=float)
+    p.add_argument("--ranges", "-r", dest="ranges", type=lambda t: tuple(float(v) for v in t.split(",")))
+    p.add_argument("--min-cluster-size", "-m", dest="min_cluster_size", type=int)
+    p.add_argument("--time-index", "-t", dest="time_index", type=int)
+    p.add_argument("--replacement-filter", dest="replacement_filters", type=parse_replacement_filters)
+    p.add_argument("--convection-filter-variable", dest="convection_variable")
+    p.add_argument("--ci-protocluster-scale", dest="ci_protocluster_scale", type=float)
+    p.add_argument("--ci-protocluster-min-size", dest="ci_protocluster_min_size", type=int)
+    _flag(p, "--ci-satellite-only", field="ci_satellite_only")
+    _flag(p, "--ci-use-walker-mecikalski", field="ci_original_limits")
+    _flag(p, "--coalesce-with-strongest-neighbour", field="coalesce")
+    _flag(p, "--postprocess-with-previous-output", field="postprocess_with_previous")
+    _flag(p, "--spatial-range-only", field="spatial_range_only")
+    return p
+
+
+def _tracking_options() -> argparse.ArgumentParser:
+    p = _Strict(add_help=False)
+    p.add_argument("--tracking-variable", "-t", dest="tracking_variable")
+    for name, field in (("wr", "range_weight"), ("ws", "size_weight"), ("wt", "correlation_weight"), ("merge-split-threshold", "merge_split_threshold"),
+                        ("merge-split-continuation-threshold", "continuation_threshold"), ("max-speed", "max_velocity"), ("max-time", "max_delta_t"),
+                        ("max-size-deviation", "max_size_deviation")):
+        p.add_argument("--" + name, dest=field, type=float)
+    _flag(p, "--use-displacement-vectors", field="use_displacement_vectors")
+    p.add_argument("--discontinue-id-in-merge-and-split", dest="continue_ids", action="store_false", default=None)
+    return p
+
+
+def _given(parser: argparse.ArgumentParser, text: str | None) -> dict:
+    """Fields that an option string sets. Options about messages and pictures are accepted and left out."""
+    parser.add_argument("--verbosity", dest="_verbosity")
+    parser.add_argument("--vtk-dimensions", dest="_pictures")
+    found = vars(parser.parse_args(shlex.split(text or "")))
+    return {k: v for k, v in found.items() if v is not None and not k.startswith("_")}
+
+
+def _option_string(config: dict, part: str, ending: str) -> str | None:
+    """The option string of a part of the configuration, or of the whole one: the value of a key with that ending."""
+    for tree in (path_get(config, part) or {}, config):
+        for key, value in tree.items():
+            if key.endswith(ending) and isinstance(value, str):
+                return value
+    return None
+
+
 def _limits(config: dict, key: str) -> dict[str, float]:
     variables = path_get(config, "data.variables", [])
     return {v["name"]: float(v[key]) for v in variables if v.get(key) is not None}
 
 
 def from_config(config: dict | str) -> tuple[tuple[str, ...], DetectionParams, TrackingParams, StatsParams]:
-    """Translate a JSON run configuration into (dimensions, detection, tracking, statistics)."""
+    """Translate a JSON run configuration into (dimensions, detection, tracking, statistics).
+
+    Free option strings (keys that end in ``-detect`` and ``-track``) go before the other keys; an option that is not
+    known raises a ValueError.
+    """
     if isinstance(config, str):
         with open(config, encoding="utf-8") as fh:
             config = json.load(fh)
@@ -180,6 +253,9 @@ def from_config(config: dict | str) -> tuple[tuple[str, ...], DetectionParams, T
         postprocess_with_previous=bool(path_get(config, "detection.usePrevious", False)),
         weight="oase-ci" if path_get(config, "detection.useCIScore", False) else "default",
     )
+    options = _given(_detection_options(), _option_string(config, "detection", "-detect"))
+    dims = options.pop("dimensions", dims)
+    detection = replace(detection, **options)
     defaults = TrackingParams()
     number = lambda key, fallback: fallback if path_get(config, key) is None else float(path_get(config, key))
     tracking = replace(
@@ -193,6 +269,7 @@ def from_config(config: dict | str) -> tuple[tuple[str, ...], DetectionParams, T
         max_size_deviation=number("tracking.maxSizeDeviation", defaults.max_size_deviation),
         use_displacement_vectors=bool(path_get(config, "tracking.useDisplacementVectors", False)),
     )
+    tracking = replace(tracking, **_given(_tracking_options(), _option_string(config, "tracking", "-track")))
     stats = StatsParams()
     for name in ("length", "size", "speed", "direction"):
         given = path_get(config, f"postprocessing.tracks.statistics.{name}_classes")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skytrace.functions.kernels import KERNELS, Kernel
-from skytrace.functions.weights import WeightFunction, initiation_weight, weigh
+from skytrace.functions.weights import IR_108, WeightFunction, initiation_weight, weigh
 from skytrace.operators import aggregates, clustering, featurespace, filters, meanshift
 from skytrace.operators.featurespace import Variable
 from skytrace.params import DetectionParams, Grid
@@ -43,8 +43,9 @@ def detect(
     """Run the whole plan. ``weight`` and ``kernel`` override the named ones; ``blocked`` lists off-limits cells (default:
     cells with an invalid variable).
 
-    The weight ``oase-ci`` needs the satellite channels, radar and lightning among the variables; ``comparison`` holds
-    the cells of the comparison scans under the scan number they are compared with.
+    The weight ``oase-ci`` needs the satellite channels, radar and lightning among the variables. With ``ci_compare_previous`` each
+    scan is compared with the one before, moved along its tracked protoclusters; else ``comparison`` may hold the cells of comparison scans under the
+    scan number they are compared with, which are taken as they are.
     """
     names = [v.name for v in variables]
     limits = {v.name: v.limits for v in variables}
@@ -96,7 +97,10 @@ def _initiation(
     cells: DataFrame, comparison: DataFrame | None, grid: Grid, variables: list[Variable], params: DetectionParams,
     spatial: tuple[float, ...],
 ) -> WeightFunction:
-    """Convective-initiation score from unpacked channels, NULL where invalid, with signals within the spatial bandwidth."""
+    """Convective-initiation score from unpacked channels, NULL where invalid, with signals within the spatial bandwidth.
+
+    The current channels are replaced by the coldest quarter around each cell."""
+    from skytrace.plans import satellite
 
     def channels(df: DataFrame) -> DataFrame:
         values = {
@@ -105,9 +109,14 @@ def _initiation(
         }
         return df.select("scan", *grid.dims, *[c.alias(n) for n, c in values.items()])
 
+    limits = {v.name: v.limits for v in variables}
+    if params.ci_compare_previous:
+        scans = store(cells.select("scan", "ts").distinct())
+        found = satellite.compare_with_previous(channels(cells), scans, grid, spatial, limits[IR_108], params)
+        return lambda points: satellite.compared_weight(points, grid, found, spatial, params.ci_satellite_only, params.ci_original_limits)
+    now = satellite.current(channels(cells), grid, spatial)
     before = None if comparison is None else channels(comparison)
-    return lambda points: initiation_weight(
-        points, grid, channels(cells), spatial, before, params.ci_satellite_only, params.ci_original_limits)
+    return lambda points: initiation_weight(points, grid, now, spatial, before, params.ci_satellite_only, params.ci_original_limits)
 
 
 def describe(members: DataFrame, grid: Grid, names: list[str], blocked: DataFrame, first_uuid: int = 0) -> DataFrame:

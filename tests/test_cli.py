@@ -28,6 +28,24 @@ def test_config_keeps_zero_thresholds():
     assert tracking.size_weight == 0.0 and tracking.range_weight == 1.0 and tracking.max_velocity == 50.0
 
 
+def test_free_option_strings_of_a_configuration():
+    config = json.loads(json.dumps(CONFIG))
+    config["detection"]["any-detect"] = "--verbosity 1 --weight-function inverse --wwf-lower-threshold 0.5 -k gauss -s 4 --ranges=2,2,10 -m 7 --lower-thresholds v=2 --replacement-filter v-lowest-25 --coalesce --vtk-dimensions x,y"
+    config["tracking"]["any-track"] = "--verbosity 3 -t u --wr=0.5 --ws 0.25 --max-time 600 --discontinue-id-in-merge-and-split"
+    dims, d, t, _ = params.from_config(config)
+    assert (d.weight, d.weight_lower, d.kernel, d.scale, d.ranges, d.min_cluster_size) == ("inverse", 0.5, "gauss", 4.0, (2.0, 2.0, 10.0), 7)
+    assert d.lower == {"v": 2.0} and d.upper == {"v": 28.0} and d.replacement_filters == (("v", "lowest", 0.25),) and d.coalesce and not d.spatial_range_only
+    assert (t.tracking_variable, t.range_weight, t.size_weight, t.max_delta_t, t.continue_ids) == ("u", 0.5, 0.25, 600.0, False)
+    assert dims == ("y", "x") and d.variables == ("v", "u")
+    # options at the top of the file, dimensions and variables among them
+    dims, d, t, _ = params.from_config({"x-detect": "--d z,y,x -v a,b --upper-thresholds a=75 --min-cluster-size=27", "x-track": "-t a --wt=0.0"})
+    assert (dims, d.variables, d.upper, d.min_cluster_size, t.tracking_variable) == (("z", "y", "x"), ("a", "b"), {"a": 75.0}, 27, "a")
+    for part, text in (("detection", "--kernel cubic"), ("detection", "--nonsense 1"), ("detection", "stray"), ("detection", "-m many"), ("tracking", "--wx 1")):
+        broken = {**CONFIG, part: {**CONFIG[part], "p-detect" if part == "detection" else "p-track": text}}
+        with pytest.raises(ValueError):
+            params.from_config(broken)
+
+
 def test_option_lists():
     assert params.parse_assignments("a=1, b=2.5") == {"a": 1.0, "b": 2.5}
     assert params.parse_replacement_filters("v-lowest-25,u-median") == (("v", "lowest", 0.25), ("u", "median", 1.0))

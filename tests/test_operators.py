@@ -2,6 +2,7 @@
 
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -352,8 +353,9 @@ def test_coalesce_is_brute_force(spark):
 
 
 def test_initiation_weight_by_name(spark, sf_dir):
-    """The named score equals the score function on the same channels."""
+    """The named score equals the score function on the same channels, the current ones by the coldest quarter."""
     from skytrace.functions.weights import initiation_weight
+    from skytrace.plans import satellite
     from skytrace.sources import tables as tb
 
     channels = {
@@ -365,9 +367,40 @@ def test_initiation_weight_by_name(spark, sf_dir):
     params = DetectionParams(tuple(channels), weight="oase-ci", ranges=(2.0, 2.0) + (200.0,) * 5, kernel="gauss", replace_zero_shifts=True, add_strongest_neighbour=True)
     found = detect(cells, tb.GRID, variables, params, comparison=cells.withColumn("scan", F.col("scan") + 1))
     plain = cells.select("scan", "y", "x", *[F.col(n + "_raw").alias(n) for n in channels])
-    want = initiation_weight(found.points, tb.GRID, plain, (2.0, 2.0), plain.withColumn("scan", F.col("scan") + 1))
+    now = satellite.current(plain, tb.GRID, (2.0, 2.0))
+    want = initiation_weight(found.points, tb.GRID, now, (2.0, 2.0), plain.withColumn("scan", F.col("scan") + 1))
     pick = lambda df: {(r["gid"], r["w"]) for r in df.select("gid", "w").collect()}
     assert pick(found.weighted) == pick(want) and found.clusters.count() > 0
+    # compared with the scan before along its protoclusters: a detection inside the weight
+    few, plain = cells.where("scan <= 3"), plain.where("scan <= 3")
+    chained = replace(params, ci_compare_previous=True, ci_protocluster_scale=4.0, ci_protocluster_min_size=5)
+    limits = [replace(v, valid_max=400.0) for v in variables]
+    found, scans = detect(few, tb.GRID, limits, chained), few.select("scan", "ts").distinct()
+    compared = satellite.compare_with_previous(plain, scans, tb.GRID, (2.0, 2.0), (0.0, 400.0), chained)
+    assert pick(found.weighted) == pick(satellite.compared_weight(found.points, tb.GRID, compared, (2.0, 2.0)))
+    assert found.weighted.where("scan > 1").agg(F.max("w")).first()[0] > 0
+
+
+def test_forecast_follows_a_moving_cloud(spark):
+    """A cloud that moves two cells a scan is compared with itself, not with what lay there before."""
+    from skytrace.functions.weights import IR_108
+    from skytrace.params import Grid
+    from skytrace.plans import satellite
+
+    grid = Grid(("y", "x"), (20, 30), (1.0, 1.0), (0.0, 0.0), ("km", "km"))
+    rows = []
+    for scan in (1, 2):
+        for y in range(20):
+            for x in range(30):
+                inside = 6 <= y < 12 and 4 + 4 * scan <= x < 12 + 4 * scan
+                rows.append((scan, scan * 900, y, x, (30.0 + scan if inside else 150.0), 2.0, 60.0))
+    cells = spark.createDataFrame(rows, "scan bigint, ts bigint, y int, x int, msevi_l15_ir_108 double, msevi_l15_wv_062 double, msevi_l15_ir_134 double")
+    params = DetectionParams((IR_108,), ci_protocluster_scale=0.5, ci_protocluster_min_size=4)
+    c = satellite.compare_with_previous(cells.drop("ts"), cells.select("scan", "ts").distinct(), grid, (1.0, 1.0), (0.0, 140.0), params)
+    before = {(r["y"], r["x"]): r[IR_108] for r in c.before.where("scan = 2").collect()}
+    assert before and set(before.values()) == {31.0}
+    assert {(y, x) for y, x in before} == {(y, x) for y in range(6, 12) for x in range(12, 20)}
+    assert {r["pid"] for r in c.overlap.collect()} == {y * 30 + x for y in range(6, 12) for x in range(12, 16)}
 
 
 # --- ordering and aggregates ----------------------------------------------------------------------------------
