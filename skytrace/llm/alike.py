@@ -2,8 +2,8 @@
 
 Min-hash bands (24 keys of four values each) bring candidates together: a pair at exactly 0.8 shares no key with probability
 (1 - 0.8^4)^24, three in a million, a closer pair less. The candidates' whole sets then decide, so no link is a guess. Equal sets are
-compared once, and groups with equal members too. Inside a group a set is compared only with those that nothing has reached yet: copies of
-one text take one pass, and no pairs are returned, only links that span each linked set.
+compared once, and groups with equal members too. A group's smallest set meets the others one by one; only a group that is not connected by then
+is looked at whole, where a set is compared only with those that nothing has reached yet. No pairs are returned, only links that span each linked set.
 """
 
 from __future__ import annotations
@@ -11,11 +11,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skytrace.llm.common import bound_batches, lookup, text_or_empty
-from skytrace.llm.simhash import SEED, _splitmix, _word_blocks, fingerprints
+from skytrace.llm.common import bound_batches, components, lookup, text_or_empty
+from skytrace.llm.simhash import SEED, _splitmix, _word_blocks, fingerprint, keep_heads, text_key
 from skytrace.session import store
 
 WORDS = 5
@@ -65,12 +65,12 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _named_keys(texts: pa.Array) -> pa.Array:
-    """Per text: the hash of its set, then the set's keys; nothing without words."""
+    """Per text: its fingerprint; where it has words, the hash of its set and the set's keys follow."""
     out = []
     for text in _bytes(texts):
         found = shingles(text)
-        name = np.array([xxhash.xxh64_intdigest(found.tobytes(), SEED)], np.uint64)
-        out.append(np.concatenate([name, band_keys(found)]) if len(found) else found)
+        name = [xxhash.xxh64_intdigest(found.tobytes(), SEED)] if len(found) else []
+        out.append(np.concatenate([np.array([fingerprint(text), *name], np.uint64), band_keys(found) if name else found]))
     return _lists(out)
 
 
@@ -116,36 +116,58 @@ def _links(groups: pa.Array) -> pa.Array:
 
 
 def named_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, tk, fp, sid, keys): text hash, fingerprint, set hash and band keys of every row that has words."""
+    """(doc_id, tk, fp, sid, keys) of every row: text hash, fingerprint, set hash and band keys (null without words), all in one pass."""
     udf = F.arrow_udf(_named_keys, "array<long>")
-    named = fingerprints(docs, F.xxhash64(text_or_empty()).alias("tk"), udf(text_or_empty()).alias("named"))
-    return named.where(F.size("named") > 0).select("doc_id", "tk", "fp", F.get("named", F.lit(0)).alias("sid"), F.slice("named", 2, BANDS).alias("keys"))
+    named = bound_batches(docs).select("doc_id", text_key().alias("tk"), udf(text_or_empty()).alias("named"))
+    keys = F.when(F.size("named") > 2, F.slice("named", 3, BANDS))
+    return named.select("doc_id", "tk", F.get("named", F.lit(0)).alias("fp"), F.get("named", F.lit(1)).alias("sid"), keys.alias("keys"))
+
+
+def _close(a: Column, b: Column) -> Column:
+    """Whether two sets (arrays of distinct values) are similar enough."""
+    shared = F.size(F.array_intersect(a, b))
+    return LIKE[1] * shared >= LIKE[0] * (F.size(a) + F.size(b) - shared)
 
 
 def linked_sets(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """(a, b): spanning links between the set hashes of ``named``, the stored ``named_sets(docs)``."""
-    once = named.groupBy("sid").agg(F.first("keys").alias("keys"), F.min(F.struct("doc_id", "tk")).alias("at"))
+    """(a, b): links between the set hashes of ``named``, the stored ``named_sets(docs)``, that connect what similar pairs connect.
+
+    First every group's smallest set is compared with the others of the group, pair by pair; copies share their groups, so
+    that these pairs are few and settle nearly all groups. A group whose members are still in several components is then decided as a whole.
+    """
+    once = named.where("sid IS NOT NULL").groupBy("sid").agg(F.first("keys").alias("keys"), F.min(F.struct("doc_id", "tk")).alias("at"))
     once = store(once.select("sid", "keys", F.col("at.doc_id").alias("at_id"), F.col("at.tk").alias("at_tk")))
     groups = once.select("sid", F.explode("keys").alias("key")).groupBy("key").agg(F.array_sort(F.collect_list("sid")).alias("sids"))
     groups = store(groups.where(F.size("sids") > 1).groupBy(F.xxhash64("sids").alias("gid")).agg(F.first("sids").alias("sids")))
-    members = store(groups.select("gid", F.explode("sids").alias("sid")))
+    members = store(groups.select("gid", F.get("sids", F.lit(0)).alias("least"), F.explode("sids").alias("sid")))
     wanted = store(lookup(once, store(members.select("sid").distinct()), "sid", "left_semi").select("sid", "at_id", "at_tk"))
     texts = bound_batches(docs).select("doc_id", text_or_empty().alias("text")).withColumn("tk", F.xxhash64("text"))
     texts = lookup(texts, wanted, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("tk") == F.col("at_tk"))).select("sid", "text")
     sets = F.arrow_udf(_sets, "array<long>")
     found = store(texts.select("sid", sets("text").alias("found")).groupBy("sid").agg(F.first("found").alias("found")))
+    pairs = store(members.where("least <> sid").select(F.col("least").alias("a"), F.col("sid").alias("b")).distinct())
+    for end in ("b", "a"):
+        pairs = pairs.join(found.select(F.col("sid").alias(end), F.col("found").alias("found_" + end)), end)
+    first = store(pairs.where(_close(F.col("found_a"), F.col("found_b"))).select("a", "b"))
+    placed = lookup(members.select("gid", "sid"), components(first).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    open_groups = placed.groupBy("gid").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("gid")
     links = F.arrow_udf(_links, "array<struct<a:long,b:long>>")
-    joined = members.join(found, "sid").groupBy("gid").agg(F.collect_list(F.struct("sid", "found")).alias("sets"))
-    return joined.select(F.explode(links("sets")).alias("l")).select("l.a", "l.b").distinct()
+    rest = lookup(members.select("gid", "sid"), store(open_groups), "gid", "left_semi")
+    rest = rest.join(found, "sid").groupBy("gid").agg(F.collect_list(F.struct("sid", "found")).alias("sets"))
+    return first.unionByName(rest.select(F.explode(links("sets")).alias("l")).select("l.a", "l.b")).distinct()
+
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each set of near-duplicates: fingerprints within two bits, or texts whose sets are similar enough.
 
-def linked_prints(docs: DataFrame) -> DataFrame:
-    """(a, b): the links between the sets of ``docs`` as links between their fingerprints."""
+    Which row stays, and what holds for nulls and repeated rows, is told at :func:`simhash.keep_heads`. Texts without words are linked by
+    their fingerprint (zero) only.
+    """
     named = store(named_sets(docs))
-    both = store(named.select("sid", "fp").distinct())
+    both = store(named.where("sid IS NOT NULL").select("sid", "fp").distinct())
     least = store(both.groupBy("sid").agg(F.min("fp").alias("least")))
     same = lookup(both, least, "sid").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
     links = store(linked_sets(docs, named))
     for end in ("a", "b"):
         links = lookup(links, least.withColumnRenamed("sid", end), end).drop(end).withColumnRenamed("least", end)
-    return links.select("a", "b").unionByName(same).where("a <> b").distinct()
+    return keep_heads(docs, named, store(links.select("a", "b").unionByName(same).where("a <> b").distinct()))

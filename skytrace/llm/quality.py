@@ -213,6 +213,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, p: TrainParams = TrainPar
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, p: TrainParams = TrainParams()) -> DataFrame:
-    """The rows of ``docs`` that the classifier predicts to be good, columns as they are."""
-    model = fit(docs, labels, p)
-    return docs.withColumn("_score", score_column(docs, model)).where("_score >= 0.5").drop("_score")
+    """The rows of ``docs`` that the classifier predicts to be good, columns as they are; a batch of rows is held at a time."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, p))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.large_binary())
+            yield batch.filter(pa.array([score_text(shared.value, t.as_buffer().to_pybytes() if t.is_valid else b"") >= 0.5 for t in texts], pa.bool_()))
+
+    return bound_batches(docs).mapInArrow(run, docs.schema)

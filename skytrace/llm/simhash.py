@@ -12,7 +12,6 @@ set, never its pairs.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -21,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skytrace.llm.common import bound_batches, components, lookup
+from skytrace.llm.common import bound_batches, components, lookup, text_or_empty
 from skytrace.session import store
 
 SEED = 42
@@ -164,19 +163,23 @@ def linked_prints(prints: DataFrame) -> DataFrame:
     return groups.where(F.size("fps") > 1).select(F.explode(found("fps")).alias("l")).select("l.a", "l.b").distinct()
 
 
-def near_duplicates(docs: DataFrame, links: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def rooted_prints(prints: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(fp, first, root): the component of every fingerprint of the stored ``prints(doc_id, fp, ...)`` under the two-bit rule and ``links(a, b)``."""
+    first = store(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    linked = linked_prints(first.select("fp"))
+    root = components(linked.unionByName(links) if links is not None else linked).withColumnRenamed("node", "fp")
+    return store(lookup(first, root, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs(doc_id, text, ...)``.
 
     Rows with equal fingerprints, or fingerprints at most two bits apart, are linked; component_id is the smallest doc_id
     reachable. Null, empty and blank texts have fingerprint zero and are linked like any other. Repeated rows give repeated rows. A null
     doc_id takes part, but never is a component's id unless all its members are null. Other columns are not read.
-    ``links`` gives further links (a, b) between fingerprints.
     """
     found = store(fingerprints(docs))
-    first = store(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    linked = linked_prints(first.select("fp"))
-    root = components(linked.unionByName(links(docs)) if links else linked).withColumnRenamed("node", "fp")
-    rooted = store(lookup(first, root, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    rooted = rooted_prints(found)
     smallest = store(rooted.where("root <> fp").select("root").distinct())
     shared = lookup(rooted, smallest, "root", "left_semi")
     of = store(shared.groupBy("root").agg(F.min("first").alias("component_id")))
@@ -184,16 +187,34 @@ def near_duplicates(docs: DataFrame, links: Callable[[DataFrame], DataFrame] | N
     return lookup(found, named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, links: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (of repeated rows of it, one).
+def text_key() -> Column:
+    """Hash of a document's text; a null text counts as an empty one."""
+    return F.xxhash64(text_or_empty())
+
 
-    Texts move only where ids are too many to broadcast; repeated ids, if there are any, are settled apart from the other rows.
+def keep_heads(docs: DataFrame, prints: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """``docs`` with one row of each component of the stored ``prints(doc_id, tk, fp)``: that of the smallest doc_id (null last),
+    then text hash; of rows equal in both, one. A doc_id that is repeated with other texts stays with each of them that leads a component.
+
+    Texts move only where ids are too many to broadcast; repeated rows, if there are any, are settled apart from the others.
+    Columns of ``docs`` called _tk, _head or _head_tk are left out.
     """
-    heads = near_duplicates(docs, links).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("head")).agg(F.count("*").alias("n"))
-    heads = store(heads)
-    repeated = heads.where("n > 1").select("head")
+    named = lookup(prints.select("doc_id", "tk", "fp"), rooted_prints(prints, links).select("fp", "root"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tk"))
+    heads = store(named.groupBy("root").agg(first.alias("h")).select(F.col("h.doc_id").alias("_head"), F.col("h.tk").alias("_head_tk")))
+    repeated = store(prints.groupBy("doc_id", "tk").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_head"), F.col("tk").alias("_head_tk")))
+    keyed = docs.drop("_head", "_head_tk").withColumn("_tk", text_key())
+
+    def only(some: DataFrame) -> DataFrame:
+        return lookup(keyed, some, F.col("doc_id").eqNullSafe(F.col("_head")) & (F.col("_tk") == F.col("_head_tk")), "left_semi")
+
     if repeated.isEmpty():
-        return lookup(docs, heads.select("head"), docs["doc_id"].eqNullSafe(heads["head"]), "left_semi")
-    single = heads.where("n = 1").select("head")
-    once = lookup(docs, single, docs["doc_id"].eqNullSafe(single["head"]), "left_semi")
-    return once.unionByName(lookup(docs, repeated, docs["doc_id"].eqNullSafe(repeated["head"]), "left_semi").dropDuplicates(["doc_id"]))
+        return only(heads).drop("_tk")
+    same = F.col("a._head").eqNullSafe(F.col("b._head")) & (F.col("a._head_tk") == F.col("b._head_tk"))
+    single, several = (store(heads.alias("a").join(repeated.alias("b"), same, how)) for how in ("left_anti", "left_semi"))
+    return only(single).unionByName(only(several).dropDuplicates(["doc_id", "_tk"])).drop("_tk")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each set of near-duplicates; see :func:`keep_heads`."""
+    return keep_heads(docs, store(fingerprints(docs, text_key().alias("tk"))))

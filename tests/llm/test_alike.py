@@ -20,10 +20,11 @@ def like(a, b):
 
 
 def heads(texts):
-    root = list(range(len(texts)))
+    root, sets, prints = list(range(len(texts))), [shingles(t) for t in texts], [slow_simhash(t) for t in texts]
     for j in range(len(texts)):
         for i in range(j):
-            if like(texts[i], texts[j]) or (slow_simhash(texts[i]) ^ slow_simhash(texts[j])).bit_count() <= 2:
+            near = sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            if near or (prints[i] ^ prints[j]).bit_count() <= 2:
                 a, b = sorted((root[i], root[j]))
                 root = [a if r == b else r for r in root]
     return sorted({*root})
@@ -52,6 +53,25 @@ def test_stage_keeps_one_of_near_copies(spark):
     assert sorted(r["doc_id"] for r in got) == want
 
 
+def test_edges(spark):
+    """Nulls, blanks, repeated rows, ids without a value, clashing columns, an empty table."""
+    long = " ".join(f"x{i}" for i in range(300))
+    rows = [(1, None), (2, ""), (3, " \n\t "), (4, long), (4, long), (None, long + " tail"), (6, "one"), (7, "one"), (8, "b " * 200_000)]
+    docs = documents(spark, rows, {"sid": 1, "keys": "k", "gid": 2, "found": 3, "least": 4})
+    kept = alike.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 6, 8]
+    assert alike.keep_one(docs.limit(0)).count() == 0
+
+
+def test_a_chain_inside_one_group_is_followed(spark, monkeypatch):
+    """Members that the smallest set doesn't reach, but others do, are found when the group is decided whole."""
+    monkeypatch.setattr(alike, "band_keys", lambda found: np.arange(alike.BANDS, dtype=np.uint64))
+    words = [f"x{i}" for i in range(200)]
+    texts = [" ".join(words[s:s + 150]) for s in (0, 10, 20, 30, 40)] + ["other words " + " ".join(f"y{i}" for i in range(100))]
+    got = alike.keep_one(documents(spark, enumerate(texts))).collect()
+    assert sorted(r["doc_id"] for r in got) == heads(texts) == [0, 5]
+
+
 def test_spanning_is_all_pairs():
     rng = np.random.default_rng(0)
     base = np.arange(40)

@@ -7,7 +7,7 @@ from helpers import components, documents, simhash as slow_simhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skytrace.llm import common, line_dedup, simhash
+from skytrace.llm import alike, common, line_dedup, simhash
 from skytrace.llm.common import table
 
 EDGES = [(1, None), (2, ""), (3, "  \n\t \n"), (4, "a"), (4, "a"), (5, "one two"), (None, "one two"), (6, "x " * 30000), (7, "é ß 日本 \U0001f600"), (8, "one two")]
@@ -80,6 +80,16 @@ def test_near_duplicate_edges(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_other_texts(spark):
+    """An id stands for each of its texts: none is lost with the others, and no copy stays because of its id."""
+    own = "one two three four five six seven", "a quite different text of its own kind", "third text that nobody else has here"
+    rows = [(3, own[0]), (5, own[1]), (5, own[2]), (5, own[0]), (7, own[1]), (7, own[1]), (9, None), (9, ""), (None, own[2])]
+    for keep in (simhash.keep_one, alike.keep_one):
+        kept = keep(documents(spark, rows, {"head": 1, "tk": "x", "root": 2, "fp": 3}))
+        assert {"head", "tk", "root", "fp"} <= {*kept.columns} and "_tk" not in kept.columns
+        assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted([(3, own[0]), (5, own[1]), (5, own[2]), (9, "")])
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(400).selectExpr("id AS a", "id + 1 AS b")
     rows = common.components(links).collect()

@@ -3,7 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
-from helpers import components, simhash as slow_simhash
+from test_alike import heads as near_heads
 from test_decontam import slow as slow_leaks
 from test_packing import one_by_one
 
@@ -23,7 +23,8 @@ def stages(spark, sf_dir, tmp_path_factory):
     good = [r["text"] for r in docs.join(table(spark, sf_dir, "labels"), "doc_id").where("quality = 1 AND length(text) > 1500").orderBy("doc_id").limit(6).collect()]
     item = max((r["text"] for r in table(spark, sf_dir, "benchmark").collect()), key=len)
     passage = " ".join(good[3].split()[:60])
-    planted = [good[0], good[0].replace(good[0].split()[20], "changed", 1), f"{good[1]} {item} {good[1][:300]}"]
+    leak = f"{' '.join(sorted(good[1].split()))} {item} {good[1][:300]}"  # like no other text, but for the item
+    planted = [good[0], good[0].replace(good[0].split()[20], "changed", 1), leak]
     planted += [f"{' '.join(reversed(g.split()))}\n{passage}" for g in good]
     rows = [(PLANT + i, t, "en", "plant", len(t)) for i, t in enumerate(planted)] + [(PLANT + 50, None, None, None, None), (PLANT + 51, "", "en", "plant", 0)]
     current = docs.unionByName(spark.createDataFrame(rows, docs.schema))
@@ -63,8 +64,8 @@ def test_line_dedup_is_its_twin(stages):
 
 def test_near_dedup_keeps_heads(stages):
     before, after, _ = stages[0]["simhash_near_dedup"]
-    heads = components({r["doc_id"]: slow_simhash(r["text"]) for r in before})
-    assert sorted(r["doc_id"] for r in after) == sorted({*heads.values()})
+    rows = sorted((r["doc_id"], r["text"] or "") for r in before)
+    assert sorted(r["doc_id"] for r in after) == [rows[i][0] for i in near_heads([t for _, t in rows])]
     assert PLANT not in {r["doc_id"] for r in after}
 
 
