@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrace.llm import alike, decontam, line_dedup, packing, quality, simhash
+from skytrace.llm import alike, decontam, line_dedup, packing, quality
 from skytrace.llm.common import table
 from skytrace.session import ensure_checkpoint_dir
 
@@ -28,7 +28,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that with the smallest doc_id. Near are fingerprints within two
     bits, and texts whose word 5-grams have a Jaccard similarity of at least 0.8."""
-    return simhash.keep_one(docs, alike.linked_prints).select(*COLUMNS)
+    return alike.keep_one(docs).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
