@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skytrace.catalog.base import CTES, query, smooth_pass
 from skytrace.catalog.scans import r
-from skytrace.operators import featurespace, filters, tracking
+from skytrace.operators import featurespace, filters, metric, tracking
 from skytrace.operators.neighbours import box_pairs, ellipsoid_pairs, moore_pairs, near_pairs, nearest
 from skytrace.params import DECAY
 from skytrace.sources import tables as tb
@@ -258,8 +258,7 @@ def join_tracks_links(w):
     return before.join(nodes.select("id", "step", F.col("uuid").alias("target")), ["id", "step"]).select("source", "target", "id")
 
 
-# the first four components of the embeddings as coordinates, in one group per label
-# all 64 components are measured; the first four serve as block coordinates, a partial distance never exceeds the whole one
+# all 64 components of the embeddings are measured, in one group per label
 VECTOR = [f"e{i}" for i in range(64)]
 KD_BANDWIDTH = 0.8
 CTES["vectors"] = "SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {n}" for i, n in enumerate(VECTOR)) + " FROM embeddings"
@@ -274,7 +273,7 @@ def _vectors(w):
 
 def _kd(w, k: int):
     v = _vectors(w)
-    out = nearest(v, v, k, VECTOR, [KD_BANDWIDTH] * len(VECTOR), "vec_id", "vec_id", ("label",), start=0.5, blocks=4)
+    out = metric.nearest(v, v, k, VECTOR, [KD_BANDWIDTH] * len(VECTOR), "vec_id", "vec_id", ("label",))
     return out.withColumn("distance", F.round("distance", 6))
 
 
@@ -296,5 +295,5 @@ def join_kd_nearest_n(w):
 @query("join_kd_range", "SELECT label, vec_id, n_vec_id, round(d2, 6) AS d2 FROM vector_pairs WHERE d2 <= 1")
 def join_kd_range(w):
     v = _vectors(w)
-    out = ellipsoid_pairs(v, v, {c: KD_BANDWIDTH for c in VECTOR[:4]}, VECTOR, [KD_BANDWIDTH] * len(VECTOR), ("label",), min_block=0.0)
+    out = metric.within(v, v, 1.0, VECTOR, [KD_BANDWIDTH] * len(VECTOR), "vec_id", "vec_id", ("label",))
     return out.select("label", "vec_id", "n_vec_id", r("d2", "d2"))
