@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skytrace.catalog.base import World, query
+from skytrace.catalog.base import CTES, World, query
 from skytrace.operators import featurespace
-from skytrace.session import cut, ensure_checkpoint_dir
-from skytrace.sources import files, sinks
+from skytrace.session import cut, ensure_checkpoint_dir, store
+from skytrace.sources import files, polylines, radar, sinks
 from skytrace.sources import tables as tb
 
 
@@ -162,7 +163,10 @@ def _names(w):
 
 @query("src_dir_scan", f"SELECT name, row_number() OVER (ORDER BY name) - 1 AS step FROM (SELECT DISTINCT name FROM ({_HOURLY}))")
 def src_dir_scan(w):
-    return files.directory_steps(_names(w))
+    """One folder per file name is written, then the directory is listed."""
+    path = scratch(w, "listing")
+    _names(w).distinct().select("name", F.col("name").alias("value")).repartition("name").dropDuplicates(["name"]).write.partitionBy("name").text(path)
+    return files.directory_steps(files.list_folders(w.spark, path, "name"))
 
 
 @query("src_common_prefix", f"""
@@ -208,6 +212,37 @@ def src_radolan(w):
     return dbz.select("scan", "y", "x", files.rvp6_byte(F.col("dbz")).alias("byte"), files.radar_threshold(F.col("dbz"), 0.0).alias("kept"))
 
 
+# Composites of four products, one file per scan: two of one byte a pixel, two of two bytes with flags. Cells that the grid lacks are missing.
+CTES["composite_cells"] = """
+SELECT g.scan, g.y, g.x, g.scan % 4 AS kind, c.scan IS NULL AS gap, coalesce(c.v_raw = 255 AND g.x % 2 = 1, false) AS clutter, coalesce(c.v_raw = 255 AND g.x % 2 = 0, false) AS lost,
+       coalesce(c.v_raw % 7 = 3, false) AS negative, coalesce(g.y = 3, false) AS secondary, coalesce(c.u_raw, 0) AS u
+FROM (SELECT DISTINCT scan, y, x FROM (SELECT DISTINCT scan FROM cells), (SELECT unnest(range(0, 25)) AS y), (SELECT unnest(range(0, 27)) AS x)) g
+LEFT JOIN cells c ON c.scan = g.scan AND c.y = g.y AND c.x = g.x"""
+
+
+def _composites(w):
+    """Written as (name, content) rows, which any store keeps, and read back."""
+    kind, spoiled = F.col("scan") % 4, F.col("v_raw") == 255
+    byte = F.when(spoiled & (F.col("x") % 2 == 1), radar.BYTE_CLUTTER).when(spoiled, radar.BYTE_MISSING).otherwise(F.col("u_raw"))
+    flag = lambda cond, bits: F.when(cond, bits).otherwise(0)
+    word = (F.col("u_raw") * 13).bitwiseOR(flag(F.col("y") == 3, radar.SECONDARY)).bitwiseOR(flag(spoiled & (F.col("x") % 2 == 0), radar.MISSING))
+    word = word.bitwiseOR(flag(F.col("v_raw") % 7 == 3, radar.NEGATIVE)).bitwiseOR(flag(spoiled & (F.col("x") % 2 == 1), radar.CLUTTER))
+    product = F.element_at(F.array(*map(F.lit, ("RX", "EX", "RY", "RW"))), (kind + 1).cast("int"))
+    cells = w.cells.select(
+        F.format_string("composite-%08d", F.col("scan")).alias("name"), product.alias("product"), ((F.col("scan") + 15_000_000) * 60).alias("ts"),
+        F.when(kind == 2, -2).when(kind == 3, -1).otherwise(0).alias("precision"), (F.col("y") * 27 + F.col("x")).alias("pid"), F.when(kind < 2, byte).otherwise(word).alias("raw"))
+    return store(radar.encoded(cells, 25, 27))
+
+
+@query("src_radolan_files", """
+SELECT 'composite-' || lpad(scan::VARCHAR, 8, '0') AS name, ['RX', 'EX', 'RY', 'RW'][kind + 1] AS product, (scan + 15000000) * 60 AS ts, y::INTEGER AS y, x::INTEGER AS x,
+       gap OR lost AS missing, clutter, kind >= 2 AND secondary AND NOT gap AS secondary, CASE WHEN gap OR lost OR clutter THEN NULL WHEN v < 5 THEN CASE WHEN kind < 2 THEN -325e-1 ELSE 0e0 END ELSE v END AS value
+FROM (SELECT *, round(CASE WHEN kind < 2 THEN u * 5e-1 - 325e-1 ELSE u * 13 * CASE kind WHEN 2 THEN 1e-2 ELSE 1e-1 END * CASE WHEN negative THEN -1 ELSE 1 END END, 6) AS v FROM composite_cells)""")
+def src_radolan_files(w):
+    found = radar.pixels(_composites(w), threshold=5.0)
+    return found.select("name", "product", "ts", "y", "x", "missing", "clutter", "secondary", r("value", "value"))
+
+
 @query("src_topography", """
 SELECT scan, z, count(*) AS cells, CAST(sum(u_raw * 20) AS BIGINT) AS height_sum
 FROM (SELECT scan, u_raw, unnest(range(0, CAST(greatest(least(ceil(u_raw * 20 / 1000e0 / 25e-2), 59), 0) AS BIGINT) + 1)) AS z FROM cells) GROUP BY ALL""")
@@ -233,6 +268,34 @@ def src_shapefile(w):
     return files.line_cells(segments).select("o_orderkey", "x", "y")
 
 
+# Polylines: a customer's orders are the vertices of a line that leaves the grid of 27 x 25 cells and comes back.
+CTES["vertices"] = """
+SELECT o_custkey AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq, (o_orderkey * 7 % 400) / 10e0 - 5e0 AS x,
+       (o_orderkey * 11 % 350) / 10e0 - 5e0 AS y FROM orders"""
+CTES["line_parts"] = """
+SELECT line, seq, floor(least(greatest(x0 + t0 * dx, 0e0), 26e0) + 5e-1)::BIGINT AS x0, floor(least(greatest(y0 + t0 * dy, 0e0), 24e0) + 5e-1)::BIGINT AS y0,
+       floor(least(greatest(x0 + t1 * dx, 0e0), 26e0) + 5e-1)::BIGINT AS x1, floor(least(greatest(y0 + t1 * dy, 0e0), 24e0) + 5e-1)::BIGINT AS y1,
+       sum(CASE WHEN t0 > 0 OR seq = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY line ORDER BY seq) - 1 AS part
+FROM (SELECT *, greatest(0e0, CASE WHEN dx > 0 THEN (0e0 - x0) / dx WHEN dx < 0 THEN (26e0 - x0) / dx WHEN x0 < 0 OR x0 > 26 THEN 2e0 ELSE 0e0 END,
+                         CASE WHEN dy > 0 THEN (0e0 - y0) / dy WHEN dy < 0 THEN (24e0 - y0) / dy WHEN y0 < 0 OR y0 > 24 THEN 2e0 ELSE 0e0 END) AS t0,
+             least(1e0, CASE WHEN dx > 0 THEN (26e0 - x0) / dx WHEN dx < 0 THEN (0e0 - x0) / dx ELSE 1e0 END,
+                   CASE WHEN dy > 0 THEN (24e0 - y0) / dy WHEN dy < 0 THEN (0e0 - y0) / dy ELSE 1e0 END) AS t1
+      FROM (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy FROM (SELECT line, seq, x AS x0, y AS y0, lead(x) OVER (PARTITION BY line ORDER BY seq) AS x1,
+              lead(y) OVER (PARTITION BY line ORDER BY seq) AS y1 FROM vertices)) WHERE x1 IS NOT NULL) WHERE t0 <= t1"""
+
+
+@query("src_shapefile_lines", """
+SELECT DISTINCT line, part::BIGINT AS part, CAST(x0 + sign(x1 - x0) * least(greatest(k - greatest(ay - ax, 0), 0), ax) AS INTEGER) AS x,
+       CAST(y0 + sign(y1 - y0) * least(greatest(k - greatest(ax - ay, 0), 0), ay) AS INTEGER) AS y
+FROM (SELECT *, unnest(range(0, CASE WHEN ax > 0 AND ay > 0 THEN greatest(ax, ay) ELSE 0 END + 1)) AS k
+      FROM (SELECT *, abs(x1 - x0) AS ax, abs(y1 - y0) AS ay FROM line_parts))""")
+def src_shapefile_lines(w):
+    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    place = lambda factor, turn: (F.col("o_orderkey") * factor % turn) / 10.0 - 5.0
+    vertices = w.table("orders").select(F.col("o_custkey").alias("line"), number.cast("bigint").alias("seq"), place(7, 400).alias("x"), place(11, 350).alias("y"))
+    return polylines.polyline_cells(vertices, (27, 25))
+
+
 def _stored(w):
     """Write the cluster tables once per session and read them back."""
     if not hasattr(w, "_stored_path"):

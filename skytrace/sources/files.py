@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytrace.operators.ordering import number_rows
 from skytrace.session import cut
+from skytrace.sources import radar
+from skytrace.sources.publish import latest
 
 # Known file name forms as (prefix, digits pattern, time format); the first matching prefix decides.
 NAME_FORMATS = {
@@ -53,6 +50,12 @@ def list_directory(spark: SparkSession, path: str, pattern: str = "*.parquet") -
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path")
 
 
+def list_folders(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(name): the distinct values of the folder level ``<key>=<value>`` below a path that hold files."""
+    found = list_directory(spark, path, "*").select(F.regexp_extract("path", f"/{key}=([^/]+)/", 1).alias("name"))
+    return found.where("name <> ''").distinct()
+
+
 def common_prefix(names: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Longest common prefix of all names: that of the smallest and the largest."""
     ends = names.groupBy(*(by or [])).agg(F.min("name").alias("lo"), F.max("name").alias("hi"))
@@ -100,10 +103,8 @@ def read_konrad(spark: SparkSession, path: str) -> DataFrame:
     return konrad_records(spark.read.text(path))
 
 
-# One-byte radar composites. Value = 0.5 * byte - 32.5 dBZ; 250 marks missing, 249 clutter.
-RVP6_SCALE, RVP6_OFFSET = 0.5, -32.5
-RX_MISSING, RX_CLUTTER, RX_MIN_DBZ = 250, 249, -32.5
-ONE_BYTE_PRODUCTS = ("RX",)
+# Fixed value: the least of one-byte reflectivities.
+RX_MIN_DBZ = radar.OFFSET
 
 
 def radar_threshold(value: Column, threshold: float, minimum: float = RX_MIN_DBZ) -> Column:
@@ -112,73 +113,32 @@ def radar_threshold(value: Column, threshold: float, minimum: float = RX_MIN_DBZ
 
 
 def rvp6_byte(value: Column) -> Column:
-    return F.round((value - F.lit(RVP6_OFFSET)) / F.lit(RVP6_SCALE)).cast("int")
+    return F.round((value - F.lit(radar.OFFSET)) / F.lit(radar.SCALE)).cast("int")
 
 
 def rvp6_value(byte: Column) -> Column:
-    return byte * F.lit(RVP6_SCALE) + F.lit(RVP6_OFFSET)
-
-
-def _composite(content: bytes) -> tuple[str, int, np.ndarray] | str:
-    """(header, columns, pixels) of a one-byte composite, or why it isn't one."""
-    head, end, body = content.partition(b"\x03")
-    text = head.decode("latin-1")
-    size = re.search(r"GP\s*(\d+)\s*x\s*(\d+)", text)
-    if not end or size is None:
-        return "no header with a grid size"
-    if text[:2] not in ONE_BYTE_PRODUCTS:
-        return f"product {text[:2]} is not a one-byte composite"
-    rows, cols = (int(v) for v in size.groups())
-    if len(body) < rows * cols:
-        return f"{len(body)} of {rows * cols} pixels"
-    return text, cols, np.frombuffer(body, dtype=np.uint8, count=rows * cols)
-
-
-def _decode_composites(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Header up to ETX, then one byte per pixel, rows from south to north. One file is one bounded grid."""
-    for batch in batches:
-        for name, content in zip(batch["name"], batch["content"]):
-            found = _composite(content)
-            if isinstance(found, str):
-                continue  # radar_rejects() lists it
-            text, cols, raw = found
-            y, x = np.divmod(np.arange(len(raw), dtype=np.int32), cols)
-            yield pd.DataFrame({
-                "name": name, "product": text[:2], "day_time": text[2:8], "month_year": text[13:17],
-                "y": y, "x": x, "raw": raw.astype(np.int32),
-            })
-
-
-def _composite_files(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    return byte * F.lit(radar.SCALE) + F.lit(radar.OFFSET)
 
 
 def radar_rejects(spark: SparkSession, path: str) -> DataFrame:
     """(name, reason) of the files that :func:`read_radar_composites` leaves out: other products, bad headers, missing pixels."""
-    def reasons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [(n, r) for n, c in zip(batch["name"], batch["content"]) if isinstance(r := _composite(c), str)]
-            yield pd.DataFrame(found, columns=["name", "reason"])
-
-    return _composite_files(spark, path).mapInPandas(reasons, "name string, reason string")
+    return radar.rejects(radar.composite_files(spark, path), radar.ONE_BYTE)
 
 
 def read_radar_composites(spark: SparkSession, path: str, threshold: float | None = None) -> DataFrame:
     """One-byte radar composites as cells: (scan, ts, y, x, rx_raw); missing and clutter pixels keep the fill value."""
-    schema = "name string, product string, day_time string, month_year string, y int, x int, raw int"
-    decoded = _composite_files(spark, path).mapInPandas(_decode_composites, schema)
-    stamp = F.concat(F.substring("month_year", 3, 2), F.substring("month_year", 1, 2), "day_time")
-    ts = F.unix_timestamp(F.to_timestamp(F.concat(stamp, F.lit("+0000")), "yyMMddHHmmZ"))
-    raw = F.when(F.col("raw").isin(RX_MISSING, RX_CLUTTER), F.lit(RX_MISSING)).otherwise(F.col("raw"))
+    found = radar.pixels(radar.composite_files(spark, path), radar.ONE_BYTE)
+    raw = F.when(F.col("missing") | F.col("clutter"), F.lit(radar.BYTE_MISSING))
     if threshold is not None:
-        raw = F.when((raw != RX_MISSING) & (rvp6_value(raw) < F.lit(float(threshold))), F.lit(0)).otherwise(raw)
-    return decoded.select(ts.alias("scan"), ts.alias("ts"), "y", "x", raw.alias("rx_raw"))
+        raw = raw.when(F.col("value") < F.lit(float(threshold)), F.lit(0))
+    return found.select(F.col("ts").alias("scan"), "ts", "y", "x", raw.otherwise(F.col("raw")).alias("rx_raw"))
 
 
 def read_clusters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stored (clusters, members, events) tables."""
-    return tuple(spark.read.parquet(f"{path}/{t}") for t in ("clusters", "members", "events"))
+    """Stored (clusters, members, events) tables: the newest published version, or those of an incremental run."""
+    at = latest(spark, path)
+    folder = path if at is None else f"{path}/versions/{at[1]}"
+    return tuple(spark.read.parquet(f"{folder}/{t}") for t in ("clusters", "members", "events"))
 
 
 def remap_members(members: DataFrame, grid) -> DataFrame:

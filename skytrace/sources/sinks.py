@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skytrace.operators.featurespace import Variable
+from skytrace.sources.publish import publish
 
 
 def write_clusters(path: str, clusters: DataFrame, members: DataFrame, events: DataFrame) -> None:
-    """Cluster, member and event tables. Members are the large table: partitioned by a bounded scan group, not by scan,
+    """Cluster, member and event tables, published together. Members are the large table: partitioned by a bounded scan group, not by scan,
     so that a million scans do not make a million folders."""
     group = F.floor(F.col("scan") / 1000).cast("bigint").alias("scan_group")
-    for name, df in (("clusters", clusters), ("members", members), ("events", events)):
-        df.select("*", group).write.mode("overwrite").partitionBy("scan_group").parquet(f"{path}/{name}")
+    publish(path, {name: df.select("*", group) for name, df in (("clusters", clusters), ("members", members), ("events", events))}, ["scan_group"])
 
 
 def write_cells(path: str, cells: DataFrame) -> None:
