@@ -66,11 +66,10 @@ def with_base(lines: DataFrame, p: TreeParams) -> DataFrame:
     return lines.withColumn("base", base).withColumn("key", F.md5("base"))
 
 
-def generalised(docs: DataFrame, lines: DataFrame, p: TreeParams) -> DataFrame:
+def generalised(lines: DataFrame, p: TreeParams) -> DataFrame:
     """(key, template): lines of leaves with several distinct lines whose template differs from the line itself."""
     several = lines.where("leaf IS NOT NULL").groupBy("leaf").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("leaf")
-    again = parsed_lines(docs, p).select("leaf", "line", "n", "digits").where("leaf IS NOT NULL")
-    inside = with_base(lookup(again, store(several), "leaf", "left_semi"), p)
+    inside = lookup(lines.where("leaf IS NOT NULL").select("leaf", "key", "base", "n"), store(several), "leaf", "left_semi")
     distinct = store(inside.groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("base").alias("base"), F.first("n").alias("n")))
     sizes = distinct.groupBy("leaf").agg(F.count("*").alias("of"))
     at = distinct.select("leaf", F.posexplode(F.split("base", " ")).alias("pos", "token")).where(F.col("pos") >= p.depth)
@@ -88,8 +87,9 @@ def generalised(docs: DataFrame, lines: DataFrame, p: TreeParams) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, p: TreeParams = TreeParams()) -> DataFrame:
     """(doc_id, dk, gone): the positions of the lines that go, for documents that have any."""
-    lines = store(with_base(parsed_lines(docs, p), p).select("doc_id", "dk", "line_no", "key", "leaf"))
-    shapes = generalised(docs, lines, p)
+    # the text of lines in leaves is kept next to their keys: reading it back costs less than parsing the documents again
+    lines = store(with_base(parsed_lines(docs, p), p).select("doc_id", "dk", "line_no", "key", "leaf", "n", F.when(F.col("leaf").isNotNull(), F.col("base")).alias("base")))
+    shapes = generalised(lines, p)
     placed = lookup(lines, shapes, "key", "left").select("doc_id", "dk", "line_no", F.coalesce("template", "key").alias("template"))
     placed = store(placed)
     once = placed.groupBy("template", "doc_id", "dk").agg(F.min("line_no").alias("line_no"))
