@@ -24,7 +24,7 @@ LOOKUP_POSITIONS = 1_000_000
 @dataclass(frozen=True)
 class TreeParams:
     depth: int = 3  # leading tokens that lead to a leaf
-    min_docs: int = 3  # a template found in so many documents is recurring
+    min_docs: int = 2  # a template found in so many documents is recurring
     token_share: float = 0.1  # share of a leaf's distinct lines (two at least) that keeps a token in its place
     masked_share: float = 0.5  # share of tokens without a digit that a masked line needs
     similarity: float = 0.75  # share of constant tokens that a generalised template needs

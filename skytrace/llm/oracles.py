@@ -34,7 +34,7 @@ WITH raw AS (
 ), placed AS (
   SELECT doc_id, line_no, coalesce(template, base) AS template FROM leafed LEFT JOIN templates USING (base)
 ), recurring AS (
-  SELECT template, min((doc_id, line_no)) AS first FROM placed GROUP BY template HAVING count(DISTINCT doc_id) >= 3
+  SELECT template, min((doc_id, line_no)) AS first FROM placed GROUP BY template HAVING count(DISTINCT doc_id) >= 2
 ), gone AS (
   SELECT doc_id, list(line_no) AS g FROM placed JOIN recurring USING (template) WHERE (doc_id, line_no) <> first GROUP BY doc_id
 )
