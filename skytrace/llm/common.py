@@ -9,7 +9,7 @@ from skytrace.session import store
 
 # A lookup of at most this many narrow rows is broadcast; a larger one is merged, and adaptive execution splits hot keys.
 LOOKUP_ROWS = 300_000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +24,7 @@ def lookup(big: DataFrame, small: DataFrame, on: str | list[str] | Column, how:
 
 
 def bound_batches(df: DataFrame) -> DataFrame:
-    """Let no Arrow batch of this session hold more than 8 MB (or one row): long texts come in small batches, which bounds
+    """Let no Arrow batch of this session hold more than 4 MB (or one row): long texts come in small batches, which bounds
     both sides of the exchange with the Python workers. A lower setting stays."""
     conf = df.sparkSession.conf
     held = int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864").rstrip("b"))

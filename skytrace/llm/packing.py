@@ -181,7 +181,7 @@ def places(found: list[Pattern]) -> Iterator[tuple[int, int, int, int, int, int]
 
 
 PIECE = "doc_id {id}, part int, start long, length long, doc_tokens long, local long, ids binary"
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 4 << 20
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
@@ -213,6 +213,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
                     rows, places, held = [], [], 0
             if rows:
                 yield flush()
+        pa.default_memory_pool().release_unused()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return bound_batches(docs).select("doc_id", text_or_empty().alias("text")).mapInArrow(cut, PIECE.format(id=kind))
