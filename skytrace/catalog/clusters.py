@@ -76,6 +76,27 @@ def cl_postprocess_previous(w):
     return out.withColumn("mode_v", F.round("mode_v", 6))
 
 
+CTES["merging"] = """
+SELECT pair, m, min(n) AS target, list_sort(list(n)) AS parts, avg(mode_v) AS mode_v FROM held GROUP BY pair, m HAVING count(*) > 1"""
+CTES["merged_once"] = """
+SELECT pair, target, parts, min(m) AS m, min_by(mode_v, m) AS mode_v, row_number() OVER (PARTITION BY pair, target ORDER BY min(m)) AS turn
+FROM merging GROUP BY pair, target, parts"""
+CTES["merged_labels"] = """
+SELECT g.pair, g.parts, first_value(g.mode_v) OVER (PARTITION BY g.pair, c.gid ORDER BY g.m) AS mode_v, c.gid AS label FROM merged_once g
+JOIN (SELECT cluster, gid, row_number() OVER (PARTITION BY cluster ORDER BY gid) AS turn, count(*) OVER (PARTITION BY cluster) AS cells FROM members) c
+ON c.cluster = g.target AND c.turn = least(g.turn, c.cells)"""
+
+
+@query("cl_consolidated_groups", """
+SELECT pair, n, CAST(label AS BIGINT) AS label, round(mode_v, 6) AS mode_v FROM (SELECT DISTINCT pair, unnest(parts) AS n, label, mode_v FROM merged_labels)""")
+def cl_consolidated_groups(w):
+    from skytrace.operators import tracking
+
+    cover = tracking.covers(w.detection.members, w.tracks.pairs)
+    mapping = clustering.consolidate_with_previous(cover, w.detection.clusters, ["mode_v"])
+    return clustering.consolidated_groups(mapping, w.detection.members, ["mode_v"]).withColumn("mode_v", F.round("mode_v", 6))
+
+
 @query("cl_merge_two", """
 SELECT a.cluster, b.cluster AS other, round((a.mode_v + b.mode_v) * 5e-1, 6) AS mode_v, a.size + b.size AS size
 FROM clusters a JOIN clusters b ON b.scan = a.scan AND b.detection_id = a.detection_id + 1""")

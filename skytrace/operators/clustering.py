@@ -203,7 +203,7 @@ def consolidate_with_previous(cover: DataFrame, clusters: DataFrame, names: list
         cover.join(clusters.select(F.col("cluster").alias("n"), "size", *names), "n")
         .where(F.col("shared") / F.col("size") >= F.lit(share))
     )
-    # a previous cluster holds at most three such clusters' majority, so this window stays small
+    # one row per current cluster within a previous one: never more than the previous cluster has cells
     w = Window.partitionBy("pair", "m")
     grouped = held.withColumn("_c", F.count("*").over(w)).where("_c > 1")
     merged = grouped.withColumn("target", F.min("n").over(w))
@@ -212,6 +212,38 @@ def consolidate_with_previous(cover: DataFrame, clusters: DataFrame, names: list
     return merged.select("pair", "n", "m", "target", *names)
 
 
+def consolidated_groups(mapping: DataFrame, members: DataFrame, names: list[str]) -> DataFrame:
+    """Merged clusters from the mapping of :func:`consolidate_with_previous`: (pair, n, label, <names>).
+
+    Each previous cluster makes one merged cluster of all its parts, so a part held by two previous clusters is in two merged ones.
+    Previous clusters with the same parts make one. ``label`` is a cell of the smallest part: its own label for the first merged cluster that
+    starts with it, its second cell for the next. If such a part has fewer cells than merged clusters, the last ones become one.
+    """
+    mapping = cut(mapping)
+    parts = mapping.groupBy("pair", "m").agg(
+        F.min("target").alias("target"), F.count("*").alias("_n"), F.max("n").alias("_last"),
+        F.sum(F.xxhash64("n").cast("decimal(38,0)")).alias("_parts"), *[F.first(c).alias(c) for c in names],
+    )
+    same = Window.partitionBy("pair", "target", "_n", "_last", "_parts").orderBy("m")
+    own = parts.withColumn("_same", F.row_number().over(same)).where("_same = 1")
+    turn = F.row_number().over(Window.partitionBy("pair", "target").orderBy("m"))
+    own = cut(own.select("pair", "m", "target", turn.alias("_turn"), *names))
+    # only targets that start several merged clusters need more cells than their label
+    again = own.groupBy(F.col("target").alias("cluster")).agg(F.max("_turn").alias("_most")).where("_most > 1")
+    cells = attach(members.select("cluster", "gid"), again, ["cluster"], "gid", part_of=own)
+    nth = cells.withColumn("_turn", F.row_number().over(Window.partitionBy("cluster").orderBy("gid"))).where("_turn <= _most")
+    held = nth.groupBy("cluster").agg(F.max("_turn").alias("_cells"))
+    counted = own.join(held.withColumnRenamed("cluster", "target"), "target", "left")
+    counted = counted.withColumn("_turn", F.least("_turn", F.coalesce("_cells", F.lit(1))))
+    place = nth.select(F.col("cluster").alias("target"), "_turn", "gid")
+    labelled = counted.join(place, ["target", "_turn"], "left")
+    first = F.when(F.col("_turn") == 1, F.col("target")).otherwise(F.col("gid")).alias("label")
+    labelled = cut(labelled.select("pair", "m", first, *names))
+    modes = labelled.groupBy("pair", "label").agg(*[F.min_by(c, "m").alias(c) for c in names])
+    held_by = mapping.select("pair", "n", "m").join(labelled.select("pair", "m", "label"), ["pair", "m"])
+    return held_by.select("pair", "n", "label").distinct().join(modes, ["pair", "label"]).select("pair", "n", "label", *names)
+
+
 def mean_neighbour_shift(shifts: DataFrame, grid: Grid, names: list[str]) -> DataFrame:
     """Option: replace zero shifts by the mean shift of the adjacent points (the point itself counts in the divisor)."""
     comps = ["s_" + d for d in grid.dims] + ["s_" + n for n in names]

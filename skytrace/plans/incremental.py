@@ -72,21 +72,23 @@ def advance(
     if state is not None:
         cells = cells.where(F.col("ts") > state.ts)
     if not (detection.postprocess_with_previous or tracking_params.use_displacement_vectors):
-        _one_step(spark, cells, output, batch, 0, state, grid, variables, detection, tracking_params)
+        found = detect(cells, grid, variables, detection)
+        _one_step(spark, cells, found.members, found.clusters, output, batch, 0, state, grid, variables, detection, tracking_params)
         return
-    # both options feed each scan's result into the next one: scan by scan, in time order
+    # both options feed each scan's clusters into the next: one detection over all scans, then cluster tables in time order
     cells = cut(cells)
-    for part, row in enumerate(cells.select("ts").distinct().orderBy("ts").toLocalIterator()):
-        scan_cells = cells.where(F.col("ts") == row["ts"])
-        state = _one_step(spark, scan_cells, output, batch, part, state, grid, variables, detection, tracking_params)
+    found = detect(cells, grid, variables, detection)
+    scans = cut(cells.select("scan", "ts").distinct())
+    for part, row in enumerate(scans.select("ts").distinct().orderBy("ts").toLocalIterator()):
+        now = F.broadcast(scans.where(F.col("ts") == row["ts"]))
+        step = (cells.where(F.col("ts") == row["ts"]), *(df.join(now.select("scan"), "scan", "left_semi") for df in (found.members, found.clusters)))
+        state = _one_step(spark, *step, output, batch, part, state, grid, variables, detection, tracking_params)
 
 
-def _one_step(spark, cells, output, batch, part, state, grid, variables, detection, tracking_params) -> State | None:
-    names = [v.name for v in variables]
-    found = detect(cells, grid, variables, detection)
-    members, clusters = found.members, found.clusters
+def _one_step(spark, cells, members, clusters, output, batch, part, state, grid, variables, detection, tracking_params) -> State | None:
     if state is not None:
-        clusters = clusters.withColumn("uuid", F.col("uuid") + F.lit(state.highest_uuid))
+        before = clusters.agg(F.min("uuid")).first()[0] or 1
+        clusters = clusters.withColumn("uuid", F.col("uuid") - F.lit(before - 1) + F.lit(state.highest_uuid))
     previous_members, previous_clusters = (None, None) if state is None else (state.members, state.clusters)
     if state is not None and detection.postprocess_with_previous:
         members, clusters = consolidate(members, clusters, state, cells, grid, variables)
@@ -138,20 +140,23 @@ def _track_after(previous_clusters, previous_members, state, clusters, members,
 
 
 def consolidate(members, clusters, state: State, cells, grid: Grid, variables: list[Variable]):
-    """Merge current clusters that are parts of one previous cluster; the merged mode is the mean of the modes."""
+    """Merge current clusters that are parts of one previous cluster; the merged mode is the mean of the modes. A cluster held by two previous
+    ones joins both, and its points are members of both."""
     names = [v.name for v in variables]
     modes = ["mode_" + n for n in names]
     cover = clustering.cell_cover(
         members.select(F.lit(0).alias("pair"), "pid", F.col("cluster").alias("n")),
         state.members.select(F.lit(0).alias("pair"), "pid", F.col("cluster").alias("m")),
     )
-    mapping = cut(clustering.consolidate_with_previous(cover, clusters, modes).groupBy("n").agg(F.min_by(F.struct("target", *modes), "m").alias("t")))
+    mapping = cut(clustering.consolidate_with_previous(cover, clusters, modes))
     if mapping.isEmpty():
         return members, clusters
-    to = mapping.select(F.col("n").alias("cluster"), F.col("t.target").alias("_to"))
-    merged = cut(members.join(to, "cluster", "left").withColumn("cluster", F.coalesce("_to", "cluster")).drop("_to"))
+    groups = cut(clustering.consolidated_groups(mapping, members, modes))
+    to = groups.select(F.col("n").alias("cluster"), F.col("label").alias("_to"))
+    merged = members.join(to, "cluster", "left").withColumn("cluster", F.coalesce("_to", "cluster")).drop("_to")
+    merged = cut(merged.dropDuplicates(["cluster", "gid"]).select(*members.columns))
     blocked = cells.where(featurespace.off_limits(variables)).select("scan", *grid.dims)
     table = describe(merged, grid, names, blocked, first_uuid=state.highest_uuid)
-    mean_modes = mapping.select("t.*").groupBy("target").agg(*[F.first(m).alias("_" + m) for m in modes])
-    table = table.join(mean_modes.withColumnRenamed("target", "cluster"), "cluster", "left")
+    mean_modes = groups.groupBy(F.col("label").alias("cluster")).agg(*[F.first(m).alias("_" + m) for m in modes])
+    table = table.join(mean_modes, "cluster", "left")
     return merged, cut(table.withColumns({m: F.coalesce("_" + m, m) for m in modes}).drop(*["_" + m for m in modes]))

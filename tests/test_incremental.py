@@ -67,6 +67,48 @@ def test_options_that_need_the_previous_scan(spark, whole, tmp_path):
     assert sizes == {r["cluster"]: r["size"] for r in clusters.collect()}
 
 
+def test_one_detection_per_batch_changes_nothing(spark, whole, tmp_path, monkeypatch):
+    """Options that feed scans into the next: scans of one batch are detected together, with the ids of scan by scan."""
+    from skytrace.plans import incremental
+
+    cells, _, _ = whole
+    calls = []
+    monkeypatch.setattr(incremental, "detect", lambda *a, **k: (calls.append(1), detect(*a, **k))[1])
+    detection, tracking = replace(tb.DETECTION, postprocess_with_previous=True), TrackingParams(use_displacement_vectors=True)
+    at_once, one_by_one = str(tmp_path / "a"), str(tmp_path / "b")
+    advance(spark, cells.where("scan < 3"), at_once, 0, tb.GRID, tb.VARIABLES, detection, tracking)
+    assert len(calls) == 1
+    for scan in range(3):
+        advance(spark, cells.where(F.col("scan") == scan), one_by_one, scan, tb.GRID, tb.VARIABLES, detection, tracking)
+    assert _stored(spark, at_once) == _stored(spark, one_by_one)
+
+
+def _labels(spark, cells, previous):
+    """Merged clusters of ``cells`` {cluster: pids} against ``previous`` {cluster: pids}: {label: parts}."""
+    from skytrace.operators import clustering
+
+    long = lambda d, name: spark.createDataFrame([(0, p, c) for c, ps in d.items() for p in ps], f"pair int, pid bigint, {name} bigint")
+    members = long(cells, "n").select(F.col("n").alias("cluster"), F.col("pid").alias("gid"))
+    clusters = spark.createDataFrame([(c, len(ps), float(c)) for c, ps in cells.items()], "cluster bigint, size bigint, mode_v double")
+    mapping = clustering.consolidate_with_previous(clustering.cell_cover(long(cells, "n"), long(previous, "m")), clusters, ["mode_v"])
+    out = {}
+    for r in clustering.consolidated_groups(mapping, members, ["mode_v"]).collect():
+        out.setdefault((r["label"], round(r["mode_v"], 6)), set()).add(r["n"])
+    return out
+
+
+def test_a_cluster_held_by_two_previous_ones_joins_both(spark):
+    # cluster 10 has a half of its cells in each previous cluster, which hold 20 and 30 besides
+    cells = {10: [10, 11, 12, 13], 20: [20, 21], 30: [30, 31], 40: [40]}
+    previous = {1: [10, 11, 20, 21], 2: [12, 13, 30, 31], 3: [40]}
+    assert _labels(spark, cells, previous) == {(10, 15.0): {10, 20}, (11, 20.0): {10, 30}}
+    # the same parts twice make one cluster; a part alone makes none
+    assert _labels(spark, {10: [10, 11], 20: [20, 21]}, {1: [10, 20], 2: [11, 21]}) == {(10, 15.0): {10, 20}}
+    assert _labels(spark, {10: [10, 11]}, {1: [10], 2: [11]}) == {}
+    # a part of one cell can't name two clusters: they become one
+    assert _labels(spark, {10: [10], 20: [20], 30: [30]}, {1: [10, 20], 2: [10, 30]}) == {(10, 15.0): {10, 20, 30}}
+
+
 def _gappy(spark):
     """Five scans 300 s apart; the first, third and last have no cluster (their cells are below the threshold)."""
     rows = []
