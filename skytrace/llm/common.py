@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: an expression used inside a lambda is otherwise evaluated for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doc_key() -> Column:
     """Key of a document: rows with equal doc_id and text are one document to operators that join results back."""
     return F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), text_or_empty()))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skytrace.llm.common import text_or_empty
+from skytrace.llm.common import let, text_or_empty
 from skytrace.session import store
 
 # The base kinds' patterns, in the order in which equal starts are listed. The runs that the contract drops for
@@ -26,6 +26,7 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 RUN = "[A-Za-z0-9+/_-]{16,}"
 ASSIGN_VALUE = 6
+PIECE = 128
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -59,18 +60,33 @@ class BatteryParams:
 
 def _matches(text: Column, pattern: str, keep: Column | None = None) -> Column:
     """[(start, end, found)] of a pattern in code points: the lengths of what lies between the matches add up."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"))
+    width = lambda x: F.length(x["gap"]) + F.length(x["hit"])
     empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    walk = F.aggregate(
-        pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.array_append(a["out"], F.struct(
-                (a["at"] + F.length(x["gap"])).alias("start"), (a["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("hit"))).alias("out")),
-        lambda a: a["out"])
-    return F.when(text.rlike(pattern), walk).otherwise(empty)
+
+    def zipped(found: Column) -> Column:
+        return F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("gap"), found.alias("hit"))
+
+    # appending copies the list, so no list grows with the text: pieces of bounded size, and one number per piece
+    def pieces(pairs: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / PIECE).cast("int")), lambda i: F.slice(pairs, i * PIECE + 1, F.lit(PIECE)))
+        return F.transform(cut, lambda c: F.struct(c.alias("c"), F.aggregate(c, F.lit(0), lambda n, x: n + width(x)).alias("n")))
+
+    def starts(sized: Column) -> Column:
+        return F.aggregate(
+            sized, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda a, s: F.struct((a["at"] + s["n"]).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+
+    def walk(c: Column, start: Column) -> Column:
+        return F.aggregate(
+            c, F.struct(start.alias("at"), empty.alias("out")),
+            lambda a, x: F.struct(
+                (a["at"] + width(x)).alias("at"),
+                F.array_append(a["out"], F.struct((a["at"] + F.length(x["gap"])).alias("start"), (a["at"] + width(x)).alias("end"), x["hit"].alias("hit"))).alias("out")),
+            lambda a: a["out"])
+
+    walked = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: let(zipped(found), lambda pairs: let(
+        pieces(pairs), lambda sized: F.flatten(F.zip_with(sized, starts(sized), lambda s, at: walk(s["c"], at))))))
+    return F.when(text.rlike(pattern), walked).otherwise(empty)
 
 
 def _mixed(run: Column) -> Column:
@@ -87,8 +103,11 @@ def _pick(run: Column, value) -> Column:
 
 def battery(run: Column, p: BatteryParams) -> Column:
     """z of one run: how far its three statistics are from those of ordinary names, towards randomness."""
-    text = F.translate(run, "-_", "+/")
-    alphabet, coincidence = _pick(run, lambda e: e.alphabet), _pick(run, lambda e: e.coincidence)
+    return let(F.translate(run, "-_", "+/"), lambda text: let(_pick(run, lambda e: e.alphabet), lambda alphabet: _z(run, text, alphabet, p)))
+
+
+def _z(run: Column, text: Column, alphabet: Column, p: BatteryParams) -> Column:
+    coincidence = _pick(run, lambda e: e.coincidence)
     n, size = F.length(run).cast("double"), F.length(alphabet).cast("double")
     squares = F.aggregate(
         F.sequence(F.lit(1), F.length(alphabet)), F.lit(0.0),
@@ -98,12 +117,18 @@ def battery(run: Column, p: BatteryParams) -> Column:
     uniform = (size - 1 + n * excess - chi) / F.sqrt(2 * (size - 1) + 4 * n * excess)
     runs = F.size(F.regexp_extract_all(text, F.lit("[a-z]+|[A-Z]+|[0-9]+|[+/]+"), F.lit(0)))
     changes = (runs - 1 - (n - 1) * p.word_changes) / F.sqrt((n - 1) * p.word_changes * (1 - p.word_changes))
+
+    def correlation(off: Column) -> Column:
+        spread = F.aggregate(off, F.lit(0.0), lambda a, x: a + x * x)
+        pairs = F.zip_with(F.slice(off, 1, F.length(run) - 1), F.slice(off, 2, F.length(run) - 1), lambda a, b: a * b)
+        return F.when(spread > 0, F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / spread).otherwise(F.lit(1.0))
+
+    def lagged(at: Column) -> Column:
+        mean = F.aggregate(at, F.lit(0.0), lambda a, x: a + x) / n
+        return let(mean, lambda m: let(F.transform(at, lambda x: x - m), correlation))
+
     at = F.transform(F.split(text, ""), lambda c: F.instr(alphabet, c).cast("double"))
-    mean = F.aggregate(at, F.lit(0.0), lambda a, x: a + x) / n
-    off = F.transform(at, lambda x: x - mean)
-    spread = F.aggregate(off, F.lit(0.0), lambda a, x: a + x * x)
-    lagged = F.aggregate(F.zip_with(F.slice(off, 1, F.length(run) - 1), F.slice(off, 2, F.length(run) - 1), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    serial = (p.word_correlation - F.abs(F.when(spread > 0, lagged / spread).otherwise(F.lit(1.0)))) * F.sqrt(n)
+    serial = (p.word_correlation - F.abs(let(at, lagged))) * F.sqrt(n)
     return F.round((uniform + changes + serial) / math.sqrt(3), 6)
 
 
@@ -117,8 +142,7 @@ def scanned(docs: DataFrame, p: BatteryParams) -> DataFrame:
         F.filter(_matches(text, RUN), lambda m: _mixed(m["hit"])).alias("runs"))
 
     def tested(m: Column) -> Column:
-        z = battery(m["hit"], p)
-        strength = F.when(z > 0, F.least(F.lit(p.bins - 1), F.floor(z * z / 2 * 8))).otherwise(F.lit(0)).cast("int")
+        strength = let(battery(m["hit"], p), lambda z: F.when(z > 0, F.least(F.lit(p.bins - 1), F.floor(z * z / 2 * 8))).otherwise(F.lit(0)).cast("int"))
         group = F.least(F.lit(p.classes), F.floor(F.length(m["hit"]) / p.length_class)).cast("int")
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), group.alias("group"), strength.alias("bin"))
 
