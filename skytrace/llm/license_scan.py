@@ -3,8 +3,8 @@
 Training (a few thousand short paragraphs, on the driver): template statements of each family, whole, shortened, with words missing or inside
 other text, against a bounded sample of the corpus' own paragraphs and against paragraphs with stray template words. A multinomial logistic
 regression with an unknown class learns from presence of word 1- to 3-grams of the templates. Anchor words and features come from the templates
-alone; the sample only sets weights. A temperature fitted on held-back paragraphs calibrates the probabilities. Scoring: paragraphs (lines) that hold an anchor word
-are cut into n-grams, joined with the weight table (bounded by the templates) and summed. A prediction counts if its probability is high
+alone; the sample only sets weights. A temperature fitted on held-back paragraphs calibrates the probabilities. Scoring: paragraphs (single lines, and
+overlapping runs of lines for notices that are wrapped; comment marks and blank lines hold no words) that hold an anchor word are cut into n-grams, joined with the weight table (bounded by the templates) and summed. A prediction counts if its probability is high
 enough and a template statement of that family is covered by the paragraph's n-grams.
 """
 
@@ -14,10 +14,10 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skytrace.llm.common import doc_key, lookup, text_or_empty
+from skytrace.llm.common import doc_key, let, lookup, text_or_empty
 from skytrace.session import store
 
 # Short statements by which published works name their licence.
@@ -89,6 +89,7 @@ class ScanParams:
     background_coverage: float = 0.4  # a sampled paragraph with so much of a statement may be a notice and isn't trained on as background
     variants: int = 40  # training paragraphs per statement
     probability: float = 0.5
+    run_lines: int = 8  # lines of a run; runs start at every half of it, so a notice of up to half of it and one line lies in one
     coverage: float = 0.7  # share of a statement's n-grams that the paragraph must hold
     seed: int = 11
 
@@ -205,12 +206,38 @@ def _grams(tokens: Column) -> Column:
 
 
 def classified(docs: DataFrame, model: LicenseModel, p: ScanParams = ScanParams()) -> DataFrame:
-    """(row, line_no, family, probability) of paragraphs with a confirmed licence; ``docs`` has row (a document's key) and text."""
-    spark = docs.sparkSession
+    """(row, line_no, family, probability, share) of paragraphs with a confirmed licence; ``docs`` has row (a document's key) and text.
+
+    Lines are judged one by one, then runs of lines. A run adds what no line in it has given; its line_no is the last line from which on the rest of the
+    run still covers as much of the statement, and of overlapping runs with one family the best covered counts (ties: the first).
+    """
     anchored = "(?i)(?<![a-z0-9])(?:" + "|".join(model.anchors) + ")(?![a-z0-9])"
-    text = F.col("text")
-    lines = docs.where(text.rlike(anchored)).select("row", F.posexplode(F.split(text, "\n")).alias("line_no", "line")).where(F.col("line").rlike(anchored)).distinct()
-    lines = store(lines.select("row", "line_no", _grams(_tokens(F.col("line"))).alias("grams")))
+    held = docs.where(F.col("text").rlike(anchored))
+    lines = held.select("row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(anchored)).distinct()
+    single = store(_confirmed(lines, model, p).drop("shape", "line"))
+    step = max(1, p.run_lines // 2)
+    runs = let(F.split("text", "\n"), lambda ls: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(ls) - 2, F.lit(0)), F.lit(step)),
+        lambda i: F.struct(i.alias("line_no"), F.array_join(F.slice(ls, i + 1, F.lit(p.run_lines)), "\n").alias("line"))))
+    wrapped = held.where(F.contains("text", F.lit("\n"))).select("row", F.inline(runs)).where(F.col("line").rlike(anchored)).distinct()
+    wrapped = store(_confirmed(wrapped, model, p))
+    given = single.select("row", "family", F.col("line_no").alias("at"))
+    inside = (given["row"] == wrapped["row"]) & (given["family"] == wrapped["family"]) & (given["at"] >= wrapped["line_no"]) & (given["at"] < wrapped["line_no"] + p.run_lines)
+    added = wrapped.join(given, inside, "left_anti")
+    by_start = Window.partitionBy("row", "family").orderBy("line_no")
+    fresh = F.coalesce((F.col("line_no") - F.lag("line_no").over(by_start) >= p.run_lines).cast("int"), F.lit(0))
+    added = added.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(by_start))
+    best = added.groupBy("row", "family", "island").agg(F.max_by(F.struct(*single.columns, "line", "shape"), F.struct("share", -F.col("line_no"))).alias("b")).select("b.*")
+    rest = let(F.split("line", "\n"), lambda ls: F.transform(
+        F.sequence(F.lit(1), F.size(ls)), lambda j: F.size(F.array_intersect(_grams(_tokens(F.array_join(F.slice(ls, j, F.lit(p.run_lines)), " "))), F.col("shape")))))
+    last = let(rest, lambda r: F.array_max(F.transform(r, lambda n, i: F.when(n == F.array_max(r), i))))
+    return single.unionByName(best.withColumn("line_no", F.col("line_no") + last).select(*single.columns))
+
+
+def _confirmed(lines: DataFrame, model: LicenseModel, p: ScanParams) -> DataFrame:
+    """(row, line_no, family, probability, share, shape, line) of those ``lines(row, line_no, line)`` whose licence the templates confirm."""
+    spark = lines.sparkSession
+    lines = store(lines.withColumn("grams", _grams(_tokens(F.col("line")))))
     classes = (*FAMILIES, "unknown")
     table = spark.createDataFrame([(g, [float(w) for w in model.weights[i]]) for i, g in enumerate(model.features)], "gram string, w array<double>")
     hits = lines.select("row", "line_no", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")
@@ -224,13 +251,15 @@ def classified(docs: DataFrame, model: LicenseModel, p: ScanParams = ScanParams(
     shapes = spark.createDataFrame([(f, sorted(grams(words(t)))) for f in FAMILIES for t in TEMPLATES[f]], "family string, shape array<string>")
     compared = named.join(F.broadcast(shapes), "family").join(lines, ["row", "line_no"])
     share = F.size(F.array_intersect("grams", "shape")) / F.size("shape")
-    return compared.withColumn("share", share).groupBy("row", "line_no", "family", "probability").agg(F.max("share").alias("share")).where(F.col("share") >= p.coverage)
+    best = compared.withColumn("share", share).groupBy("row", "line_no", "family", "probability").agg(
+        F.max("share").alias("share"), F.max_by("shape", F.struct("share", F.size("shape"))).alias("shape"), F.first("line").alias("line"))
+    return best.where(F.col("share") >= p.coverage)
 
 
 def scan_licenses(docs: DataFrame, p: ScanParams = ScanParams(), model: LicenseModel | None = None) -> DataFrame:
     """(doc_id, n_licenses, families, spans, confidence) for every row of ``docs(doc_id, text, ...)``.
 
-    Paragraphs are lines. families lists the distinct families by name; spans is line:family in line order; confidence is the largest probability
+    Paragraphs are lines and runs of lines (see :func:`classified`). families lists the distinct families by name; spans is line:family in line order; confidence is the largest probability
     (null without a licence). Null and empty texts have none. Repeated rows give repeated rows. An empty table trains on the templates alone.
     Other columns are not read. Without a ``model`` one is trained on the sample of ``docs`` that the parameters bound.
     """

@@ -54,6 +54,11 @@ def test_secret_edges(spark):
     assert secret_scan.scan_secrets(d.limit(0)).count() == 0
 
 
+def test_a_text_of_many_secrets(spark):
+    rows = [(1, " ".join(f"\U0001f600 password=Ab{i:08d}x {'0a' * 12}" for i in range(20_000)))]
+    check(rows, secret_scan.scan_secrets(documents(spark, rows)).collect())
+
+
 def test_battery_tells_random_from_names(spark):
     rng = random.Random(3)
     alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
@@ -99,6 +104,26 @@ def test_licenses_of_all_documents(spark, sf_dir):
     assert want <= got and len(got - want) <= 0.1 * len(want)
 
 
+def test_wrapped_notices_of_every_family(spark, prose):
+    """Statements wrapped at 72, 50 and 40 columns, with comment marks and text around, are found at their first line."""
+    import textwrap
+
+    model = license_scan.train(prose)
+    rows, want = [], {}
+    for i, (family, statement) in enumerate((f, s) for f in license_scan.FAMILIES for s in license_scan.TEMPLATES[f]):
+        for width, mark in ((72, ""), (50, "# "), (40, " * ")):
+            body = textwrap.wrap(statement, width)
+            if len(body) > 1:
+                before = ["some code here"] * (i % 7)
+                key = 1000 * width + i
+                rows.append((key, "\n".join([*before, *(mark + x for x in body), "the end of it"])))
+                want[key] = (family, len(before))
+    out = {r["doc_id"]: r for r in license_scan.scan_licenses(documents(spark, rows), model=model).collect()}
+    assert sum(out[k]["families"] == f for k, (f, _) in want.items()) >= 0.95 * len(want)
+    near = [abs(int(out[k]["spans"].split(":")[0]) - at) <= 1 for k, (f, at) in want.items() if out[k]["families"] == f]
+    assert np.mean(near) >= 0.9
+
+
 def test_license_edges(spark):
     s = license_scan.TEMPLATES["mit"][0]
     rows = [(1, None), (2, ""), (None, s), (3, s + "\n" + s), (3, s + "\n" + s), (4, "word " * 100_000 + s)]
