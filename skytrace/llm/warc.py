@@ -185,31 +185,6 @@ def _block(system: pafs.FileSystem, path: str, at: int, length: int) -> list[str
         return zlib.decompress(f.read_at(length, at)).decode().split("\n")
 
 
-def index_entries(parts: DataFrame, folder: str) -> DataFrame:
-    """(file, at, length) of all records, read from the index blocks."""
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = _open(folder)
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                with system.open_input_file(f"{root}/{name}.dir") as f:
-                    directory = json.loads(f.read())
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(directory)), pa.array([d[1] for d in directory], pa.int64()), pa.array([d[2] for d in directory], pa.int64())], ["file", "at", "length"])
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = _open(folder)
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = [json.loads(x.split("\t", 1)[1])[2:] for x in _block(system, f"{root}/{row['file']}", row["at"], row["length"])]
-                files, places, lengths = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(files), pa.array(places, pa.int64()), pa.array(lengths, pa.int64())], ["file", "at", "length"])
-
-    schema = "file string, at long, length long"
-    lines = parts.agg(F.sum("lines")).first()[0] or 0
-    listed = parts.select("file").mapInArrow(blocks, schema)
-    # a fixed number of tasks: a row is small, but stands for a block, so rows' bytes say nothing about the work
-    return listed.repartition(max(1, -(-lines // (32 * BLOCK_LINES))), "file", "at").mapInArrow(entries, schema)
-
-
 def read_records(entries: DataFrame, folder: str, size: int, payloads: bool = False) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]) from byte ranges of the archives.
 
@@ -250,7 +225,7 @@ def find(urls: DataFrame, parts: DataFrame, index_folder: str) -> DataFrame:
         raise ValueError("too many index parts: raise PART_LINES")
     lasts = [r["last"] for r in rows]
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(index_folder)
 
         @lru_cache(maxsize=64)
@@ -268,14 +243,29 @@ def find(urls: DataFrame, parts: DataFrame, index_folder: str) -> DataFrame:
                     blocks = directory(part["file"])
                     firsts = [b[0] for b in blocks]
                     for _, at, length, _ in blocks[max(0, bisect_left(firsts, key) - 1):bisect_right(firsts, key)]:
-                        lines = _block(system, f"{root}/{part['file']}", at, length)
-                        for line in lines[bisect_left(lines, key + "\t"):]:
-                            if not line.startswith(key + "\t"):
-                                break
-                            out.append({"url": url, **dict(zip(("file", "at", "length"), json.loads(line.split("\t", 1)[1])[2:]))})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("url", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("length", pa.int64())]))
+                        out.append({"url": url, "key": key, "file": part["file"], "at": at, "length": length})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("url", pa.string()), ("key", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("length", pa.int64())]))
 
-    return urls.select("url").mapInArrow(search, "url string, file string, at long, length long")
+    def captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _open(index_folder)
+        place, lines = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if place != (row["file"], row["at"]):
+                    place, lines = (row["file"], row["at"]), _block(system, f"{root}/{row['file']}", row["at"], row["length"])
+                key, out = row["key"] + "\t", []
+                for line in lines[bisect_left(lines, key):]:
+                    if not line.startswith(key):
+                        break
+                    out.append({"url": row["url"], **dict(zip(("file", "at", "length"), json.loads(line.split("\t", 1)[1])[2:]))})
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, pa.schema([("url", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("length", pa.int64())]))
+
+    # a key's captures may fill many blocks: blocks are spread over tasks, each opened once
+    lines = parts.agg(F.sum("lines")).first()[0] or 0
+    near = urls.select("url").mapInArrow(places, "url string, key string, file string, at long, length long")
+    spread = near.repartition(max(1, -(-lines // (32 * BLOCK_LINES))), "file", "at").sortWithinPartitions("file", "at", "key")
+    return spread.mapInArrow(captures, "url string, file string, at long, length long")
 
 
 def shared_folder(pages: DataFrame) -> str:
@@ -283,9 +273,24 @@ def shared_folder(pages: DataFrame) -> str:
     return f"{pages.sparkSession.sparkContext.getCheckpointDir()}/warc/{uuid.uuid4().hex}"
 
 
+def read_back(urls: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
+    """The records of all captures of ``urls(url)``, found by searching the index. Each revisit is held against the response it names: size and digest
+    are the response's, and a revisit without such a response is an error. If ``urls`` holds every url, fewer captures than the index lists are an error too."""
+    entries = store(find(urls.distinct(), parts, f"{folder}/index").select("file", "at", "length").distinct())
+    listed = parts.agg(F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes")).first()
+    if entries.count() != (listed["lines"] or 0):
+        raise RuntimeError(f"the index lists {listed['lines']} captures, the search found {entries.count()}")
+    records = store(read_records(entries, f"{folder}/archives", listed["bytes"] or 0))
+    whole = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("held"))
+    named = records.where("record_type = 'revisit'").select("refers_to", "payload_digest").distinct()
+    joined = lookup(records, store(whole.join(named, ["refers_to", "payload_digest"], "left_semi").distinct()), ["refers_to", "payload_digest"], "left")
+    lost = (F.col("record_type") == "revisit") & (F.col("held").isNull() | (F.col("held") != F.col("payload_bytes")))
+    size = F.when(lost, F.raise_error(F.concat(F.lit("no matching response for the revisit of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))).otherwise(F.col("payload_bytes"))
+    return joined.withColumn("payload_bytes", size.cast("long")).select(*records.columns)
+
+
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write all pages and their index, then read every record back through the index. An empty table writes no file."""
+    """Write all pages and their index, then find every page's url in the index and read its records. An empty table writes no file."""
     folder = folder or shared_folder(pages)
     parts = write_index(write_archives(pages, f"{folder}/archives"), f"{folder}/index")
-    size = parts.agg(F.sum("bytes")).first()[0] or 0
-    return read_records(index_entries(parts, f"{folder}/index"), f"{folder}/archives", size)
+    return read_back(pages.select(F.col("url").cast("string").alias("url")), parts, folder)

@@ -5,6 +5,7 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from skytrace.llm import common, warc
 from skytrace.llm.common import table
@@ -62,3 +63,20 @@ def test_lookup_by_url(spark, sf_dir, tmp_path, monkeypatch):
     assert sorted(r["page_id"] for r in rows) == [p for p, _ in want]
     payload = dict(want)
     assert all(bytes(r["payload"]) == payload[r["page_id"]] for r in rows if r["record_type"] == "response")
+
+
+def test_reading_back_needs_the_order_and_the_responses(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 2)
+    source = pages(spark)
+    urls, folder = source.select("url"), f"file://{tmp_path}"
+    placed = warc.write_archives(source, folder + "/archives")
+    good = warc.write_index(placed, folder + "/index")
+    assert warc.read_back(urls, good, folder).count() == len(ROWS)
+    # keys out of order: the search misses captures
+    broken = warc.write_index(placed.withColumn("key", F.reverse("key")), folder + "/index")
+    with pytest.raises(RuntimeError, match="the search found"):
+        warc.read_back(urls, broken, folder)
+    # without the response its revisits can't be resolved
+    lone = placed.where("page_id IS NULL OR page_id <> 9")
+    with pytest.raises(Exception, match="no matching response"):
+        warc.read_back(urls.where("url IS NULL OR url <> 'https://user@c.org'"), warc.write_index(lone, folder + "/index"), folder).collect()
