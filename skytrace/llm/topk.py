@@ -1,8 +1,8 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors are ordered by length and dealt into buckets of bounded size; a bucket keeps its longest vector's length, its members by falling
-length, and each coordinate of the unit vectors in order. Queries travel in blocks. A query's running threshold is its k-th best score so
-far: first from the bucket of the longest vectors, which every query visits, then from each bucket in turn. Divided by the query's
+length, and each coordinate of the unit vectors in order. Queries travel in blocks. A query's threshold is its k-th best score in the bucket of
+the longest vectors, which every query visits, with the id of that k-th: an equal score counts only with a smaller id. Divided by the query's
 and the bucket's length it is a local cosine threshold. Above one, the bucket can't hold a better vector. Otherwise the query chooses,
 per bucket, between the members long enough (length pruning) and those whose coordinate at the query's largest one lies in the range that such a
 cosine needs (coordinate pruning), whichever leaves fewer; their products are then computed exactly in integers.
@@ -109,8 +109,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _bucket(qids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of each query's best in this bucket, of those that reach the query's floor."""
+def _bucket(qids: np.ndarray, q: np.ndarray, floors: np.ndarray, kths: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(query_id, vec_id, score) of each query's best in this bucket, of those that beat the query's floor, at an equal score with an id up to the k-th's."""
     qn, cn = np.sqrt((q.astype(float) ** 2).sum(1)), np.sqrt((c.astype(float) ** 2).sum(1))
     order = np.argsort(-cn, kind="stable")
     ids, c, cn = ids[order], c[order], cn[order]
@@ -149,7 +149,7 @@ def _bucket(qids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray
     out: list[tuple[int, int, int]] = []
 
     def add(i: int, scores: np.ndarray, names: np.ndarray) -> None:
-        fine = (scores >= floors[i]) & (names != qids[i])
+        fine = ((scores > floors[i]) | ((scores == floors[i]) & (names <= kths[i]))) & (names != qids[i])
         scores, names = scores[fine], names[fine]
         out.extend((int(qids[i]), int(names[j]), int(scores[j])) for j in _best(scores, names, k))
 
@@ -177,7 +177,8 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             qids, q = _read(row, "q")
             ids, c = _read(row, "c")
             floors = np.array(row["q_floors"], float) if "q_floors" in row else np.full(len(qids), -np.inf)
-            got = _bucket(qids, q, floors, ids, c, k)
+            kths = np.array(row["q_kths"], np.int64) if "q_kths" in row else np.full(len(qids), 2**63 - 1)
+            got = _bucket(qids, q, floors, kths, ids, c, k)
             columns = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], schema=kind)
 
@@ -207,13 +208,15 @@ def top_k(vectors: DataFrame, is_query: str, p: RetrievalParams = RetrievalParam
     first = buckets.select("block", "top").orderBy(F.desc("top"), "block").limit(1).select(F.col("block").alias("c_block"), F.lit(0).alias("g"))
     tallest = F.broadcast(c.join(F.broadcast(first), "c_block"))
     seen = store(_named(queries, "q").withColumn("g", F.lit(0)).join(tallest, "g").mapInArrow(lambda it: _search(it, p.k), FOUND))
-    floor = _top(seen, p.k).groupBy("query_id").agg(F.when(F.count("*") >= p.k, F.min("score").cast("double")).alias("floor"))
+    full = F.count("*") >= p.k
+    floor = _top(seen, p.k).groupBy("query_id").agg(
+        F.when(full, F.min("score").cast("double")).alias("floor"), F.when(full & (F.abs(F.min("score")) < 2**53), F.max_by("vec_id", "rank")).alias("kth"))
     # 2. thresholds go back to their blocks, in the order of the ids; need: the length below which a bucket can't help any query of the block
     listed = queries.select("block", F.posexplode(F.arrays_zip("ids", "norms")).alias("place", "x")).select("block", "place", F.col("x.ids").alias("query_id"), F.col("x.norms").alias("norm"))
-    listed = listed.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    listed = listed.join(floor, "query_id", "left").withColumns({"floor": F.coalesce("floor", F.lit(float("-inf"))), "kth": F.coalesce("kth", F.lit(2**63 - 1))})
     need = F.when((F.col("floor") > 0) & (F.col("norm") > 0), F.col("floor") / F.col("norm")).when(F.col("floor") > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
-    floors = listed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "floor"))).alias("f"), F.min(need).alias("need"))
-    held = store(_named(queries.join(floors, "block").withColumn("floors", F.col("f.floor")).drop("f"), "q"))
+    floors = listed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "floor", "kth"))).alias("f"), F.min(need).alias("need"))
+    held = store(_named(queries.join(floors, "block").withColumns({"floors": F.col("f.floor"), "kths": F.col("f.kth")}).drop("f"), "q"))
     # 3. pairs of blocks by id, groups of buckets spread over tasks, pruned by length before any vector moves
     groups = max(1, min(1024, buckets.count()))
     left = held.select("q_block", "q_need", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
