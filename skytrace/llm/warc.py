@@ -248,18 +248,21 @@ def find(urls: DataFrame, parts: DataFrame, index_folder: str) -> DataFrame:
 
     def captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(index_folder)
-        place, lines = None, []
+        schema = pa.schema([("url", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("length", pa.int64())])
+        place, lines, out = None, [], []
         for batch in batches:
             for row in batch.to_pylist():
                 if place != (row["file"], row["at"]):
                     place, lines = (row["file"], row["at"]), _block(system, f"{root}/{row['file']}", row["at"], row["length"])
-                key, out = row["key"] + "\t", []
+                key = row["key"] + "\t"
                 for line in lines[bisect_left(lines, key):]:
                     if not line.startswith(key):
                         break
                     out.append({"url": row["url"], **dict(zip(("file", "at", "length"), json.loads(line.split("\t", 1)[1])[2:]))})
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, pa.schema([("url", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("length", pa.int64())]))
+                if len(out) >= BLOCK_LINES:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out = []
+        yield pa.RecordBatch.from_pylist(out, schema)
 
     # a key's captures may fill many blocks: blocks are spread over tasks, each opened once
     lines = parts.agg(F.sum("lines")).first()[0] or 0
