@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skytrace.llm.common import bound_batches, components, lookup, text_or_empty
+from skytrace.llm.common import bound_batches, components, give_back, lookup, text_or_empty
 from skytrace.llm.simhash import SEED, _splitmix, _word_blocks, fingerprint, keep_heads, text_key
 from skytrace.session import store
 
@@ -71,11 +71,15 @@ def _named_keys(texts: pa.Array) -> pa.Array:
         found = shingles(text)
         name = [xxhash.xxh64_intdigest(found.tobytes(), SEED)] if len(found) else []
         out.append(np.concatenate([np.array([fingerprint(text), *name], np.uint64), band_keys(found) if name else found]))
-    return _lists(out)
+    named = _lists(out)
+    give_back()
+    return named
 
 
 def _sets(texts: pa.Array) -> pa.Array:
-    return _lists([shingles(t) for t in _bytes(texts)])
+    sets = _lists([shingles(t) for t in _bytes(texts)])
+    give_back()
+    return sets
 
 
 def spanning(sets: list[np.ndarray]) -> list[tuple[int, int]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skytrace.llm.common import bound_batches, doc_key, lookup, text_or_empty
+from skytrace.llm.common import bound_batches, doc_key, give_back, lookup, text_or_empty
 from skytrace.session import store
 
 FILTER_BITS = 24
@@ -138,6 +138,7 @@ def _document_windows(docs: DataFrame, windows: DataFrame, p: WinnowParams) -> D
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], cands)],
                 ["doc_id", "dk", "n_words", "cands"])
+        give_back()
 
     keyed = bound_batches(docs).select("doc_id", doc_key().alias("dk"), text_or_empty().alias("text"))
     return keyed.mapInArrow(scan, SCHEMA.format(id=kind))

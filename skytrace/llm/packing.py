@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skytrace.llm.common import bound_batches, lookup, text_or_empty, vocabulary as vocabulary_file
+from skytrace.llm.common import bound_batches, give_back, lookup, text_or_empty, vocabulary as vocabulary_file
 from skytrace.session import store
 
 CAPACITY = 2048
@@ -51,6 +51,10 @@ class WordTokenizer:
         self.plain.normalizer = normalizers.Sequence([])
         self.ends = np.zeros(self.whole.get_vocab_size(), bool)
         self.ends[[i for token, i in self.whole.get_vocab().items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache: some 100 MB when it is full."""
         self.words: dict[bool, dict[str, bytes]] = {True: {}, False: {}}
         self.older: dict[bool, dict[str, bytes]] = {True: {}, False: {}}
 
@@ -213,7 +217,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
                     rows, places, held = [], [], 0
             if rows:
                 yield flush()
-        pa.default_memory_pool().release_unused()
+        coder.forget()
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return bound_batches(docs).select("doc_id", text_or_empty().alias("text")).mapInArrow(cut, PIECE.format(id=kind))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skytrace.llm.common import bound_batches
+from skytrace.llm.common import bound_batches, give_back
 
 WIDTH = 5
 SEGMENT = 64
@@ -221,5 +221,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, p: TrainParams = TrainParams()
         for batch in batches:
             texts = batch.column(at).cast(pa.large_binary())
             yield batch.filter(pa.array([score_text(shared.value, t.as_buffer().to_pybytes() if t.is_valid else b"") >= 0.5 for t in texts], pa.bool_()))
+        give_back()
 
     return bound_batches(docs).mapInArrow(run, docs.schema)
