@@ -35,40 +35,45 @@ MEDIAN_BINS = 1024
 
 
 def group_medians(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
-    """Exact medians per group, NULLs left out (NULL if nothing else is there).
+    """Exact medians per group as doubles, NULLs left out (NULL if nothing else is there).
 
-    Each group is histogrammed first, and only the bins that hold the middle ranks are sorted, so a hot group is spread.
+    All columns go through one plan with (group, column) as key: counts of the values are stored, each key is histogrammed, and
+    only the bins that hold the middle ranks are sorted, so a hot group is spread.
     """
-    out = df.groupBy(group).agg(F.count("*").alias("_rows")).drop("_rows")
-    for c in columns:
-        one = _binned_median(df.select(group, F.col(c).alias("_v")).where("_v IS NOT NULL"), group).withColumnRenamed("_median", c)
-        out = out.join(one, group, "left")
-    return out
+    if not columns:
+        return df.select(group).distinct()
+    stacked = F.array(*[F.struct(F.lit(i).alias("_var"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])
+    values = df.select(group, F.explode(stacked).alias("_x")).select(group, "_x.*")
+    # NULLs are counted too, so that groups without any value are known from the stored table
+    counted = store(values.groupBy(group, "_var", "_v").agg(F.count("*").alias("_n")))
+    medians = _binned_medians(counted.where("_v IS NOT NULL"), [group, "_var"])
+    wide = medians.groupBy(group).agg(*[F.max(F.when(F.col("_var") == i, F.col("_median"))).alias(c) for i, c in enumerate(columns)])
+    return counted.select(group).distinct().join(wide, group, "left")
 
 
-def _binned_median(df: DataFrame, group: str, bins: int = MEDIAN_BINS) -> DataFrame:
-    counted = df.groupBy(group, "_v").agg(F.count("*").alias("_n"))
-    span = counted.groupBy(group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
-    # the span table has one row per group, a group's rows are spread by the value hash
+def _binned_medians(counted: DataFrame, keys: list[str], bins: int = MEDIAN_BINS) -> DataFrame:
+    """(*keys, _median) of a stored table of values and their counts (*keys, _v, _n)."""
+    # one row per key, a key's rows are spread by the value hash
+    span = store(counted.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")))
     position = F.try_divide((F.col("_v") - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo"))
-    binned = attach(counted, span, [group], "_v").withColumn(
+    binned = attach(counted, span, keys, "_v", part_of=span).withColumn(
         "_bin", F.least(F.coalesce(F.floor(position), F.lit(0)), F.lit(bins - 1)).cast("int")
     )
-    per_bin = binned.groupBy(group, "_bin").agg(F.sum("_n").alias("_bn"), F.first("_total").alias("_total"))
-    upto = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    middle = (
+    per_bin = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bn"), F.first("_total").alias("_total"))
+    upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    middle = store(
         per_bin.withColumn("_end", F.sum("_bn").over(upto))
         .withColumn("_start", F.col("_end") - F.col("_bn"))
         .withColumn("_r1", F.floor((F.col("_total") + 1) / 2))
         .withColumn("_r2", F.floor(F.col("_total") / 2) + 1)
         .where("(_start < _r1 AND _r1 <= _end) OR (_start < _r2 AND _r2 <= _end)")
-        .select(group, "_bin", "_start", "_r1", "_r2")
+        .select(*keys, "_bin", "_start", "_r1", "_r2")
     )
-    inside = Window.partitionBy(group, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        attach(binned.select(group, "_bin", "_v", "_n"), middle, [group, "_bin"], "_v")
+        attach(binned.select(*keys, "_bin", "_v", "_n"), middle, [*keys, "_bin"], "_v", part_of=middle)
         .withColumn("_to", F.col("_start") + F.sum("_n").over(inside))
         .withColumn("_from", F.col("_to") - F.col("_n"))
     )
     hit = lambda r: F.max(F.when((F.col("_from") < F.col(r)) & (F.col(r) <= F.col("_to")), F.col("_v")))
-    return ranked.groupBy(group).agg(((hit("_r1") + hit("_r2")) / 2.0).alias("_median"))
+    return ranked.groupBy(*keys).agg(((hit("_r1") + hit("_r2")) / 2.0).alias("_median"))

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import fixtures as fx
+from skytrace import session
 from skytrace.functions import kernels, special, vectors
 from skytrace.functions.satellite import CHANNELS, Satellite, brightness_temperature, parallax, spectral_radiance
 from skytrace.operators import aggregates, clustering, components, featurespace, filters, meanshift, neighbours, ordering, tracking, trackstats
@@ -427,6 +428,23 @@ def test_medians(spark):
     assert len(got) == 5
 
 
+@pytest.mark.parametrize("limit", [session.BROADCAST_ROWS, 0])
+def test_medians_of_several_columns(spark, monkeypatch, limit):
+    """One plan for all columns, of other types too, with broadcast and with salted lookups; NULLs count in no column."""
+    monkeypatch.setattr(session, "BROADCAST_ROWS", limit)
+    rng = np.random.default_rng(3)
+    rows = [(int(g), None if rng.random() < 0.3 else float(v), int(10 * v)) for g, v in zip(rng.integers(0, 3, 300), rng.normal(0, 5, 300))]
+    rows += [(7, None, None), (7, None, 4), (8, None, None)]
+    got = ordering.group_medians(spark.createDataFrame(rows, "g int, v double, u int"), "g", ["v", "u"]).collect()
+    assert sorted(r["g"] for r in got) == [0, 1, 2, 7, 8]
+    for r in got:
+        for at, name in ((1, "v"), (2, "u")):
+            want = [row[at] for row in rows if row[0] == r["g"] and row[at] is not None]
+            assert r[name] == (pytest.approx(float(np.median(want))) if want else None)
+    empty = ordering.group_medians(spark.createDataFrame([], "g int, v double"), "g", ["v"])
+    assert empty.columns == ["g", "v"] and empty.isEmpty()
+
+
 def test_rank_within(spark):
     rng = np.random.default_rng(7)
     rows = [(int(g), int(i), float(np.round(v, 1))) for i, (g, v) in enumerate(zip(rng.integers(0, 3, 400), rng.exponential(2, 400)))]
