@@ -14,7 +14,7 @@ from skytrace.functions.kernels import KERNELS
 from skytrace.operators import aggregates, featurespace, meanshift
 from skytrace.plans.detection import Detection, detect
 from skytrace.plans.tracking import Tracks, graph, track
-from skytrace.session import cut
+from skytrace.session import cut, keep
 from skytrace.sources import tables as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,7 +80,7 @@ class World:
     @cached_property
     def graph(self) -> tuple[DataFrame, DataFrame]:
         nodes, links = graph(self.tracks)
-        return cut(nodes), cut(links)
+        return keep(nodes), keep(links)
 
     @cached_property
     def medians(self) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skytrace.session import attach, row_count, store
+from skytrace.session import attach, keep, row_count
 
 ROWS_PER_PART = 200_000
 _LOCAL_BITS = 33  # of monotonically_increasing_id: the row's number inside its partition
@@ -20,7 +20,7 @@ def number_rows(df: DataFrame, order: str | list[str | Column], out: str) -> Dat
     order = [order] if isinstance(order, str) else order
     parts = max(1, -(-row_count(df) // ROWS_PER_PART))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    placed = store(ranged.withColumn("_place", F.monotonically_increasing_id()))
+    placed = keep(ranged.withColumn("_place", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_place", _LOCAL_BITS))
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -45,7 +45,7 @@ def group_medians(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
     stacked = F.array(*[F.struct(F.lit(i).alias("_var"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])
     values = df.select(group, F.explode(stacked).alias("_x")).select(group, "_x.*")
     # NULLs are counted too, so that groups without any value are known from the stored table
-    counted = store(values.groupBy(group, "_var", "_v").agg(F.count("*").alias("_n")))
+    counted = keep(values.groupBy(group, "_var", "_v").agg(F.count("*").alias("_n")))
     medians = _binned_medians(counted.where("_v IS NOT NULL"), [group, "_var"])
     wide = medians.groupBy(group).agg(*[F.max(F.when(F.col("_var") == i, F.col("_median"))).alias(c) for i, c in enumerate(columns)])
     return counted.select(group).distinct().join(wide, group, "left")
@@ -54,14 +54,14 @@ def group_medians(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
 def _binned_medians(counted: DataFrame, keys: list[str], bins: int = MEDIAN_BINS) -> DataFrame:
     """(*keys, _median) of a stored table of values and their counts (*keys, _v, _n)."""
     # one row per key, a key's rows are spread by the value hash
-    span = store(counted.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")))
+    span = keep(counted.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")))
     position = F.try_divide((F.col("_v") - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo"))
     binned = attach(counted, span, keys, "_v", part_of=span).withColumn(
         "_bin", F.least(F.coalesce(F.floor(position), F.lit(0)), F.lit(bins - 1)).cast("int")
     )
     per_bin = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bn"), F.first("_total").alias("_total"))
     upto = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    middle = store(
+    middle = keep(
         per_bin.withColumn("_end", F.sum("_bn").over(upto))
         .withColumn("_start", F.col("_end") - F.col("_bn"))
         .withColumn("_r1", F.floor((F.col("_total") + 1) / 2))

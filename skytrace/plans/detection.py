@@ -12,7 +12,7 @@ from skytrace.functions.weights import IR_108, WeightFunction, initiation_weight
 from skytrace.operators import aggregates, clustering, featurespace, filters, meanshift
 from skytrace.operators.featurespace import Variable
 from skytrace.params import DetectionParams, Grid
-from skytrace.session import attach, cut, store
+from skytrace.session import attach, cut, keep, store
 
 
 @dataclass
@@ -126,4 +126,4 @@ def describe(members: DataFrame, grid: Grid, names: list[str], blocked: DataFram
     margin = clustering.margin_flags(members, blocked, grid).select("cluster", F.lit(True).alias("_m"))
     table = summary.join(radius, "cluster").join(margin, "cluster", "left")
     table = table.withColumn("has_margin", F.coalesce("_m", F.lit(False))).drop("_m")
-    return store(clustering.number_clusters(cut(table), first_uuid))
+    return keep(clustering.number_clusters(cut(table), first_uuid))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skytrace.operators import aggregates, tracking, trackstats
 from skytrace.params import Grid, TrackingParams
-from skytrace.session import attach, cut, store
+from skytrace.session import attach, cut, keep
 
 
 @dataclass
@@ -45,7 +45,7 @@ def track(
 
     ``known(cluster, id)`` gives ids from an earlier run to the clusters of the first scan, for incremental runs.
     """
-    pairs = store(tracking.scan_pairs(scans, params))
+    pairs = keep(tracking.scan_pairs(scans, params))
     base = clusters
     if params.correlation_weight != 0.0 and params.tracking_variable:
         lo, hi = limits[params.tracking_variable]
@@ -53,14 +53,14 @@ def track(
         base = cut(clusters.join(hist.select("cluster", "hist"), "cluster"))
     candidates = cut(tracking.candidate_pairs(base, members, pairs, grid, params))
     maxima = tracking.pair_maxima(candidates, base, pairs, grid, params)
-    scored = store(tracking.score(candidates, maxima, pairs, params))
+    scored = keep(tracking.score(candidates, maxima, pairs, params))
     matches = tracking.match(scored)
     via = lambda df, how: df.select("pair", "n", "m", F.lit(how).alias("via"))
     merge_events, merge_tags = tracking.merges(scored, matches, params)
-    links = store(via(matches, "match").unionByName(via(merge_tags, "merge")))
+    links = keep(via(matches, "match").unionByName(via(merge_tags, "merge")))
     split_events, split_tags = tracking.splits(scored, links, params)
-    links = store(links.unionByName(via(split_tags, "split")))
-    merge_events, split_events = store(merge_events), store(split_events)
+    links = keep(links.unionByName(via(split_tags, "split")))
+    merge_events, split_events = keep(merge_events), keep(split_events)
     retagged = links.where("via <> 'match'").drop("via")
     if known is None:
         fresh = tracking.fresh_ids(clusters, matches, highest_id)
@@ -69,10 +69,10 @@ def track(
         fresh = tracking.fresh_ids(rest, matches, highest_id).select("cluster", "new_id").unionByName(
             known.select("cluster", F.col("id").alias("new_id"))
         )
-    fresh = store(fresh)
-    ids = store(tracking.resolve_ids(clusters, links, fresh))
-    tracked = store(_tracked(clusters, ids, matches, pairs, grid))
-    events = store(_events(clusters, ids, pairs, matches, links, merge_events, split_events))
+    fresh = keep(fresh)
+    ids = keep(tracking.resolve_ids(clusters, links, fresh))
+    tracked = keep(_tracked(clusters, ids, matches, pairs, grid))
+    events = keep(_events(clusters, ids, pairs, matches, links, merge_events, split_events))
     return Tracks(pairs, scored, matches, merge_events, split_events, retagged, fresh, ids, tracked, events)
 
 

@@ -9,8 +9,8 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A lookup side of at most this many (narrow) rows is broadcast; a larger one is salted.
-BROADCAST_ROWS = 500_000
+# A lookup side of at most this many (narrow) rows is broadcast; a larger one is salted. Several are on the driver at once.
+BROADCAST_ROWS = 100_000
 SALTS = 16
 
 
@@ -45,6 +45,20 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """:func:`store` for tables of narrow rows whose number grows with the input.
+
+    Their files are small, but packed numbers take many times that size in a broadcast, which the driver builds. So they are broadcast by their
+    size only within ``BROADCAST_ROWS``; beyond that their joins merge.
+    """
+    table = store(df)
+    rows = table.count()
+    if rows > BROADCAST_ROWS:
+        table = table.hint("merge")
+    _COUNTS[table] = rows
+    return table
+
+
 _COUNTS: WeakKeyDictionary = WeakKeyDictionary()
 
 

@@ -47,6 +47,22 @@ def test_large_table_plans_agree(spark, sf_dir, no_broadcast, monkeypatch):
     assert _run(spark, sf_dir) == normal
 
 
+def test_kept_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    """A broadcast is chosen by the files' size, which says little about packed numbers."""
+    rows = spark.range(2000).select(F.col("id").alias("cluster"), (F.col("id") * 3).alias("uuid"))
+    few = session.keep(rows.limit(20))
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 1000)
+    many, big = session.keep(rows), session.cut(rows)
+    assert session.row_count(many) == 2000
+    for how in ("inner", "left", "left_anti"):
+        out = big.join(many.where("uuid >= 0").select("cluster"), "cluster", how)
+        assert "Broadcast" not in _plan(out) and out.count() == (0 if how == "left_anti" else 2000)
+    assert "BroadcastHashJoin" in _plan(big.join(few, "cluster"))
+    # a counted lookup out of such a table is still broadcast
+    small = session.keep(many.where("cluster < 20"))
+    assert "BroadcastHashJoin" in _plan(session.attach(many, small, ["cluster"], "uuid", part_of=small))
+
+
 def test_shift_plan(spark, sf_dir, no_broadcast):
     points = tb.cells(spark, sf_dir).select("scan", "y", "x", F.col("y").cast("double").alias("c_y"), F.col("x").cast("double").alias("c_x"), F.lit(1.0).alias("w"))
     points = points.withColumn("v", F.lit(1.0))
