@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skytrace.functions.kernels import Kernel
 from skytrace.operators.featurespace import round_to_grid, to_gridpoints
-from skytrace.operators.neighbours import ellipsoid_pairs, keys
+from skytrace.operators.neighbours import ellipsoid_pairs, home_blocks, keys
 from skytrace.params import Grid
 from skytrace.session import cut
 
@@ -88,36 +88,53 @@ def iterate(
     """Move every seed along its mean-shift vector until the step is shorter than ``epsilon``.
 
     Returns the whole trajectory: (scan, seed, step, c_<dim>.., <var>.., shift_norm). Only seeds still moving take part
-    in a round, so late rounds are small; each round is one range join.
+    in a round, so late rounds are small; each round is one range join. The points are dealt out to their blocks once and kept there; a
+    round moves nothing but its seeds, copied to the blocks they reach.
     """
     columns = ["c_" + d for d in grid.dims] + names
+    # positions between grid lines sit up to half a cell from their index
+    reach = {d: n + 1 for d, n in grid.reach(tuple(ranges[: len(grid.dims)])).items()}
+    slim = home_blocks(points.select("scan", *grid.dims, *columns, *([weight] if weight else [])), reach)
+    dealt = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    search = slim.repartition(dealt, *keys(grid.dims)).persist()
     position = cut(seeds.select("scan", "seed", *columns))
     parts = [position.withColumn("step", F.lit(0)).withColumn("shift_norm", F.lit(None).cast("double"))]
     for step in range(1, max_iterations + 1):
-        cells = position
-        for d, o, r in zip(grid.dims, grid.origin, grid.resolution):
-            cells = cells.withColumn(d, F.round((F.col("c_" + d) - F.lit(o)) / F.lit(r)).cast("int"))
-        moved = shift_vectors(cells, grid, names, ranges, kernel, size, weight, search=points, normalise=False)
-        # a seed without neighbours drops out of the join: its shift is zero and it has converged
-        total = F.lit(0.0)
-        for c in columns:
-            s = F.col("s_" + (c[2:] if c.startswith("c_") else c))
-            total = total + s * s
-        new = {c: F.col(c) + F.col("s_" + (c[2:] if c.startswith("c_") else c)) for c in columns}
-        nxt = moved.withColumn("shift_norm", F.sqrt(total)).select(
-            "scan", "seed", *[e.alias(c) for c, e in new.items()], "shift_norm"
-        )
-        nxt = cut(nxt)
+        nxt = cut(_moved(position, search, grid, columns, reach, ranges, kernel, size, weight))
         parts.append(nxt.withColumn("step", F.lit(step)))
         position = nxt.where(F.col("shift_norm") >= epsilon).drop("shift_norm")
         if position.isEmpty():
             break
+    search.unpersist()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _moved(
+    position: DataFrame, search: DataFrame, grid: Grid, columns: list[str], reach: dict[str, float], ranges: tuple[float, ...],
+    kernel: Kernel | None, size: float, weight: str | None,
+) -> DataFrame:
+    """Seeds at the weighted mean of the points around them, with the length of the step. A seed without neighbours drops out:
+    its shift is zero and it has converged."""
+    cells = position
+    for d, o, r in zip(grid.dims, grid.origin, grid.resolution):
+        cells = cells.withColumn(d, F.round((F.col("c_" + d) - F.lit(o)) / F.lit(r)).cast("int"))
+    pairs = ellipsoid_pairs(search, cells, reach, columns, list(ranges), blocked=True)
+    mass = _mass(F.col("d2"), kernel, size, F.col(weight) if weight else None)
+    sums = pairs.withColumn("_m", mass).groupBy("scan", F.col("n_seed").alias("seed"), *["n_" + c for c in columns]).agg(
+        F.sum("_m").alias("_total"), *[F.sum(F.col("_m") * F.col(c)).alias("_s_" + c) for c in columns]
+    )
+    mean = {c: F.try_divide(F.col("_s_" + c), F.when(F.col("_total") != 0, F.col("_total"))) for c in columns}
+    shifted = sums.withColumns({"_d_" + c: F.coalesce(m - F.col("n_" + c), F.lit(0.0)) for c, m in mean.items()})
+    total = F.lit(0.0)
+    for c in columns:
+        total = total + F.col("_d_" + c) * F.col("_d_" + c)
+    new = [(F.col("n_" + c) + F.col("_d_" + c)).alias(c) for c in columns]
+    return shifted.select("scan", "seed", *new, F.sqrt(total).alias("shift_norm"))
+
+
 def iterate_end(trajectory: DataFrame) -> DataFrame:
     """End point of each trajectory and its number of steps."""
     others = [c for c in trajectory.columns if c not in ("scan", "seed", "step")]

@@ -26,6 +26,13 @@ def keys(dims: tuple[str, ...], on: tuple[str, ...] = ("scan",)) -> list[str]:
     return [*on, *(block_column(d) for d in dims)]
 
 
+def home_blocks(left: DataFrame, reach: dict[str, float], min_block: float = MIN_BLOCK) -> DataFrame:
+    """Rows with the block they live in, for a left side that is dealt out once and joined often."""
+    for d, n in reach.items():
+        left = left.withColumn(block_column(d), F.floor(F.col(d) / F.lit(max(min_block, 2 * n))).cast("bigint"))
+    return left
+
+
 def near_pairs(
     left: DataFrame,
     right: DataFrame,
@@ -33,16 +40,16 @@ def near_pairs(
     on: tuple[str, ...] = ("scan",),
     prefix: str = "n_",
     min_block: float = MIN_BLOCK,
+    blocked: bool = False,
 ) -> DataFrame:
     """Pairs whose distance along every dimension of ``reach`` is at most that reach.
 
-    Right columns come out prefixed; the ``on`` columns and block columns come once.
+    Right columns come out prefixed; the ``on`` columns and block columns come once. ``blocked`` says that the left side comes from
+    :func:`home_blocks` with the same reach.
     """
     dims = tuple(reach)
     side = {d: max(min_block, 2 * reach[d]) for d in dims}
-    home = left
-    for d in dims:
-        home = home.withColumn(block_column(d), F.floor(F.col(d) / F.lit(side[d])).cast("bigint"))
+    home = left if blocked else home_blocks(left, reach, min_block)
     halo = right.select(*on, *[F.col(c).alias(prefix + c) for c in right.columns if c not in on])
     for d in dims:
         n = F.col(prefix + d)
@@ -71,9 +78,10 @@ def ellipsoid_pairs(
     on: tuple[str, ...] = ("scan",),
     prefix: str = "n_",
     min_block: float = MIN_BLOCK,
+    blocked: bool = False,
 ) -> DataFrame:
     """Range search: neighbours y of x with sum(((x_i - y_i) / h_i)^2) <= 1. Adds ``d2``."""
-    pairs = near_pairs(left, right, reach, on, prefix, min_block)
+    pairs = near_pairs(left, right, reach, on, prefix, min_block, blocked)
     return pairs.withColumn("d2", ellipsoid_distance2(columns, bandwidth, prefix)).where("d2 <= 1.0")
 
 

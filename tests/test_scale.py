@@ -63,6 +63,17 @@ def test_kept_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
     assert "BroadcastHashJoin" in _plan(session.attach(many, small, ["cluster"], "uuid", part_of=small))
 
 
+def test_iterations_deal_their_points_out_once(spark, monkeypatch):
+    rows = [(1, y, x, float(y), float(x), 1.0 + (y == 3)) for y in range(6) for x in range(6)]
+    points = spark.createDataFrame(rows, "scan bigint, y int, x int, c_y double, c_x double, w double")
+    seeds = points.select("scan", (F.col("y") * 6 + F.col("x")).alias("seed"), "c_y", "c_x")
+    plans = []
+    monkeypatch.setattr(meanshift, "cut", lambda df: plans.append(_plan(df)) or session.cut(df))
+    path = meanshift.iterate(seeds, points, tb.GRID, [], (2.0, 2.0), kernels.gauss, 1.0, "w", max_iterations=3)
+    assert path.where("step > 0").count() > 36 and len(plans) > 2
+    assert all("InMemoryTableScan" in p for p in plans[1:])
+
+
 def test_shift_plan(spark, sf_dir, no_broadcast):
     points = tb.cells(spark, sf_dir).select("scan", "y", "x", F.col("y").cast("double").alias("c_y"), F.col("x").cast("double").alias("c_x"), F.lit(1.0).alias("w"))
     points = points.withColumn("v", F.lit(1.0))
