@@ -16,7 +16,8 @@ from skytrace.operators.clustering import cell_cover
 from skytrace.operators.neighbours import near_pairs
 from skytrace.operators.ordering import number_rows
 from skytrace.params import Grid, TrackingParams
-from skytrace.session import attach, cut, keep
+from skytrace.session import attach, cut
+from skytrace.session import keep as store
 
 # Scores are compared after rounding to this many digits.
 DIGITS = 9
@@ -189,7 +190,7 @@ def match(scored: DataFrame) -> DataFrame:
     """
     state = scored.where("possible").select("pair", "n", "m", "likelihood", "dr_m", "dt")
     while True:
-        state = keep(_match_round(_match_round(state.drop("hit"))))
+        state = store(_match_round(_match_round(state.drop("hit"))))
         if state.where("NOT hit").isEmpty():
             return state.drop("hit")
 
@@ -270,12 +271,12 @@ def _events(candidates: DataFrame, hub: str, leaf: str, params: TrackingParams)
 
 def merges(scored: DataFrame, matches: DataFrame, params: TrackingParams) -> tuple[DataFrame, DataFrame]:
     """(events: pair, n, parts = previous clusters), (re-tags: pair, n, m)."""
-    return _events(keep(merge_candidates(scored, matches, params)), "n", "m", params)
+    return _events(store(merge_candidates(scored, matches, params)), "n", "m", params)
 
 
 def splits(scored: DataFrame, links: DataFrame, params: TrackingParams) -> tuple[DataFrame, DataFrame]:
     """(events: pair, m, parts = current clusters), (re-tags: pair, m, n)."""
-    return _events(keep(split_candidates(scored, links, params)), "m", "n", params)
+    return _events(store(split_candidates(scored, links, params)), "m", "n", params)
 
 
 def _double(state: DataFrame) -> DataFrame:
@@ -297,9 +298,9 @@ def resolve_ids(clusters: DataFrame, links: DataFrame, fresh: DataFrame) -> Data
     state = roots.select("cluster", F.col("cluster").alias("anc"), F.lit(True).alias("fin")).unionByName(
         up.join(started, "anc", "left").select("cluster", "anc", F.coalesce("fin", F.lit(True)).alias("fin"))
     )
-    state = keep(_double(state))
+    state = store(_double(state))
     while not state.where("NOT fin").isEmpty():
-        state = keep(_double(_double(state)))
+        state = store(_double(_double(state)))
     # all clusters of a long track share one root: a size-checked lookup
     numbers = fresh.select(F.col("cluster").alias("anc"), F.col("new_id").alias("id"))
     return attach(state.drop("fin"), numbers, ["anc"], "cluster", part_of=fresh).select("cluster", "id")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from skytrace.functions.vectors import vec
 from skytrace.params import Grid
-from skytrace.session import attach, cut, keep
+from skytrace.session import attach, cut
+from skytrace.session import keep as store
 
 CONTINUE, SPLIT, MERGE = 0, 1, 2
 
@@ -189,20 +190,20 @@ def linked_nodes(link_table: DataFrame, roots: DataFrame, max_level: int = 1) ->
 
     free = link_table.where(F.col("type") == CONTINUE).select(F.col("target").alias("n"), F.col("source").alias("m"))
     ends = link_table.select(F.col("source").alias("cluster")).union(link_table.select("target")).union(roots.select("uuid"))
-    nodes = keep(ends.distinct())
-    chains = keep(resolve_ids(nodes, free, nodes.withColumn("new_id", F.col("cluster"))).select(F.col("cluster").alias("uuid"), F.col("id").alias("chain")))
+    nodes = store(ends.distinct())
+    chains = store(resolve_ids(nodes, free, nodes.withColumn("new_id", F.col("cluster"))).select(F.col("cluster").alias("uuid"), F.col("id").alias("chain")))
     paid = link_table.where(F.col("type") != CONTINUE)
     paid = paid.select(F.col("source").alias("uuid"), F.col("target").alias("other")).union(paid.select("target", "source")).distinct()
     far = chains.select(F.col("uuid").alias("other"), F.col("chain").alias("to"))
-    paid = keep(paid.join(chains, "uuid").join(far, "other").select("chain", "other", "to").distinct())
-    best = frontier = keep(roots.join(chains, "uuid").select("root", "chain", F.lit(0).alias("level")).distinct())
+    paid = store(paid.join(chains, "uuid").join(far, "other").select("chain", "other", "to").distinct())
+    best = frontier = store(roots.join(chains, "uuid").select("root", "chain", F.lit(0).alias("level")).distinct())
     for level in range(1, max_level + 1):
         reached = frontier.join(paid, "chain").select("root", F.col("to").alias("chain")).distinct()
-        frontier = keep(reached.join(best.hint("merge"), ["root", "chain"], "left_anti").withColumn("level", F.lit(level)))
+        frontier = store(reached.join(best.hint("merge"), ["root", "chain"], "left_anti").withColumn("level", F.lit(level)))
         best = best.unionByName(frontier)
         if frontier.isEmpty():
             break
-    inside = keep(best.join(chains, "chain").select("root", "uuid", "level"))
+    inside = store(best.join(chains, "chain").select("root", "uuid", "level"))
     rim = frontier.join(paid, "chain").select("root", F.col("other").alias("uuid")).distinct()
     return inside.unionByName(rim.join(inside, ["root", "uuid"], "left_anti").withColumn("level", F.lit(max_level + 1)))
 
