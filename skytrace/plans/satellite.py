@@ -18,7 +18,7 @@ from skytrace.operators.featurespace import Variable
 from skytrace.params import DetectionParams, Grid, TrackingParams
 from skytrace.plans.detection import Detection, detect
 from skytrace.plans.tracking import Tracks, track
-from skytrace.session import attach, store
+from skytrace.session import attach, keep
 
 SCORED = [IR_108, WV_062, IR_134]
 # Scans may be a second or so off their 15 minutes.
@@ -89,7 +89,7 @@ def _coldest(channels: DataFrame, grid: Grid, spatial: tuple[float, ...]) -> Dat
 
 def current(channels: DataFrame, grid: Grid, spatial: tuple[float, ...]) -> DataFrame:
     """The scans' own channels as the score takes them."""
-    return store(_coldest(channels, grid, spatial))
+    return keep(_coldest(channels, grid, spatial))
 
 
 def compare_with_previous(
@@ -106,10 +106,10 @@ def compare_with_previous(
     on = ["scan", *grid.dims]
     values = channels.select(*on, *SCORED)
     inside = found.members.select(*on, "cluster", "gid", "pid", *["c_" + d for d in grid.dims]).join(values, on)
-    moved = store(shift_comparison(inside, tracks.matches, tracks.tracked, grid, SCORED))
-    linked = store(tracks.pairs.where("linked").select("scan"))
-    overlap = store(overlap_area(found.members, tracks.pairs).select("scan", "pid"))
-    return Comparison(found, tracks, current(channels, grid, spatial), store(_coldest(moved, grid, spatial)), overlap, linked)
+    moved = keep(shift_comparison(inside, tracks.matches, tracks.tracked, grid, SCORED))
+    linked = keep(tracks.pairs.where("linked").select("scan"))
+    overlap = keep(overlap_area(found.members, tracks.pairs).select("scan", "pid"))
+    return Comparison(found, tracks, current(channels, grid, spatial), keep(_coldest(moved, grid, spatial)), overlap, linked)
 
 
 def compared_weight(

@@ -51,7 +51,11 @@ def keep(df: DataFrame) -> DataFrame:
     Their files are small, but packed numbers take many times that size in a broadcast, which the driver builds. So they are broadcast by their
     size only within ``BROADCAST_ROWS``; beyond that their joins merge.
     """
-    table = store(df)
+    return counted(store(df))
+
+
+def counted(table: DataFrame) -> DataFrame:
+    """A table read from files, as :func:`keep` returns it."""
     rows = table.count()
     if rows > BROADCAST_ROWS:
         table = table.hint("merge")

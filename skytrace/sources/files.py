@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytrace.operators.ordering import number_rows
-from skytrace.session import cut
+from skytrace.session import counted, cut
 from skytrace.sources import radar
 from skytrace.sources.publish import latest
 
@@ -135,10 +135,10 @@ def read_radar_composites(spark: SparkSession, path: str, threshold: float | Non
 
 
 def read_clusters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stored (clusters, members, events) tables: the newest published version, or those of an incremental run."""
+    """Stored (clusters, members, events) tables: the newest published version, or those of an incremental run. They are counted: few bytes may hold many rows."""
     at = latest(spark, path)
     folder = path if at is None else f"{path}/versions/{at[1]}"
-    return tuple(spark.read.parquet(f"{folder}/{t}") for t in ("clusters", "members", "events"))
+    return tuple(counted(spark.read.parquet(f"{folder}/{t}")) for t in ("clusters", "members", "events"))
 
 
 def remap_members(members: DataFrame, grid) -> DataFrame:

@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from skytrace import session
+from skytrace.catalog.base import World
 from skytrace.functions import kernels
-from skytrace.operators import meanshift, ordering
+from skytrace.operators import clustering, meanshift, neighbours, ordering
+from skytrace.plans import satellite
 from skytrace.plans.detection import detect
 from skytrace.plans.tracking import track
-from skytrace.sources import sinks
+from skytrace.sources import files, sinks
 from skytrace.sources import tables as tb
 
 
@@ -63,6 +65,67 @@ def test_kept_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
     assert "BroadcastHashJoin" in _plan(session.attach(many, small, ["cluster"], "uuid", part_of=small))
 
 
+def test_published_clusters_of_many_rows_are_not_broadcast(spark, tmp_path, monkeypatch):
+    clusters = spark.range(2000).select(F.lit(1).cast("bigint").alias("scan"), F.col("id").alias("cluster"), (F.col("id") + 7).alias("id"))
+    sinks.write_clusters(str(tmp_path), clusters, clusters.withColumn("gid", F.col("cluster")), clusters.limit(5))
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 1000)
+    read, members, events = files.read_clusters(spark, str(tmp_path))
+    out = members.select("cluster", "gid").join(read.select("cluster", "id"), "cluster")
+    assert "Broadcast" not in _plan(out) and out.count() == 2000
+    assert "BroadcastHashJoin" in _plan(session.cut(members).join(events.select("cluster"), "cluster"))
+
+
+def test_channels_of_many_cells_are_not_broadcast(spark, monkeypatch):
+    rows = [(1, y, x, 60.0 + y, 50.0 + x, 40.0) for y in range(6) for x in range(6)]
+    cells = spark.createDataFrame(rows, "scan bigint, y int, x int, " + ", ".join(c + " double" for c in satellite.SCORED))
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 10)
+    now = satellite.current(cells, tb.GRID, (2.0, 2.0))
+    out = session.cut(cells.select("scan", "y", "x")).join(now, ["scan", "y", "x"], "left")
+    assert "Broadcast" not in _plan(out) and out.count() == 36
+
+
+def test_blocks_copy_few_rows(spark, monkeypatch):
+    for reach, most in (({"y": 1, "x": 1}, 1.5), ({"y": 2, "x": 2}, 1.8), ({"z": 2, "y": 2, "x": 2}, 6.0), ({"y": 9, "x": 9}, 4.0)):
+        copies = 1.0
+        for d, side in neighbours.block_sides(reach).items():
+            copies *= (side + 2 * reach[d]) / side
+        assert copies <= most
+    rows = [(1, y, x, 30 * y + x) for y in range(-3, 16) for x in range(30)]
+    points = spark.createDataFrame(rows, "scan bigint, y int, x int, gid bigint")
+    pairs = lambda: {(r["gid"], r["n_gid"]) for r in neighbours.near_pairs(points, points, {"y": 2, "x": 1}).collect()}
+    got = pairs()
+    assert got == {(a[3], b[3]) for a in rows for b in rows if abs(a[1] - b[1]) <= 2 and abs(a[2] - b[2]) <= 1}
+    monkeypatch.setattr(neighbours, "BLOCK_CELLS", 16)
+    assert pairs() == got
+
+
+def test_cells_are_derived_once(spark, sf_dir):
+    world = World(spark, sf_dir)
+    for table in (world.points, world.weighted, world.cells.where("v_raw = 255")):
+        assert "l_suppkey" not in _plan(table) and "Exchange" not in _plan(table)
+    assert world.cells.exceptAll(tb.cells(spark, sf_dir)).isEmpty() and world.cells.count() == tb.cells(spark, sf_dir).count()
+
+
+def test_axes_are_looked_up(spark, no_broadcast):
+    members = spark.createDataFrame([(1, 4, 2, 5, 2.0, 5.0), (1, 9, 7, 7, 7.0, 7.0)], "scan bigint, gid bigint, y int, x int, c_y double, c_x double")
+    axis = spark.createDataFrame([("y", 2, 20.5), ("x", 5, 50.5), ("x", 7, 70.5)], "dim string, idx int, coord double")
+    out = sinks.replace_axes(session.cut(members), axis, ("y", "x"))
+    assert "SortMergeJoin" not in _plan(out)
+    assert sorted((r["gid"], r["c_y"], r["c_x"]) for r in out.collect()) == [(4, 20.5, 50.5), (9, 7.0, 70.5)]
+
+
+def test_small_clusters_leave_before_values_are_joined(spark):
+    """Rows may repeat: a point told twice counts twice, before and after."""
+    rows = [(1, g, g < 14, float(g)) for g in (1, 2, 2, 11, 12, 13, 14, 21)]
+    shifts = spark.createDataFrame(rows, "scan bigint, gid bigint, is_original boolean, v double")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (11, 11), (12, 11), (13, 11), (14, 11), (21, 21)], "gid bigint, cluster bigint")
+    order = lambda df: sorted(map(tuple, df.select("gid", "cluster", "v").collect()))
+    for minimum in (2, 3, 4):
+        kept = clustering.large_labels(labels, shifts, minimum)
+        want = clustering.at_least(clustering.finalise(labels, shifts), minimum)
+        assert order(clustering.finalise(kept, shifts)) == order(want)
+
+
 def test_iterations_deal_their_points_out_once(spark, monkeypatch):
     rows = [(1, y, x, float(y), float(x), 1.0 + (y == 3)) for y in range(6) for x in range(6)]
     points = spark.createDataFrame(rows, "scan bigint, y int, x int, c_y double, c_x double, w double")
