@@ -43,9 +43,10 @@ class World:
     def table(self, name: str) -> DataFrame:
         return tb.table(self.spark, self.sf_dir, name)
 
-    @property
+    @cached_property
     def cells(self) -> DataFrame:
-        return tb.cells(self.spark, self.sf_dir)
+        # points, off-limits cells and scan times are all taken from them
+        return keep(tb.cells(self.spark, self.sf_dir))
 
     @property
     def points(self) -> DataFrame:
@@ -62,7 +63,7 @@ class World:
         p = tb.DETECTION
         out = meanshift.shift_vectors(
             self.weighted, tb.GRID, ["v", "u"], p.ranges, KERNELS[p.kernel], p.kernel_size(tb.GRID), "w")
-        return cut(out)
+        return keep(out)
 
     @cached_property
     def detection(self) -> Detection:

@@ -116,6 +116,13 @@ def at_least(members: DataFrame, minimum: int) -> DataFrame:
     return attach(members, big, ["cluster"], "gid", part_of=big).select(*members.columns)
 
 
+def large_labels(labels: DataFrame, shifts: DataFrame, minimum: int) -> DataFrame:
+    """Labels of the clusters that :func:`at_least` leaves, found before the points' values are joined to them."""
+    labels = cut(labels)
+    big = cut(sizes(finalise(labels, shifts.select("scan", "gid", "is_original"))).where(F.col("size") >= minimum).select("cluster"))
+    return attach(labels, big, ["cluster"], "gid", part_of=big).select("gid", "cluster")
+
+
 def number_clusters(clusters: DataFrame, first_uuid: int = 0) -> DataFrame:
     """Consecutive uuid over all scans and consecutive id per scan, both in cluster order, starting at 1.
 

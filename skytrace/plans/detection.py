@@ -61,7 +61,7 @@ def detect(
         points = filters.convection(points, grid, params.convection_variable, ranges)
     smoothed = params.scale is not None
     if smoothed:
-        points = cut(filters.scale_space(points, grid, names, params.scale, params.symmetric_smoothing))
+        points = keep(filters.scale_space(points, grid, names, params.scale, params.symmetric_smoothing))
         # weights use each scan's limits of the filtered values
         seen = store(featurespace.value_ranges(points, names, ["scan"]))
         points = attach(points, seen, ["scan"], "gid", part_of=seen)
@@ -73,21 +73,21 @@ def detect(
     weighted = filters.weight_between(weighted, params.weight_lower, params.weight_upper)
     profile = kernel if kernel is not None else KERNELS[params.kernel]
     search_names, search_ranges = ([], spatial) if params.spatial_range_only else (names, ranges)
-    shifts = cut(meanshift.shift_vectors(weighted, grid, search_names, search_ranges, profile, size, "w"))
+    shifts = keep(meanshift.shift_vectors(weighted, grid, search_names, search_ranges, profile, size, "w"))
     if params.replace_zero_shifts:
-        shifts = cut(clustering.mean_neighbour_shift(shifts, grid, search_names))
+        shifts = keep(clustering.mean_neighbour_shift(shifts, grid, search_names))
     labels = clustering.components(shifts, grid)
     if params.add_strongest_neighbour:
         labels = cut(clustering.add_strongest_neighbour(labels, shifts, grid))
     if params.coalesce:
         labels = clustering.coalesce(labels, shifts, grid)
+    if params.min_cluster_size > 1:
+        labels = keep(clustering.large_labels(labels, shifts, params.min_cluster_size))
     members = clustering.finalise(labels, shifts)
     members = members.withColumns({"mode_src_" + n: F.col(n) for n in names})
     if smoothed:
         members = clustering.raw_values(members, stored, names)
-    members = cut(members)
-    if params.min_cluster_size > 1:
-        members = cut(clustering.at_least(members, params.min_cluster_size))
+    members = keep(members)
     if blocked is None:
         blocked = cells.where(featurespace.off_limits(variables)).select("scan", *grid.dims)
     return Detection(stored, weighted, shifts, members, describe(members, grid, names, blocked))

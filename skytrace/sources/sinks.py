@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skytrace.operators.featurespace import Variable
+from skytrace.session import attach, store
 from skytrace.sources.publish import publish
 
 
@@ -42,9 +43,10 @@ def variable_limits(cells: DataFrame, variables: list[Variable]) -> DataFrame:
 
 def replace_axes(members: DataFrame, axis: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     """Coordinates of stored members replaced by those of a template axis (dim, idx, coord)."""
+    axis = store(axis)
     for d in dims:
         line = axis.where(F.col("dim") == d).select(F.col("idx").cast("int").alias(d), F.col("coord").alias("_c"))
-        members = members.join(line, d, "left").withColumn("c_" + d, F.coalesce("_c", "c_" + d)).drop("_c")
+        members = attach(members, line, [d], "gid", "left", part_of=axis).withColumn("c_" + d, F.coalesce("_c", "c_" + d)).drop("_c")
     return members
 
 
