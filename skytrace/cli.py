@@ -155,6 +155,8 @@ def cmd_track(spark: SparkSession, a: argparse.Namespace) -> None:
     clusters, members, scans = (spark.read.parquet(f"{a.input}/detected/{t}") for t in ("clusters", "members", "scans"))
     result = track(clusters, members, scans, grid, tracking_params(a), {v.name: v.limits for v in variables})
     sinks.write_clusters(a.output, result.tracked, members, result.events)
+    # the cluster table under its plain name too, for readers that know no versions
+    result.tracked.write.mode("overwrite").parquet(f"{a.output}/clusters")
 
 
 def statistics(
