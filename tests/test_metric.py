@@ -61,3 +61,26 @@ def test_small_and_empty_tables(spark):
     left, right = df.where("i < 10"), df.where("i >= 30")
     out = metric.nearest(left, right, 2, COLUMNS, [1.0] * DIM, "i", "i", ("g",)).collect()
     assert {r["n_i"] for r in out} <= set(range(30, 40))
+
+
+def unclustered(spark, n, seed=0):
+    rng = np.random.default_rng(seed)
+    m = rng.normal(size=(n, DIM))
+    m /= np.sqrt((m * m).sum(axis=1))[:, None]
+    g = np.zeros(n, int)
+    return m, g, spark.createDataFrame([(i, 0, *map(float, m[i])) for i in range(n)], "i long, g int, " + ", ".join(f"{c} double" for c in COLUMNS))
+
+
+def searched(df):
+    refs = metric.references(df, COLUMNS)
+    x = metric.store(metric.placed(df, COLUMNS, refs))
+    return x, metric.regions_of(x, ["g"])
+
+
+def test_unclustered_vectors_leave_their_neighbours_only(spark):
+    """The triangle inequality leaves out hardly any region here: pairs must not leave the search one by one for that."""
+    _, _, df = unclustered(spark, 2000)
+    x, regions = searched(df)
+    asked = metric.first_radius(x, x, regions, 6, COLUMNS, "i", "i", ["g"])
+    count = metric.candidates(asked, metric._named(x, ["g"], "i"), regions, ["g"], "i").count()
+    assert 6 * 2000 <= count < 0.02 * 2000 ** 2
