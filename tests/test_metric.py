@@ -84,3 +84,22 @@ def test_unclustered_vectors_leave_their_neighbours_only(spark):
     asked = metric.first_radius(x, x, regions, 6, COLUMNS, "i", "i", ["g"])
     count = metric.candidates(asked, metric._named(x, ["g"], "i"), regions, ["g"], "i").count()
     assert 6 * 2000 <= count < 0.02 * 2000 ** 2
+
+
+def test_range_search_returns_only_pairs_within_the_radius(spark):
+    m, _, df = unclustered(spark, 1500, seed=3)
+    x, regions = searched(df)
+    pairs = metric.candidates(x.withColumn("_radius", metric.F.lit(0.6)), metric._named(x, ["g"], "i"), regions, ["g"], "i")
+    want = int((((m[:, None] - m[None]) ** 2).sum(axis=2) <= 0.36).sum())
+    assert pairs.count() == want and want < 0.1 * 1500 ** 2
+
+
+def test_range_search_over_many_blocks_repeated_and_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(metric, "BLOCK_ROWS", 40)
+    m, g, df = clustered(spark, 400, seed=5, spread=0.3)
+    key = lambda i: None if i < 3 else f"k{i % 150}"
+    texts = df.withColumn("i", metric.F.when(metric.F.col("i") >= 3, metric.F.concat(metric.F.lit("k"), metric.F.col("i") % 150)))
+    alone = texts.limit(1).withColumn("g", metric.F.lit(None).cast("int"))
+    both = texts.unionByName(alone)
+    got = sorted((r["g"], r["i"] or "", r["n_i"] or "") for r in metric.within(both, both, 3.0, COLUMNS, [0.5] * DIM, "i", "i", ("g",)).collect())
+    assert got == sorted((int(g[i]), key(i) or "", key(j) or "") for i, near in slow(m, g, 0.5) for d, j in near if d <= 3.0)
