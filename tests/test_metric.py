@@ -103,3 +103,31 @@ def test_range_search_over_many_blocks_repeated_and_null_keys(spark, monkeypatch
     both = texts.unionByName(alone)
     got = sorted((r["g"], r["i"] or "", r["n_i"] or "") for r in metric.within(both, both, 3.0, COLUMNS, [0.5] * DIM, "i", "i", ("g",)).collect())
     assert got == sorted((int(g[i]), key(i) or "", key(j) or "") for i, near in slow(m, g, 0.5) for d, j in near if d <= 3.0)
+
+
+def test_a_vector_travels_once_for_every_block_it_visits(spark, monkeypatch):
+    """Before, a row was copied for each region and ring: over a hundred times here."""
+    monkeypatch.setattr(metric, "BLOCK_ROWS", 500)
+    sizes, search = [], metric._pairs
+
+    def counted(left, right, on, left_key, k):
+        sizes.append((left.count(), left.select("_row", "_visit").distinct().count()))
+        return search(left, right, on, left_key, k)
+
+    monkeypatch.setattr(metric, "_pairs", counted)
+    _, _, df = unclustered(spark, 2000, seed=6)
+    assert metric.nearest(df, df, 1, COLUMNS, [1.0] * DIM, "i", "i", ("g",)).count() == 2000
+    assert [n for n, _ in sizes] == [n for _, n in sizes] and sizes[0][0] == 2000 and sizes[1][0] <= 2000 * 4
+
+
+@pytest.mark.parametrize("k", [1, 6])
+def test_nearest_over_many_blocks(spark, monkeypatch, k):
+    monkeypatch.setattr(metric, "BLOCK_ROWS", 30)
+    m, g, df = clustered(spark, 500, seed=7)
+    got = {(r["i"], r["rank"]): (r["n_i"], r["distance"]) for r in metric.nearest(df, df, k, COLUMNS, [0.5] * DIM, "i", "i", ("g",)).collect()}
+    assert len(got) == 500 * k
+    for i, near in slow(m, g, 0.5):
+        for rank in range(k):
+            assert got[(i, rank + 1)][1] == pytest.approx(near[rank][0], abs=1e-9)
+        if near[k - 1][0] == 0:
+            assert [got[(i, r + 1)][0] for r in range(k)] == [j for _, j in near[:k]]
