@@ -1,11 +1,11 @@
 """Neighbour searches in many dimensions by a metric partition.
 
 A few reference vectors are picked far apart; every row keeps its distances to all of them and belongs to the region of the nearest one. A group's
-regions are dealt in order to blocks of about ``BLOCK_ROWS`` rows. A search with a radius visits only the blocks of regions that the triangle
-inequality leaves: a region's members lie between its least and largest distance, and no nearer than half the difference of the distances to its
-reference and to the row's own. The rows of one block that visit another travel together, each vector once per visited block; their distances come
-from matrix products, those that may count are then measured component by component. Nearest neighbours first get a radius from the block that
-holds the row's region, which bounds the k-th distance from above.
+regions are dealt in order to blocks of about ``BLOCK_ROWS`` rows, those of the searching side to ``LEFT_BLOCKS`` times as many. A search with a radius
+visits only the blocks of regions that the triangle inequality leaves: a region's members lie between its least and largest distance, and no nearer
+than half the difference of the distances to its reference and to the row's own. The rows of one block that visit another travel together, each vector
+once per visited block; their distances come from matrix products, those that may count are then measured component by component. Nearest neighbours
+first get a radius from the block that holds the row's region, which bounds the k-th distance from above.
 Distances are exact and measured over every column; the partition only leaves out what cannot count.
 """
 
@@ -24,6 +24,7 @@ from skytrace.session import attach, row_count, store
 REFERENCES = 64  # at most
 SAMPLE = 5_000  # rows that references are picked from
 BLOCK_ROWS = 16_384  # right rows a task holds at once
+LEFT_BLOCKS = 4  # left rows stream past: so many blocks of them share one copy of the right rows
 TILE_ROWS = 256  # left rows whose distances to a block are in memory at once
 PAIRS = 2**18  # pairs measured and handed on at once
 SLACK = 1e-9
@@ -70,11 +71,11 @@ def _spans(regions: DataFrame, on: list[str]) -> DataFrame:
     return store(regions.withColumn("_before", F.coalesce(F.sum("_count").over(before), F.lit(0))))
 
 
-def _dealt(rows: DataFrame, spans: DataFrame, on: list[str], row: str, name: str) -> DataFrame:
-    """``rows`` with the number of their block in the group: a region's rows are spread evenly over its span."""
+def _dealt(rows: DataFrame, spans: DataFrame, on: list[str], row: str, name: str, size: int) -> DataFrame:
+    """``rows`` with the number of their block of ``size`` rows in the group: a region's rows are spread evenly over its span."""
     at = F.col("_before") + F.pmod(F.xxhash64(row), F.col("_count"))
     out = attach(rows, spans.select(*on, "_region", "_count", "_before"), [*on, "_region"], row, part_of=spans)
-    return out.withColumn(name, F.floor(at / F.lit(BLOCK_ROWS))).drop("_count", "_before")
+    return out.withColumn(name, F.floor(at / F.lit(size))).drop("_count", "_before")
 
 
 def _with_regions(left: DataFrame, spans: DataFrame, on: list[str]) -> DataFrame:
@@ -188,10 +189,10 @@ def candidates(left: DataFrame, right: DataFrame, regions: DataFrame, on: list[s
         return (off - h["_high"] <= radius) & (h["_low"] - off <= radius) & ((off - F.col("_far")) / 2 <= radius)
 
     spans = _spans(regions, on)
-    asked = _with_regions(_dealt(left, _spans(regions_of(left, on), on), on, "_row", "_block"), spans, on)
+    asked = _with_regions(_dealt(left, _spans(regions_of(left, on), on), on, "_row", "_block", BLOCK_ROWS * LEFT_BLOCKS), spans, on)
     blocks = F.flatten(F.transform(F.filter("_held", reached), lambda h: F.sequence(h["_from"], h["_till"])))
     asked = asked.withColumn("_visit", F.explode(F.array_distinct(blocks))).drop("_held", "_to")
-    return _pairs(asked, _dealt(right, spans, on, "n__row", "_visit"), on, left_key, k).drop("_row")
+    return _pairs(asked, _dealt(right, spans, on, "n__row", "_visit", BLOCK_ROWS), on, left_key, k).drop("_row")
 
 
 def _named(right: DataFrame, on: list[str], right_key: str) -> DataFrame:
@@ -226,10 +227,10 @@ def first_radius(q: DataFrame, x: DataFrame, regions: DataFrame, k: int, columns
     """``q`` without ``columns``, with ``_radius``: the k-th distance in the block that holds the row's region, infinite where the block is smaller."""
     q, spans = q.drop(*columns), _spans(regions, on)
     nearest_first = F.array_sort(F.transform("_held", lambda h: F.struct(F.get("_to", h["_region"]).alias("_off"), h["_from"].alias("_from"))))
-    asked = _with_regions(_dealt(q, _spans(regions_of(q, on), on), on, "_row", "_block"), spans, on)
+    asked = _with_regions(_dealt(q, _spans(regions_of(q, on), on), on, "_row", "_block", BLOCK_ROWS * LEFT_BLOCKS), spans, on)
     asked = asked.select(*on, left_key, "_row", "_v", "_block", F.get(nearest_first, F.lit(0))["_from"].alias("_visit"), F.lit(float("inf")).alias("_radius"))
     held = _named(x.select(*on, "_region", "_row", "_v", right_key), on, right_key)
-    found = _pairs(asked, _dealt(held, spans, on, "n__row", "_visit"), on, left_key, k)
+    found = _pairs(asked, _dealt(held, spans, on, "n__row", "_visit", BLOCK_ROWS), on, left_key, k)
     last = found.groupBy("_row").agg(F.when(F.count("*") == k, F.sqrt(F.max("d2"))).alias("_radius"))
     return q.join(last, "_row", "left").withColumn("_radius", F.coalesce("_radius", F.lit(float("inf"))))
 

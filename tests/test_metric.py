@@ -131,3 +131,21 @@ def test_nearest_over_many_blocks(spark, monkeypatch, k):
             assert got[(i, rank + 1)][1] == pytest.approx(near[rank][0], abs=1e-9)
         if near[k - 1][0] == 0:
             assert [got[(i, r + 1)][0] for r in range(k)] == [j for _, j in near[:k]]
+
+
+def test_searched_rows_are_copied_for_few_blocks_of_searching_rows(spark, monkeypatch):
+    """Regions on the border of two blocks sent every block to three others, twice for the nearest, as soon as a group had several blocks."""
+    monkeypatch.setattr(metric, "BLOCK_ROWS", 100)
+    copies, search = [], metric._pairs
+
+    def counted(left, right, on, left_key, k):
+        cells = left.select(*on, "_block", "_visit").distinct()
+        copies.append(right.join(cells, [*on, "_visit"]).count())
+        return search(left, right, on, left_key, k)
+
+    monkeypatch.setattr(metric, "_pairs", counted)
+    _, _, df = clustered(spark, 2000, seed=8)
+    assert metric.nearest(df, df, 1, COLUMNS, [1.0] * DIM, "i", "i", ("g",)).count() == 2000
+    assert len(copies) == 2 and max(copies) <= 1.6 * 2000
+    metric.within(df, df, 100.0, COLUMNS, [1.0] * DIM, "i", "i", ("g",)).count()
+    assert copies[2] <= 2000 * 2000 / 300
